@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, splitting, tokens
+from . import leaks, neardup, splitting, tokens
 from .common import tables
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.id_pairs(*neardup.near_pairs(tables(spark, d, "chunk")[0], threshold=0.6, shingle=3, min_words=30))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk with its class of copies, its group of near-duplicates (five words, 0.8) and its links."""
+    return neardup.near_groups(tables(spark, d, "chunk")[0])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(*tables(spark, d, "chunk", "source_file", "chunking_config")).select("id").distinct()
 
@@ -41,7 +50,7 @@ def p7_altered(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(docs, items, edits=3, region=80).select("doc_id", "item_id", "field", "run", "distance").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p6_roundtrip, p7_found, p7_altered)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_ids, p6_roundtrip, p7_found, p7_altered)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM
