@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, splitting, tokens
+from . import leaks, neardup, splitting, subjects, tokens
 from .common import tables
 
 
@@ -50,7 +50,22 @@ def p7_altered(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(docs, items, edits=3, region=80).select("doc_id", "item_id", "field", "run", "distance").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_ids, p6_roundtrip, p7_found, p7_altered)}
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, samples, areas = tables(spark, d, "documents", "subject_sample", "subject_area")
+    return subjects.subject_shares(docs, subjects.train(docs, samples, areas))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d).where("about * 10 >= sentences * 3").select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of the corpus by subject."""
+    got = _shares(spark, d).where("about * 10 >= sentences * 3").distinct()
+    return got.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM
