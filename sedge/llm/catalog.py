@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, splitting, subjects, tokens
+from . import encoding, leaks, neardup, splitting, subjects, tokens
 from .common import tables
 
 
@@ -27,6 +27,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "piece_no", "piece_tokens", "piece")
 
 
+def _known(spark: SparkSession, d: str) -> dict[str, int]:
+    files, samples = tables(spark, d, "source_file", "subject_sample")
+    return encoding.known_words(files.select("docnm_kwd").unionAll(samples.select("text")))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged values with what could be restored of them."""
+    chunk = tables(spark, d, "chunk")[0]
+    return encoding.repair_fields(chunk, ["content_with_weight", "docnm_kwd"], _known(spark, d)).dropDuplicates(["id", "field"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunk = tables(spark, d, "chunk")[0]
+    return encoding.repair_fields(chunk, ["content_with_weight", "docnm_kwd"], _known(spark, d)).select("id", "field").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(*tables(spark, d, "documents"))
 
@@ -65,7 +81,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM
