@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leaks, neardup, splitting, subjects, tokens
+from . import encoding, language, leaks, neardup, splitting, subjects, tokens
 from .common import tables
 
 
+def _filter(spark: SparkSession, d: str) -> language.LanguageFilter:
+    samples, items, docs = tables(spark, d, "subject_sample", "eval_item", "documents")
+    return language.train(samples, items, docs)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    chunk, files, configs = tables(spark, d, "chunk", "source_file", "chunking_config")
+    return language.mislabelled(chunk, files, configs, _filter(spark, d))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every chunk with its language and confidence."""
+    return language.label_segments(tables(spark, d, "chunk")[0], _filter(spark, d)).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.id_pairs(*neardup.near_pairs(tables(spark, d, "chunk")[0], threshold=0.6, shingle=3, min_words=30))
 
@@ -81,7 +96,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM
