@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, language, leaks, neardup, splitting, subjects, tokens
+from . import encoding, language, leaks, neardup, scans, splitting, subjects, tokens
 from .common import tables
 
 
@@ -58,6 +58,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair_fields(chunk, ["content_with_weight", "docnm_kwd"], _known(spark, d)).select("id", "field").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise_kinds(tables(spark, d, "chunk")[0]).distinct()
+
+
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs, with the kinds of noise they had."""
+    return scans.repaired_pages(tables(spark, d, "chunk")[0])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(*tables(spark, d, "documents"))
 
@@ -96,7 +105,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p5_found, p5_pages, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM
