@@ -1,12 +1,760 @@
-"""All queries of the general operators, with the SQL that checks them."""
+"""All queries of the general operators, with the SQL that checks them.
+
+Each query runs over its whole tables. Search takes as queries the requests (or vectors) whose id is divisible by
+100 and looks in all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..functions import weights as Wt
+from ..operators import analytics as A
+from ..operators import chunking as C
+from ..operators import embedding as E
+from ..operators import index as I
+from ..operators import joins as J
+from ..operators import layout as L
+from ..operators import retrieval as R
+from ..operators import tables as Tb
+from ..session import table
+from ..streaming import ingest as S
+from .query import MatchText, OrderBy, Request, plan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query, with the SQL that gives the same rows if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_topk(spark, d)
+
+
+# -- pieces of SQL
+
+_TOKENS = "regexp_extract_all(lower({0}), '[一-鿿]|[0-9a-zß-öø-ÿœа-яё]+')"
+_LINES = "list_filter(string_split({0}, chr(10)), lambda x: trim(x, ' ') <> '')"
+_CHUNKS = "chunks AS (SELECT DISTINCT id, doc_id, docnm_kwd, kb_id, content_with_weight, pagerank_fea FROM chunk WHERE id IS NOT NULL)"
+_POSTINGS = f"{_CHUNKS}, tok AS (SELECT id, {_TOKENS.format('coalesce(content_with_weight, chr(32))')} AS t FROM chunks), p AS (SELECT id, term, count(*) AS tf, max(length) AS length FROM (SELECT id, unnest(t) AS term, len(t) AS length FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
+_NOISE = [x.replace("'", "''") for x, _ in T.QUERY_NOISE]
+_CLEANED = "lower(regexp_replace(translate(question, '" + "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　', '" + "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''") + " '), '[ :|\\r\\n\\t,，。？?/`!！&^%()\\[\\]{}<>]+', ' ', 'g'))"
+_QUERY = f"""rq AS (SELECT request_id, any_value(question) AS question, any_value(kb_id) AS kb_id FROM search_request WHERE request_id % 100 = 0 GROUP BY ALL),
+q1 AS (SELECT request_id, {_CLEANED} AS q0 FROM rq),
+q2 AS (SELECT request_id, q0, regexp_replace(regexp_replace(regexp_replace(q0, '(?i){_NOISE[0]}', '', 'g'), '(?i){_NOISE[1]}', ' ', 'g'), '(?i){_NOISE[2]}', ' ', 'g') AS qx FROM q1),
+qt AS (SELECT DISTINCT request_id, unnest({_TOKENS.format("CASE WHEN qx = '' THEN q0 ELSE qx END")}) AS term FROM q2),
+qr AS (SELECT request_id, term, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 3.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 10.0 END AS f, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 5.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 3.0 END AS d, CASE WHEN regexp_full_match(term, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{{1,2}}') THEN 0.01 ELSE 1.0 END AS e FROM qt),
+qw AS (SELECT request_id, term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * e AS raw FROM qr),
+q AS (SELECT request_id, term, raw / sum(raw) OVER (PARTITION BY request_id) AS weight FROM qw)"""
+_TOP = "QUALIFY row_number() OVER (PARTITION BY {0} ORDER BY {2} DESC, {1}) <= 10"
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["id", "doc_id", "docnm_kwd", "kb_id", "content_with_weight", "pagerank_fea"]
+    return table(spark, d, "chunk").where("id is not null").select(*cols).distinct()
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "search_request").where("request_id % 100 = 0").groupBy("request_id").agg(F.first("question").alias("question"), F.first("kb_id").alias("kb_id"))
+
+
+def _search(spark: SparkSession, d: str):
+    chunks = _chunks(spark, d)
+    terms = R.query_terms(_requests(spark, d), "request_id", "question")
+    p = I.postings(chunks, "id", "content_with_weight")
+    return chunks, terms, p, I.document_frequency(p), I.collection_stats(chunks, "content_with_weight")
+
+
+# -- texts
+
+
+@query("SELECT doc_id, translate(text, '" + "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　', '" + "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''") + " ') AS half FROM documents")
+def text_half_width(spark, d):
+    """T1"""
+    return table(spark, d, "documents").select("doc_id", T.half_width(F.col("text")).alias("half"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)([^a-z0-9.,\)>]) +([^ ])', '\1\2', 'g'), '(?i)([^ ]) +([^a-z0-9.,\(<])', '\1\2', 'g') AS packed FROM documents")
+def text_remove_spaces(spark, d):
+    """T21"""
+    return table(spark, d, "documents").select("doc_id", T.remove_spaces(F.col("text")).alias("packed"))
+
+
+@query(f"""SELECT doc_id, len(l) > 0 AND len(list_filter(l, lambda x: regexp_matches(trim(x, ' '), '^[ `a-zA-Z.,'':;/"?<>!\\(\\)-]'))) / len(l) > 0.8 AS english, length(text) > 0 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text) > 0.2 AS chinese, len(w) <= 3 OR len(list_filter(w, lambda x: NOT regexp_full_match(x, '[a-zA-Z]+'))) / len(w) >= 0.7 AS chinese_query FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '[ \\t]+') AS w FROM documents WHERE text IS NOT NULL)""")
+def language_flags(spark, d):
+    """T16 T17 T18"""
+    t = F.col("text")
+    df = table(spark, d, "documents").where("text is not null")
+    return df.select("doc_id", T.is_english(F.split(t, "\n")).alias("english"), T.is_chinese(t).alias("chinese"), T.is_chinese_query(t).alias("chinese_query"))
+
+
+@query(f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents WHERE text IS NOT NULL")
+def tokens_of_documents(spark, d):
+    """T3 T4"""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT doc_id, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, ' '), '[\s\v]+')) END::BIGINT AS n FROM documents WHERE text IS NOT NULL")
+def token_counts(spark, d):
+    """T22"""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.token_count(F.col("text")).alias("n"))
+
+
+@query(f"WITH {_QUERY} SELECT request_id, term, round(weight, 6) AS weight FROM q")
+def query_term_weights(spark, d):
+    """T8 T9 T20 R1"""
+    q = R.query_terms(_requests(spark, d), "request_id", "question")
+    return q.select("request_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@query("SELECT request_id, trim(regexp_replace(question, '([:\\{\\}/\\[\\]\\-\\*\"\\(\\)\\|\\+~\\^])', '\\\\\\1', 'g'), ' ') AS escaped FROM (SELECT DISTINCT request_id, question FROM search_request)")
+def query_escaped(spark, d):
+    """T19"""
+    return table(spark, d, "search_request").select("request_id", T.escape_query(F.col("question")).alias("escaped")).distinct()
+
+
+@query(r"SELECT id, regexp_replace(content_with_weight, '</?(table|td|caption|tr|th)( [^<>]{0,12})?>', ' ', 'g') AS plain FROM chunk")
+def strip_table_tags(spark, d):
+    """T23"""
+    return table(spark, d, "chunk").select("id", T.strip_table_tags(F.col("content_with_weight")).alias("plain"))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT docnm_kwd AS name FROM chunk WHERE docnm_kwd IS NOT NULL) SELECT name, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CASE "
+    + " ".join(f"WHEN ext = '{e}' THEN '{k}'" for e, k in reversed(T.FILE_KINDS.items()))
+    + " ELSE 'other' END AS kind, CASE "
+    + " ".join("WHEN regexp_matches(name, '" + p.replace("'", "''") + f"') THEN '{v}'" for p, v in T.STRATEGIES)
+    + " ELSE 'general' END AS strategy FROM c"
+)
+def file_kinds(spark, d):
+    """T33 C29"""
+    n = F.col("docnm_kwd")
+    return table(spark, d, "chunk").where("docnm_kwd is not null").select(n.alias("name"), T.extension(n).alias("ext"), T.file_kind(n).alias("kind"), T.recommended_strategy(n).alias("strategy")).distinct()
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT DISTINCT line, regexp_matches(line, '" + "|".join(f"(?:{p})" for p in T.GARBAGE_LINE) + "') AS garbage FROM l WHERE line <> ''")
+def garbage_lines(spark, d):
+    """P14"""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select("line", T.is_garbage_line(F.col("line")).alias("garbage")).distinct()
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT trim(unnest(string_split(content_with_weight, chr(10))), ' ') AS c FROM chunk) SELECT c AS cell, CASE "
+    + " ".join("WHEN regexp_matches(c, '" + p.replace("'", "''") + f"') THEN '{k}'" for p, k in T.CELL_TYPES)
+    + r" WHEN n > 3 AND n < 12 THEN 'Tx' WHEN n >= 12 THEN 'Lx' ELSE 'Ot' END AS kind FROM (SELECT c, len(list_filter(regexp_split_to_array(lower(c), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1)) AS n FROM l)"
+)
+def cell_types(spark, d):
+    """T25"""
+    cells = table(spark, d, "chunk").select(F.explode(F.transform(F.split("content_with_weight", "\n"), lambda x: F.trim(x))).alias("cell")).distinct()
+    return cells.select("cell", T.cell_type(F.col("cell")).alias("kind"))
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, CASE WHEN length(line) > 2 AND NOT regexp_matches(line, '^[0-9 ().,%+/-]+$') THEN CASE "
+    + " ".join(f"WHEN regexp_matches(line, '^(?:{p})') THEN {v}" for p, v in T.OUTLINE)
+    + " END END AS level FROM l"
+)
+def outline_levels(spark, d):
+    """T31"""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return lines.select("line", T.outline_level(F.col("line")).alias("level"))
+
+
+# -- chunks
+
+_HITS = ", ".join("len(list_filter(l, lambda x: regexp_matches(x, '^(?:" + "|".join(f"(?:{q})" for q in p) + f")') AND NOT regexp_matches(x, '{T.NO_BULLET}'))) AS h{i}" for i, p in enumerate(T.BULLETS))
+_FAMILY = "CASE WHEN greatest(h0, h1, h2, h3) = 0 THEN -1 WHEN h0 = greatest(h0, h1, h2, h3) THEN 0 WHEN h1 = greatest(h0, h1, h2, h3) THEN 1 WHEN h2 = greatest(h0, h1, h2, h3) THEN 2 ELSE 3 END"
+_LEVELS = (
+    f"fam AS (SELECT doc_id, l, ({_FAMILY})::BIGINT AS family FROM (SELECT doc_id, l, {_HITS} FROM (SELECT doc_id, {_LINES.format('text')} AS l FROM documents WHERE text IS NOT NULL))), "
+    "ln AS (SELECT doc_id, family, unnest(range(len(l))) AS i, unnest(l) AS line FROM fam), lv AS (SELECT *, CASE "
+    + " ".join(
+        f"WHEN family = {k} THEN CASE WHEN regexp_matches(trim(line, ' '), '{T.NO_BULLET}') THEN {len(p) + 1} " + " ".join(f"WHEN regexp_matches(trim(line, ' '), '^(?:{q})') THEN {j}" for j, q in enumerate(p)) + f" ELSE {len(p) + 1} END"
+        for k, p in enumerate(T.BULLETS)
+    )
+    + " ELSE 6 END AS level FROM ln), ml AS (SELECT doc_id, level AS most_level FROM (SELECT doc_id, family, level, count(*) AS n, min(i) AS f FROM lv WHERE family >= 0 AND level <= [5, 6, 5, 4][family + 1] GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1)"
+)
+
+
+def _levels(spark, d):
+    return C.lines_with_levels(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query(f"WITH {_LEVELS} SELECT doc_id, family FROM fam")
+def bullet_families(spark, d):
+    """C4"""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.bullet_family(C.sections(F.col("text"))).alias("family"))
+
+
+@query(f"WITH {_LEVELS} SELECT doc_id, most_level::INT AS most_level FROM ml")
+def title_levels(spark, d):
+    """C7 W12"""
+    return C.most_frequent_level(_levels(spark, d), "doc_id")
+
+
+@query(f"WITH {_LEVELS} SELECT doc_id, i::INT AS i, sum(CASE WHEN level <= most_level AND level <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS sid FROM (SELECT lv.*, most_level, lag(level) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM lv JOIN ml USING (doc_id))")
+def section_islands(spark, d):
+    """C9 W1"""
+    lines = _levels(spark, d)
+    return C.section_islands(lines, C.most_frequent_level(lines, "doc_id"), "doc_id").select("doc_id", "i", "sid")
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_split_to_array(trim(x, ' '), '[\s\v]+'))) AS n FROM s WHERE len(l) > 0),
+f AS (SELECT doc_id, n, 1 AS i, 0 AS chunk, n[1] AS run FROM c UNION ALL SELECT doc_id, n, i + 1, CASE WHEN run > 128 THEN chunk + 1 ELSE chunk END, CASE WHEN run > 128 THEN n[i + 1] ELSE run + n[i + 1] END FROM f WHERE i < len(n))
+SELECT doc_id, chunk::INT AS chunk_index, max(run)::BIGINT AS tokens FROM f GROUP BY ALL""")
+def chunk_greedy_merge(spark, d):
+    """C1 C15 S6 T22"""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", C.sections(F.col("text")).alias("s"))
+    return C.greedy_merge(docs, "s", 128).select("doc_id", "chunk_index", "tokens")
+
+
+@query("SELECT n_regionkey, ((rn - 1) // 10)::BIGINT AS chunk_index, string_agg(n_name, '; ' ORDER BY n_nationkey) AS content FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) GROUP BY ALL")
+def chunk_table_rows(spark, d):
+    """C12 S13"""
+    return C.bucketed_rows(table(spark, d, "nation"), ["n_regionkey"], "n_nationkey", "n_name")
+
+
+@query(f"SELECT doc_id, array_to_string({_LINES.format('text')}, chr(10)) AS content FROM documents WHERE text IS NOT NULL")
+def chunk_one(spark, d):
+    """C16"""
+    return C.one_chunk(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text").select("doc_id", "content")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents WHERE parser_type = 'qa' AND text IS NOT NULL)),
+g AS (SELECT *, sum(CASE WHEN contains(line, chr(9)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM l),
+a AS (SELECT doc_id, no, min_by(line, i) AS head, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT contains(line, chr(9))) AS more FROM g WHERE no > 0 GROUP BY ALL)
+SELECT doc_id, (no - 1)::INT AS pair, regexp_replace(trim(string_split(head, chr(9))[1], ' '), '(?i)^(问题|答案|回答|user|assistant|Q|A|Question|Answer|问|答)[\t:： ]+', '') AS q, regexp_replace(trim(substr(head, strpos(head, chr(9)) + 1), ' '), '(?i)^(问题|答案|回答|user|assistant|Q|A|Question|Answer|问|答)[\t:： ]+', '') || coalesce(chr(10) || more, '') AS a FROM a""")
+def qa_pairs(spark, d):
+    """C22 C23 W11"""
+    docs = table(spark, d, "documents").where("parser_type = 'qa' and text is not null")
+    return docs.select("doc_id", F.posexplode(C.question_answers(F.col("text"))).alias("pair", "p")).select("doc_id", "pair", "p.q", "p.a")
+
+
+@query()
+def chunk_hierarchical(spark, d):
+    """C3 C17 C18"""
+    return C.hierarchical_merge(_levels(spark, d), "doc_id")
+
+
+@query()
+def chunk_without_contents(spark, d):
+    """P17 C8"""
+    t = F.col("text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", C.drop_contents(t).alias("body"), F.size(C.colon_titles(t)).alias("lines"))
+
+
+@query()
+def json_chunks(spark, d):
+    """S8"""
+    return C.split_json(table(spark, d, "events"), "event_id", "props", 64, 16)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_fields(spark, d):
+    """S8 S23"""
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+_VOTE = "CASE WHEN c IS NULL THEN NULL WHEN regexp_matches(c, '^[+-]?[0-9]{0,19}(\\.0+)?$') THEN 'int' WHEN regexp_matches(c, '^[+-]?[0-9.]{0,19}$') THEN 'float' WHEN regexp_matches(c, '(?i)^(true|yes|false|no)$') THEN 'bool' WHEN try_cast(c AS TIMESTAMP) IS NOT NULL THEN 'datetime' ELSE 'text' END"
+
+
+@query(
+    "WITH v AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_VOTE.replace('c IS', f'{c}::VARCHAR IS').replace('(c,', f'({c}::VARCHAR,').replace('(c AS', f'({c}::VARCHAR AS')} AS k FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    + "), n AS (SELECT column_name, count(*) FILTER (k = 'int') AS n_int, count(*) FILTER (k = 'float') AS n_float, count(*) FILTER (k = 'text') AS n_text, count(*) FILTER (k = 'datetime') AS n_datetime, count(*) FILTER (k = 'bool') AS n_bool FROM v GROUP BY ALL) SELECT *, CASE WHEN n_int = m THEN 'int' WHEN n_float = m THEN 'float' WHEN n_text = m THEN 'text' WHEN n_datetime = m THEN 'datetime' ELSE 'bool' END AS column_type FROM (SELECT *, greatest(n_int, n_float, n_text, n_datetime, n_bool) AS m FROM n)".replace("SELECT *, CASE", "SELECT * EXCLUDE (m), CASE")
+)
+def table_column_types(spark, d):
+    """C26 A12"""
+    return Tb.column_types(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+@query("SELECT p_partkey, 'p_partkey:' || p_partkey || '; p_name:' || p_name || '; p_brand:' || p_brand || '; p_size:' || p_size AS content FROM part")
+def table_row_text(spark, d):
+    """C25 S12 S15"""
+    df = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return df.select("p_partkey", Tb.row_text(df).alias("content"))
+
+
+@query("SELECT ((rn - 1) // 256)::BIGINT AS block, '<table><caption>part</caption><tr><th>p_partkey</th><th>p_brand</th></tr>' || string_agg('<tr><td>' || p_partkey || '</td><td>' || p_brand || '</td></tr>', '' ORDER BY p_partkey) || '</table>' AS html, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rn FROM part) GROUP BY ALL")
+def table_html_blocks(spark, d):
+    """S13"""
+    return Tb.html_table(table(spark, d, "part"), ["p_partkey", "p_brand"], ["p_size"], "p_partkey", "part")
+
+
+# -- store
+
+
+@query("SELECT * FROM (SELECT id, doc_id, chunk_index, create_timestamp_flt FROM chunk QUALIFY row_number() OVER (PARTITION BY id ORDER BY create_timestamp_flt DESC NULLS LAST, doc_id DESC NULLS LAST, chunk_index DESC NULLS LAST) = 1)")
+def latest_rows(spark, d):
+    """K3"""
+    return I.latest(table(spark, d, "chunk").select("id", "doc_id", "chunk_index", "create_timestamp_flt"), "id", "create_timestamp_flt")
+
+
+@query("WITH new AS (SELECT doc_id, max(lang) AS lang, 'new' AS source FROM documents WHERE doc_id % 7 = 0 GROUP BY ALL) SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new")
+def upsert_rows(spark, d):
+    """K3 K4 K5"""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return I.upsert(docs, docs.where("doc_id % 7 = 0").withColumn("source", F.lit("new")), "doc_id")
+
+
+@query("SELECT id, kb_id FROM chunk WHERE NOT coalesce(kb_id = 'kb_09' AND available_int = 1, false)")
+def delete_rows(spark, d):
+    """K6"""
+    return I.delete(table(spark, d, "chunk"), I.conditions({"kb_id": "kb_09", "available_int": 1})).select("id", "kb_id")
+
+
+@query("SELECT id, coalesce(content_with_weight, '') AS content, coalesce(list_filter(important_kwd, lambda x: x IS NOT NULL), []) AS important, coalesce(available_int, 1) AS available FROM chunk WHERE id IS NOT NULL")
+def normalised_chunks(spark, d):
+    """P9 P10"""
+    n = I.normalise(table(spark, d, "chunk").where("id is not null"))
+    return n.select("id", F.col("content_with_weight").alias("content"), F.col("important_kwd").alias("important"), F.col("available_int").alias("available"))
+
+
+@query("SELECT vec_id, len(embedding) = 0 AS bad, CASE WHEN trim(text, ' ') = '' THEN 'blank content' ELSE '' END AS warnings, CASE WHEN text IS NULL THEN 'missing text' ELSE '' END AS errors FROM embeddings LEFT JOIN documents ON vec_id = doc_id")
+def validated_chunks(spark, d):
+    """P8"""
+    both = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").withColumnRenamed("embedding", "q_64_vec")
+    v = I.validate(both, "text")
+    return v.select("vec_id", (F.size("q_64_vec") == 0).alias("bad"), F.array_join("warnings", "; ").alias("warnings"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT kb_id, count(*) AS n FROM (SELECT kb_id FROM chunk UNION ALL SELECT kb_id FROM source_file) GROUP BY ALL")
+def several_tables(spark, d):
+    """R24 O9"""
+    both = table(spark, d, "chunk").unionByName(table(spark, d, "source_file"), allowMissingColumns=True)
+    return both.groupBy("kb_id").agg(F.count("*").alias("n"))
+
+
+# -- search
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) AS score, row_number() OVER (PARTITION BY request_id ORDER BY round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) DESC, id) AS rank FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY request_id, id QUALIFY rank <= 10")
+def bm25_topk(spark, d):
+    """R1 R3 A1 O5 T4"""
+    _, terms, p, df, st = _search(spark, d)
+    scored = R.bm25(terms, p, df, st, "request_id", "id").withColumn("score", r6(F.col("score")))
+    return R.top(scored, "request_id", "id", 10).select("request_id", "id", "score", "rank")
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY request_id, id {_TOP.format('request_id', 'id', 'score')}")
+def scripted_similarity_topk(spark, d):
+    """R4 R2"""
+    _, terms, p, df, st = _search(spark, d)
+    scored = R.saturated_idf(terms, p, df, st, "request_id", "id").withColumn("score", r6(F.col("score")))
+    return R.top(scored, "request_id", "id", 10).select("request_id", "id", "score")
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, count(*) AS matched FROM q JOIN p USING (term) JOIN (SELECT request_id, count(*) AS terms FROM q GROUP BY request_id) USING (request_id) GROUP BY request_id, id, terms HAVING count(*) >= floor(terms * 0.6)")
+def min_should_match(spark, d):
+    """R3"""
+    _, terms, p, df, st = _search(spark, d)
+    return R.min_should_match(R.bm25(terms, p, df, st, "request_id", "id"), terms, "request_id").select("request_id", "id", "matched")
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, round((sum(weight) + 1e-9) / (1 + 1e-9), 6) AS score FROM q JOIN p USING (term) GROUP BY request_id, id {_TOP.format('request_id', 'id', 'score')}")
+def coverage_topk(spark, d):
+    """R16 J3"""
+    _, terms, p, _, _ = _search(spark, d)
+    scored = R.coverage(terms, p, "request_id", "id").withColumn("score", r6(F.col("score")))
+    return R.top(scored, "request_id", "id", 10).select("request_id", "id", "score")
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY}, tp AS (SELECT DISTINCT docnm_kwd, unnest({_TOKENS.format('docnm_kwd')}) AS term FROM chunks), s AS (SELECT request_id, id, 2.0 * sum(weight) AS sc, 'content' AS fd FROM q JOIN p USING (term) GROUP BY ALL UNION ALL SELECT request_id, id, 10.0 * sum(weight), 'title' FROM q JOIN tp USING (term) JOIN chunks USING (docnm_kwd) GROUP BY ALL) SELECT request_id, id, round(max(sc), 6) AS score, max_by(fd, struct_pack(a := sc, b := fd)) AS field FROM s GROUP BY request_id, id {_TOP.format('request_id', 'id', 'score')}")
+def best_fields_topk(spark, d):
+    """R2 R3 R25"""
+    chunks, terms, p, _, _ = _search(spark, d)
+    content = R.coverage(terms, p, "request_id", "id").withColumn("score", F.col("score") * (1 + 1e-9) - 1e-9)
+    names = chunks.select("docnm_kwd").distinct()
+    title = R.coverage(terms, I.postings(names, "docnm_kwd", "docnm_kwd"), "request_id", "docnm_kwd").withColumn("score", F.col("score") * (1 + 1e-9) - 1e-9)
+    title = title.join(chunks.select("docnm_kwd", "id"), "docnm_kwd").select("request_id", "id", "score")
+    one = F.lit(1).alias("matched")
+    best = R.best_fields({"content": (content.select("*", one), 2.0), "title": (title.select("*", one), 10.0)}, "request_id", "id").withColumn("score", r6(F.col("score")))
+    return R.top(best, "request_id", "id", 10).select("request_id", "id", "score", "field")
+
+
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10")
+def knn_topk(spark, d):
+    """R8 R26 O5"""
+    rows = table(spark, d, "embeddings")
+    found = R.knn(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, "q", "vec_id", "embedding")
+    return found.select("q", "vec_id", r6(F.col("score")).alias("score"))
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {_COS} >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 1000")
+def knn_threshold(spark, d):
+    """P6 R8"""
+    rows = table(spark, d, "embeddings")
+    found = R.knn(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, "q", "vec_id", "embedding", k=1000, least=0.3)
+    return found.select("q", "vec_id", r6(F.col("score")).alias("score"))
+
+
+@query(f"SELECT a.vec_id AS q, b.vec_id, b.label::VARCHAR AS label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY {_COS} DESC, b.vec_id) <= 3")
+def knn_per_label(spark, d):
+    """R8"""
+    rows = table(spark, d, "embeddings")
+    found = R.knn(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, "q", "vec_id", "embedding", k=3, group="label")
+    return found.select("q", "vec_id", "label", r6(F.col("score")).alias("score"))
+
+
+@query()
+def knn_lsh_recall(spark, d):
+    """The share of the exact ten nearest that the index finds"""
+    rows = table(spark, d, "embeddings")
+    q = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q")
+    exact = R.knn(q, rows, "q", "vec_id", "embedding").select("q", "vec_id")
+    near = R.knn_lsh(q, rows, "q", "vec_id", "embedding", tables=24, bits=4).select("q", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["q", "vec_id"], "left").agg(F.count("*").alias("pairs"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+
+
+_DOCP = f"dt AS (SELECT doc_id AS vec_id, {_TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL), dp AS (SELECT DISTINCT vec_id, unnest(t) AS term FROM dt), dq AS (SELECT vec_id AS q, term FROM dp WHERE vec_id % 100 = 0), tk AS (SELECT q, dp.vec_id, count(*)::DOUBLE / any_value(m) AS tok FROM dq JOIN dp USING (term) JOIN (SELECT q, count(*) AS m FROM dq GROUP BY ALL) USING (q) GROUP BY ALL), cs AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
+
+
+def _hybrid(spark, d):
+    docs, rows = table(spark, d, "documents").where("text is not null"), table(spark, d, "embeddings")
+    p = docs.select(F.col("doc_id").alias("vec_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    q = p.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q")
+    m = q.groupBy("q").agg(F.count("*").alias("m"))
+    tok = q.join(p, "term").groupBy("q", "vec_id").agg(F.count("*").alias("k")).join(m, "q").select("q", "vec_id", (F.col("k") / F.col("m")).alias("tok"))
+    return rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, tok
+
+
+@query(f"WITH {_DOCP} SELECT q, vec_id, round(cos, 6) AS score FROM cs JOIN tk USING (q, vec_id) WHERE tok >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(cos, 6) DESC, vec_id) <= 10")
+def hybrid_filter(spark, d):
+    """The text is a filter, the vector ranks"""
+    q, rows, tok = _hybrid(spark, d)
+    ok = tok.where("tok >= 0.3").join(q.select("q", F.col("embedding").alias("a")), "q").join(rows.select("vec_id", "embedding"), "vec_id")
+    scored = ok.select("q", "vec_id", r6(V.cosine(F.col("a"), F.col("embedding"))).alias("score"))
+    return R.top(scored, "q", "vec_id", 10).select("q", "vec_id", "score")
+
+
+@query(f"WITH {_DOCP}, t AS (SELECT q, vec_id, tok FROM tk WHERE tok >= 0.3), c AS (SELECT q, vec_id, cos FROM cs QUALIFY row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) <= 50) SELECT q, vec_id, round(0.05 * coalesce(tok, 0) + 0.95 * coalesce(cos, 0), 6) AS score FROM t FULL JOIN c USING (q, vec_id)")
+def hybrid_weighted_sum(spark, d):
+    """R10"""
+    q, rows, tok = _hybrid(spark, d)
+    dense = R.knn(q, rows, "q", "vec_id", "embedding", k=50)
+    fused = R.weighted_sum(tok.where("tok >= 0.3").withColumnRenamed("tok", "score"), dense, "q", "vec_id")
+    return fused.select("q", "vec_id", r6(F.col("score")).alias("score"))
+
+
+@query(f"WITH {_DOCP}, x AS (SELECT q, vec_id, cos, tok, sum(coalesce(cos, 0)) OVER (PARTITION BY q) AS s FROM cs JOIN tk USING (q, vec_id)), y AS (SELECT q, vec_id, round(CASE WHEN s = 0 THEN tok ELSE 0.7 * coalesce(cos, 0) + 0.3 * tok END, 6) AS score FROM x) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM y QUALIFY rank > 10 AND rank <= 20")
+def rerank_second_page(spark, d):
+    """R15 R17 R20 R21 W9 O4"""
+    q, rows, tok = _hybrid(spark, d)
+    both = tok.join(q.select("q", F.col("embedding").alias("a")), "q").join(rows.select("vec_id", "embedding"), "vec_id").withColumn("cos", V.cosine(F.col("a"), F.col("embedding")))
+    scored = R.hybrid(both, "q").withColumn("score", r6(F.col("score")))
+    return R.page(R.top(scored, "q", "vec_id", 128), 2, 10).select("q", "vec_id", "score", "rank")
+
+
+@query("WITH f AS (SELECT id, pagerank_fea, map_from_entries(list_transform(list_distinct(coalesce(important_kwd, [])), lambda x: struct_pack(k := x, v := length(x)::DOUBLE))) AS m FROM (SELECT DISTINCT id, pagerank_fea, important_kwd FROM chunk WHERE id IS NOT NULL)), g AS (SELECT id, pagerank_fea, list_sum(list_transform(map_values(m), lambda v: v * v)) AS ss, coalesce(m['parser'], m['养鸡场'], 0) AS a FROM f) SELECT id, round(10 * coalesce((coalesce((SELECT 1), 1) * (coalesce(m['parser'], 0) * 3 + coalesce(m['养鸡场'], 0) * 4)) / nullif(sqrt(coalesce(list_sum(list_transform(map_values(m), lambda v: v * v)), 0)) * 5, 0), 0) + coalesce(pagerank_fea, 0), 6) AS score FROM f")
+def rank_features(spark, d):
+    """R18"""
+    chunk = table(spark, d, "chunk").where("id is not null").select("id", "pagerank_fea", "important_kwd").distinct()
+    words = F.filter(F.array_distinct(F.coalesce("important_kwd", F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    tags = F.map_from_arrays(words, F.transform(words, lambda x: F.length(x).cast("double")))
+    return chunk.select("id", r6(R.rank_feature(tags, F.col("pagerank_fea"), {"parser": 3.0, "养鸡场": 4.0, "pagerank_fea": 1.0})).alias("score"))
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY}, h AS (SELECT request_id, id, round((sum(weight) + 1e-9) / (1 + 1e-9), 6) AS score FROM q JOIN p USING (term) GROUP BY request_id, id {_TOP.format('request_id', 'id', 'score')}) SELECT request_id, docnm_kwd, min(doc_id) AS doc_id, count(*) AS count FROM h JOIN chunks USING (id) GROUP BY request_id, docnm_kwd")
+def doc_aggregates(spark, d):
+    """A2 R21"""
+    chunks, terms, p, _, _ = _search(spark, d)
+    hits = R.top(R.coverage(terms, p, "request_id", "id").withColumn("score", r6(F.col("score"))), "request_id", "id", 10)
+    return R.doc_aggs(hits.join(chunks, "id"), "request_id", "docnm_kwd", "doc_id")
+
+
+@query("SELECT kb_id, count(*) AS n, count(DISTINCT docnm_kwd) AS files FROM chunk GROUP BY ALL")
+def terms_and_cardinality(spark, d):
+    """A1 A3"""
+    return table(spark, d, "chunk").groupBy("kb_id").agg(F.count("*").alias("n"), F.countDistinct("docnm_kwd").alias("files"))
+
+
+@query()
+def highlighted_hits(spark, d):
+    """R22 R23"""
+    chunks, terms, p, _, _ = _search(spark, d)
+    hits = R.top(R.coverage(terms, p, "request_id", "id"), "request_id", "id", 3).join(terms.groupBy("request_id").agg(F.collect_list("term").alias("k")), "request_id")
+    return hits.join(chunks, "id").select("request_id", "id", T.highlight(F.col("content_with_weight"), F.col("k")).alias("highlight"))
+
+
+@query("SELECT id, page_avg, row_number() OVER (ORDER BY page_avg NULLS LAST, top_avg NULLS LAST, create_time DESC NULLS LAST, id) AS place FROM (SELECT DISTINCT id, round(list_avg(list_filter(page_num_int, lambda x: x IS NOT NULL)), 6) AS page_avg, list_avg(list_filter(top_int, lambda x: x IS NOT NULL)) AS top_avg, max(create_time) AS create_time FROM chunk WHERE kb_id = 'kb_09' AND available_int = 1 GROUP BY ALL) QUALIFY place <= 40")
+def listed_chunks(spark, d):
+    """S24 O1 O2 O3 O4 P5"""
+    c = table(spark, d, "chunk").where("kb_id = 'kb_09' and available_int = 1")
+    avg = lambda n: F.aggregate(F.filter(n, lambda x: x.isNotNull()).cast("array<double>"), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(F.filter(n, lambda x: x.isNotNull())), F.lit(0))
+    c = c.select("id", r6(avg("page_num_int")).alias("page_avg"), avg("top_int").alias("top_avg"), "create_time").groupBy("id", "page_avg", "top_avg").agg(F.max("create_time").alias("create_time"))
+    first = c.orderBy(F.asc_nulls_last("page_avg"), F.asc_nulls_last("top_avg"), F.desc_nulls_last("create_time"), "id").limit(40)
+    w = Window.orderBy(F.asc_nulls_last("page_avg"), F.asc_nulls_last("top_avg"), F.desc_nulls_last("create_time"), "id")
+    return first.select("id", "page_avg", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT DISTINCT request_id, id FROM (SELECT DISTINCT request_id, kb_id, doc_ids, available_int FROM search_request WHERE request_id % 100 = 0) r JOIN chunk c ON c.kb_id = r.kb_id AND (r.doc_ids IS NULL OR list_contains(r.doc_ids, c.doc_id)) AND c.available_int = coalesce(r.available_int, 1)")
+def filtered_requests(spark, d):
+    """P3 P4 P5 J5"""
+    r = table(spark, d, "search_request").where("request_id % 100 = 0").select("request_id", "kb_id", "doc_ids", F.coalesce("available_int", F.lit(1)).alias("a")).distinct()
+    c = table(spark, d, "chunk").select("id", "kb_id", "doc_id", "available_int")
+    both = r.join(c, "kb_id").where((F.col("doc_ids").isNull() | F.array_contains("doc_ids", F.col("doc_id"))) & (F.col("a") == F.col("available_int")))
+    return both.select("request_id", "id").distinct()
+
+
+@query()
+def planned_search(spark, d):
+    """One request through the planner"""
+    chunk = I.latest(table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "content_with_weight", "available_int", "create_timestamp_flt"), "id", "create_timestamp_flt")
+    return plan(chunk, Request(text=MatchText("which parser precedes the message queue?", min_match=0.3), fields=("docnm_kwd", "content_with_weight"), highlight=True))
+
+
+@query()
+def planned_list(spark, d):
+    """S24 O1"""
+    chunk = I.latest(table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "page_num_int", "available_int", "create_timestamp_flt"), "id", "create_timestamp_flt")
+    return plan(chunk, Request(order=OrderBy().asc("page_num_int").desc("create_timestamp_flt"), size=20))
+
+
+# -- figures
+
+_N = r"CASE WHEN trim(content_with_weight, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(content_with_weight, ' '), '[\s\v]+')) END"
+
+
+@query(f"SELECT kb_id, count(*) AS total_chunks, coalesce(sum(n), 0)::BIGINT AS total_tokens, round(avg(n), 6) AS avg_tokens, coalesce(sum(len), 0)::BIGINT AS total_chars FROM (SELECT kb_id, CASE WHEN content_with_weight <> '' THEN {_N} END AS n, CASE WHEN content_with_weight <> '' THEN length(content_with_weight) END AS len FROM chunk) GROUP BY ALL")
+def chunk_statistics(spark, d):
+    """A4"""
+    s = A.chunk_stats(table(spark, d, "chunk"), "content_with_weight", "kb_id")
+    return s.select("kb_id", "total_chunks", "total_tokens", r6(F.col("avg_tokens")).alias("avg_tokens"), "total_chars")
+
+
+@query("SELECT kb_id, n, short, long, empty, round(v, 4) AS var_length, round(greatest(0, 100 - 30 * short / n - 20 * long / n - coalesce(50 * v / nullif(m * m, 0), 0)), 6) AS score FROM (SELECT kb_id, count(*) AS n, avg(l) AS m, var_pop(l) AS v, count(*) FILTER (l < 50) AS short, count(*) FILTER (l > 2000) AS long, count(*) FILTER (content_with_weight IS NULL OR content_with_weight = '') AS empty FROM (SELECT kb_id, content_with_weight, CASE WHEN content_with_weight <> '' THEN length(content_with_weight) END AS l FROM chunk) GROUP BY ALL)")
+def chunk_quality(spark, d):
+    """A5 A7"""
+    q = A.chunk_quality(table(spark, d, "chunk"), "content_with_weight", "kb_id")
+    return q.select("kb_id", "n", "short", "long", "empty", F.round("var_length", 4).alias("var_length"), r6(F.col("score")).alias("score"))
+
+
+@query(f"SELECT doc_id, greatest(128, least(512, floor(sum(n) / count(*))))::BIGINT AS size FROM (SELECT doc_id, coalesce({_N}, 0) AS n FROM chunk) GROUP BY ALL")
+def optimal_sizes(spark, d):
+    """A6"""
+    n = F.sum(F.coalesce(T.token_count(F.col("content_with_weight")), F.lit(0)))
+    return table(spark, d, "chunk").groupBy("doc_id").agg(A.optimal_size(n, F.count("*")).alias("size"))
+
+
+@query("SELECT id, CASE WHEN length(content_with_weight) > 200 THEN substr(content_with_weight, 1, 200) || '...' ELSE content_with_weight END AS preview FROM chunk")
+def previews(spark, d):
+    """A8"""
+    return table(spark, d, "chunk").select("id", T.preview(F.col("content_with_weight")).alias("preview"))
+
+
+@query("SELECT count(*) AS n, round(avg(x), 6) AS mean_norm, round(stddev_pop(x), 6) AS std_norm, round(min(x), 6) AS min_norm, round(max(x), 6) AS max_norm FROM (SELECT sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings)")
+def vector_norms(spark, d):
+    """A9"""
+    s = A.norm_stats(table(spark, d, "embeddings"), "embedding")
+    return s.select("n", *[r6(F.col(c)).alias(c) for c in s.columns[1:]])
+
+
+@query(f"WITH s AS (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 100) SELECT count(*) AS pairs, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS std, round(min({_COS}), 6) AS min, round(max({_COS}), 6) AS max FROM s a, s b WHERE a.vec_id <> b.vec_id")
+def vector_pairs(spark, d):
+    """A9"""
+    s = A.pair_stats(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return s.select("pairs", *[r6(F.col(c)).alias(c) for c in s.columns[1:]])
+
+
+@query()
+def vector_clusters(spark, d):
+    """A10"""
+    return A.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding")[0]
+
+
+@query()
+def hashed_embeddings(spark, d):
+    """U1 U2 U5 J15"""
+    chunk = table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "content_with_weight", "question_kwd")
+    return E.embed_chunks(chunk, E.HashingEmbedder(64)).select("id", "q_64_vec")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (content_with_weight IS NOT NULL) AS stored, round(count(*) FILTER (content_with_weight IS NOT NULL) / count(*), 6) AS success_rate FROM chunk")
+def store_report(spark, d):
+    """A11 A16"""
+    s = A.store_report(table(spark, d, "chunk"), F.col("content_with_weight").isNotNull(), 10.0)
+    return s.select("total", "stored", r6(F.col("success_rate")).alias("success_rate"))
+
+
+# -- joins, boxes, hierarchies
+
+_BOXES = "box AS (SELECT DISTINCT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, l_quantity AS x0, l_quantity + l_tax * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + l_discount * 100 + 1 AS bottom FROM lineitem), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"
+
+
+def _boxes(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    q, p = F.col("l_quantity"), F.col("l_partkey") % 50
+    box = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    boxes = li.select(F.col("l_orderkey").alias("page"), box.alias("box"), q.alias("x0"), (q + F.col("l_tax") * 100 + 1).alias("x1"), p.cast("double").alias("top"), (p + F.col("l_discount") * 100 + 1).alias("bottom")).distinct()
+    return boxes, o.select(F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 7).cast("int").alias("region_id"), F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(30.0).alias("bottom"))
+
+
+_OVER = "greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.bottom, r.bottom) - greatest(b.top, r.top)) / ((b.x1 - b.x0) * (b.bottom - b.top))"
+
+
+@query(f"WITH {_BOXES}, o AS (SELECT page, box, region_id, {_OVER} AS v FROM box b JOIN region r USING (page)) SELECT page, box, any_value(region_id) AS region_id, round(max(v), 6) AS covered FROM o WHERE v >= 0.4 GROUP BY ALL")
+def boxes_in_regions(spark, d):
+    """J6 J7 V8 V10 V13"""
+    boxes, regions = _boxes(spark, d)
+    best = L.best_region(boxes, regions, ["page"], "box", 0.4)
+    return best.where("region_id is not null").select("page", "box", "region_id", r6(F.col("covered")).alias("covered"))
+
+
+@query(f"WITH {_BOXES}, w AS (SELECT page, box, top, x0, CASE WHEN top - lag(top) OVER (PARTITION BY page ORDER BY top, x0, box) <= avg(bottom - top) OVER (PARTITION BY page) / 2 THEN 0 ELSE 1 END AS new FROM box) SELECT page, row_no, count(*) AS boxes FROM (SELECT page, sum(new) OVER (PARTITION BY page ORDER BY top, x0, box)::BIGINT AS row_no FROM w) GROUP BY ALL")
+def boxes_in_rows(spark, d):
+    """W4 W5 O7 O8"""
+    boxes, _ = _boxes(spark, d)
+    return L.text_rows(boxes, ["page"]).groupBy("page", "row_no").agg(F.count("*").alias("boxes"))
+
+
+@query()
+def boxes_suppressed(spark, d):
+    """V6 V9"""
+    boxes, _ = _boxes(spark, d)
+    return L.suppress(boxes.withColumn("score", F.col("x1") - F.col("x0")), ["page"], "box", 0.2).groupBy("page").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT o_custkey, o_orderkey, (sum(floor(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - floor(o_totalprice))::BIGINT AS \"offset\" FROM orders")
+def page_offsets(spark, d):
+    """W2 W3"""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("height"))
+    return L.page_offsets(o, "o_custkey", "o_orderkey", "height").select("o_custkey", "o_orderkey", "offset")
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest({_LINES.format('text')}) AS line FROM documents), r AS (SELECT doc_id, line FROM l GROUP BY ALL HAVING count(*) > 1) SELECT doc_id, count(*) AS lines FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.line = l.line) GROUP BY ALL")
+def without_repeated_lines(spark, d):
+    """P15 J14"""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(C.sections(F.col("text"))).alias("line"))
+    return L.drop_repeated(lines, "doc_id", "line").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest({_LINES.format('text')}) AS line FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE doc_id NOT IN (SELECT doc_id FROM l GROUP BY doc_id HAVING count(*) FILTER (regexp_matches(line, '(\\.|·){{4,}}')) > 3) GROUP BY ALL")
+def without_leader_pages(spark, d):
+    """P16"""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(C.sections(F.col("text"))).alias("line"))
+    return L.drop_leader_pages(lines, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS b, epoch_us(ts) // 1000000 + 3600 AS e FROM events) SELECT x.event_id AS a, y.event_id AS b FROM e x JOIN e y USING (user_id) WHERE x.b <= y.e AND y.b <= x.e AND x.event_id < y.event_id")
+def overlapping_intervals(spark, d):
+    """J6 J10"""
+    e = table(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("b"))
+    e = e.withColumn("e", F.col("b") + 3600)
+    return J.overlap_join(e, e, "user_id", "b", "e", 7200).where("event_id < event_id_r").select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b"))
+
+
+@query("WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id AS other, user_id, epoch_us(ts) AS u FROM events WHERE event_type <> 'purchase') SELECT event_id, other AS nearest FROM a LEFT JOIN b USING (user_id) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(t - u) NULLS LAST, other) = 1")
+def nearest_events(spark, d):
+    """J8 J9"""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    a, b = e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'")
+    return J.nearest_join(a.drop("event_type"), b, "user_id", "t", "event_id", "t").select("event_id", "nearest")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events")
+def last_click(spark, d):
+    """W8 W10"""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("value")), True).over(w).alias("last_click"))
+
+
+@query("WITH g AS (SELECT name, list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, i, 2))) AS g FROM (SELECT DISTINCT docnm_kwd AS name FROM source_file WHERE length(docnm_kwd) > 1)) SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g)), 6) AS similarity FROM g a, g b WHERE a.name < b.name AND len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g)) > 0.8")
+def similar_file_names(spark, d):
+    """C11 J11 O10"""
+    n = table(spark, d, "source_file").where("length(docnm_kwd) > 1").select("docnm_kwd")
+    pairs = J.similar_names(n, n, "docnm_kwd", "docnm_kwd", T.bigrams(F.col("a")), T.bigrams(F.col("b")), 0.8)
+    return pairs.where("a < b").select("a", "b", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("SELECT n_nationkey, [n_name, r_name] AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def hierarchy_paths(spark, d):
+    """J13"""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    tree = n.select((F.col("n_nationkey") + 100).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent")).unionByName(r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("parent")))
+    return J.walk_up(n.withColumn("node", F.col("n_nationkey") + 100), tree, "n_nationkey", "node", "name", 3).select("n_nationkey", "path")
+
+
+@query(f"WITH {_POSTINGS}, dict AS (SELECT name AS term, count(*) AS pos FROM (SELECT lower(subject) AS name FROM subject_area UNION ALL SELECT lower(lang) FROM subject_sample) GROUP BY ALL) SELECT term, df.df, pos FROM df LEFT JOIN dict USING (term)")
+def dictionary_join(spark, d):
+    """J1 J2 T12 T13"""
+    _, _, _, df, _ = _search(spark, d)
+    words = table(spark, d, "subject_area").select(F.lower("subject").alias("term")).unionAll(table(spark, d, "subject_sample").select(F.lower("lang")))
+    return df.join(words.groupBy("term").agg(F.count("*").alias("pos")), "term", "left")
+
+
+# -- relational and streaming supersets
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, d):
+    li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT r_name, n_name, count(*) AS customers, grouping(n_name)::INT AS g FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def customers_rollup(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.grouping("n_name").cast("int").alias("g"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def customers_cube(spark, d):
+    return table(spark, d, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def customers_without_orders(spark, d):
+    """O11"""
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT l_suppkey FROM lineitem")
+def shared_keys(spark, d):
+    """O10"""
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")))
+
+
+@query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders")
+def moving_average(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(w), 4).alias("moving"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_windows(spark, d):
+    t = S.tumbling(table(spark, d, "events"), "ts", "1 hour", "event_type")
+    return t.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+@query("SELECT strftime(to_timestamp((epoch_us(ts) // 1800000000 - k) * 1800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+def sliding_windows(spark, d):
+    t = S.sliding(table(spark, d, "events"), "ts", "1 hour", "30 minutes", "event_type")
+    return t.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, no")
+def session_windows(spark, d):
+    t = S.sessions(table(spark, d, "events"), "ts", "30 minutes", "user_id")
+    return t.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
