@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_config, codes, slices
+from .common import bounded_sample, chunk_config, codes, slices
 from .encoding import Repairer
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "it", "ru")
@@ -224,13 +224,13 @@ def widen(f: LanguageFilter, labelled: list[tuple[str, str]], corpus: list[tuple
 def train(samples: DataFrame, items: DataFrame, docs: DataFrame | None = None) -> LanguageFilter:
     """A filter from at most ``SAMPLE_ROWS`` labelled rows of each table, widened by at most ``WIDEN_ROWS`` labelled documents
     (those of the least hashed texts), whose labels may be wrong."""
-    a = samples.where("text is not null and lang is not null").select("lang", "text").orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS).toPandas()
-    b = items.where("passage is not null and lang is not null").select("lang", F.col("passage").alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS).toPandas()
+    a = bounded_sample(samples.where("text is not null and lang is not null").select("lang", "text"), SAMPLE_ROWS, "text", "lang").toPandas()
+    b = bounded_sample(items.where("passage is not null and lang is not null").select("lang", F.col("passage").alias("text")), SAMPLE_ROWS, "text", "lang").toPandas()
     labelled = [*a.itertuples(index=False, name=None), *b.itertuples(index=False, name=None)]
     f = LanguageFilter.fit(labelled)
     if docs is None:
         return f
-    c = docs.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("lang", "text").orderBy(F.xxhash64("text")).limit(WIDEN_ROWS).toPandas()
+    c = bounded_sample(docs.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("lang", "text"), WIDEN_ROWS, "text", "lang").toPandas()
     return widen(f, labelled, [*c.itertuples(index=False, name=None)])
 
 
