@@ -11,6 +11,7 @@ ordinary text; repeated rows give one row; rows of one id with different texts g
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,11 +23,12 @@ from ..session import staged
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-token pattern of byte_bpe_50k (a fixed value of that public tokenizer); (?U): white space as Unicode has it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of the broadcast table of frequent words.
+#: Rows of the broadcast table of frequent words, at most.
 HOT_WORDS = 20_000
 
 
 def _encoder(spec: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(spec)
@@ -58,7 +60,9 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     parts = F.when(F.col("_text").rlike(r"\p{Cn}"), F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(PATTERN), 0))
     at = rows.select("_id", "_key", F.posexplode_outer(F.coalesce(parts, F.array().cast("array<string>"))).alias("pos", "word"))
     table = staged(encode_words(at.where("word is not null").groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
-    hot = table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", F.col("ids").alias("hot_ids"))
+    # words that are more than a hot_words-th part of all: never more than hot_words rows
+    total = table.agg(F.sum("n").alias("total"))
+    hot = table.crossJoin(F.broadcast(total)).where(F.col("n") * hot_words > F.col("total")).select("word", F.col("ids").alias("hot_ids"))
     marked = at.join(F.broadcast(hot), "word", "left")
     done = marked.where("hot_ids is not null or word is null").select("_id", "_key", "pos", F.col("hot_ids").alias("ids"))
     rare = marked.where("hot_ids is null and word is not null").select("_id", "_key", "pos", "word").join(table.select("word", "ids"), "word").select("_id", "_key", "pos", "ids")
