@@ -230,7 +230,7 @@ def train(samples: DataFrame, items: DataFrame, docs: DataFrame | None = None) -
     f = LanguageFilter.fit(labelled)
     if docs is None:
         return f
-    c = bounded_sample(docs.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("lang", "text"), WIDEN_ROWS, "text", "lang").toPandas()
+    c = bounded_sample(docs.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("lang", "text"), WIDEN_ROWS, "text", "lang", by="lang").toPandas()
     return widen(f, labelled, [*c.itertuples(index=False, name=None)])
 
 
