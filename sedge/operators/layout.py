@@ -105,10 +105,10 @@ def header_rows(cells: DataFrame, table: list[str]) -> DataFrame:
 
 def table_html(cells: DataFrame, headers: DataFrame, table: list[str]) -> DataFrame:
     """An HTML table of each table's cells."""
-    c = cells.groupBy(*table, "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda x: x["text"]), " ").alias("t"))
+    c = cells.groupBy(*table, "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda x: x["text"]), " ").alias("_text"))
     h = c.join(headers.select(*table, "r", "header"), [*table, "r"])
     tag = F.when(F.col("header"), "th").otherwise("td")
-    rows = h.groupBy(*table, "r").agg(F.array_sort(F.collect_list(F.struct("c", F.concat(F.lit("<"), tag, F.lit(">"), F.col("t"), F.lit("</"), tag, F.lit(">")).alias("x")))).alias("l"))
+    rows = h.groupBy(*table, "r").agg(F.array_sort(F.collect_list(F.struct("c", F.concat(F.lit("<"), tag, F.lit(">"), F.col("_text"), F.lit("</"), tag, F.lit(">")).alias("x")))).alias("l"))
     rows = rows.select(*table, "r", F.concat(F.lit("<tr>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</tr>")).alias("x"))
     both = rows.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("r", "x"))).alias("l"))
     return both.select(*table, F.concat(F.lit("<table>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</table>")).alias("html"))

@@ -17,8 +17,8 @@ from ..functions import weights as Wt
 
 
 def query_terms(queries: DataFrame, qid: str, question: str) -> DataFrame:
-    """``qid``, distinct ``term`` and its normalised ``weight`` of each cleaned question."""
-    cleaned = T.clean_query(F.lower(F.regexp_replace(T.half_width(F.col(question)), r"[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+", " ")))
+    """``qid``, distinct ``term`` and its normalised ``weight`` of each question, cleaned twice, as neighbouring stop words share a space."""
+    cleaned = T.clean_query(T.clean_query(F.lower(F.regexp_replace(T.half_width(F.col(question)), r"[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+", " "))))
     terms = queries.select(qid, F.explode(F.array_distinct(T.tokens(cleaned))).alias("term"))
     raw = terms.withColumn("raw", Wt.raw_weight(F.col("term")))
     return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(qid))).drop("raw")

@@ -56,10 +56,14 @@ _LINES = "list_filter(string_split({0}, chr(10)), lambda x: trim(x, ' ') <> '')"
 _CHUNKS = "chunks AS (SELECT DISTINCT id, doc_id, docnm_kwd, kb_id, content_with_weight, pagerank_fea FROM chunk WHERE id IS NOT NULL)"
 _POSTINGS = f"{_CHUNKS}, tok AS (SELECT id, {_TOKENS.format('coalesce(content_with_weight, chr(32))')} AS t FROM chunks), p AS (SELECT id, term, count(*) AS tf, max(length) AS length FROM (SELECT id, unnest(t) AS term, len(t) AS length FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
 _NOISE = [x.replace("'", "''") for x, _ in T.QUERY_NOISE]
+def _cleaned(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '(?i){_NOISE[0]}', '', 'g'), '(?i){_NOISE[1]}', ' ', 'g'), '(?i){_NOISE[2]}', ' ', 'g')"
+
+
 _CLEANED = "lower(regexp_replace(translate(question, '" + "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　', '" + "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''") + " '), '[ :|\\r\\n\\t,，。？?/`!！&^%()\\[\\]{}<>]+', ' ', 'g'))"
 _QUERY = f"""rq AS (SELECT request_id, any_value(question) AS question, any_value(kb_id) AS kb_id FROM search_request WHERE request_id % 100 = 0 GROUP BY ALL),
 q1 AS (SELECT request_id, {_CLEANED} AS q0 FROM rq),
-q2 AS (SELECT request_id, q0, regexp_replace(regexp_replace(regexp_replace(q0, '(?i){_NOISE[0]}', '', 'g'), '(?i){_NOISE[1]}', ' ', 'g'), '(?i){_NOISE[2]}', ' ', 'g') AS qx FROM q1),
+q2 AS (SELECT request_id, CASE WHEN qy = '' THEN q0 ELSE qy END AS q0, {_cleaned("CASE WHEN qy = '' THEN q0 ELSE qy END")} AS qx FROM (SELECT *, {_cleaned("q0")} AS qy FROM q1)),
 qt AS (SELECT DISTINCT request_id, unnest({_TOKENS.format("CASE WHEN qx = '' THEN q0 ELSE qx END")}) AS term FROM q2),
 qr AS (SELECT request_id, term, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 3.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 10.0 END AS f, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 5.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 3.0 END AS d, CASE WHEN regexp_full_match(term, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{{1,2}}') THEN 0.01 ELSE 1.0 END AS e FROM qt),
 qw AS (SELECT request_id, term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * e AS raw FROM qr),
@@ -600,14 +604,14 @@ def store_report(spark, d):
 
 # -- joins, boxes, hierarchies
 
-_BOXES = "box AS (SELECT DISTINCT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, l_quantity AS x0, l_quantity + l_tax * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + l_discount * 100 + 1 AS bottom FROM lineitem), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"
+_BOXES = "box AS (SELECT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, max(l_quantity) AS x0, max(l_quantity) + max(l_tax) * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + max(l_discount) * 100 + 1 AS bottom FROM lineitem GROUP BY ALL), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"
 
 
 def _boxes(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    q, p = F.col("l_quantity"), F.col("l_partkey") % 50
     box = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
-    boxes = li.select(F.col("l_orderkey").alias("page"), box.alias("box"), q.alias("x0"), (q + F.col("l_tax") * 100 + 1).alias("x1"), p.cast("double").alias("top"), (p + F.col("l_discount") * 100 + 1).alias("bottom")).distinct()
+    rows = li.groupBy(F.col("l_orderkey").alias("page"), box.alias("box"), (F.col("l_partkey") % 50).alias("p")).agg(F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"), F.max("l_discount").alias("d"))
+    boxes = rows.select("page", "box", F.col("q").alias("x0"), F.expr("q + t * 100 + 1").alias("x1"), F.col("p").cast("double").alias("top"), F.expr("p + d * 100 + 1").alias("bottom"))
     return boxes, o.select(F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 7).cast("int").alias("region_id"), F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(30.0).alias("bottom"))
 
 

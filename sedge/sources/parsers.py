@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators import chunking as C
@@ -26,7 +27,7 @@ def read_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = tuple
     return files.where(F.col("length") <= largest).select("path", name.alias("name"), T.file_kind(name).alias("kind"), "length", "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of bytes in the first encoding that fits; what can't be decoded is dropped."""
 
