@@ -266,7 +266,7 @@ def text_languages(rows: DataFrame, f: LanguageFilter, id_col: str = "id", text_
                 langs[i] = sorted(x for x, c in own.items() if x == main or max(c) >= SURE)
             at = sorted(langs)
             out = pdf.iloc[at][["id", *keep]].reset_index(drop=True)
-            yield out.assign(langs=[langs[i] for i in at])
+            yield out.assign(langs=pd.Series([langs[i] for i in at], dtype=object))
 
     some = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("_text"), *keep)
     kinds = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)

@@ -60,10 +60,11 @@ class ItemIndex:
         self.edits, self.fields, shortest = edits, [], 1 << 30
         for item, field, text, need in fields:
             ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
-            if text and len(ends) >= need:
+            if text and (len(ends) >= need or region and len(text) >= region):
                 self.fields.append((item, field, text, need))
                 begins = np.concatenate([[0], ends[:-1]])
-                shortest = min(shortest, int((ends[need - 1 :] - 1 - begins[: len(ends) - need + 1]).min()))
+                if len(ends) >= need:
+                    shortest = min(shortest, int((ends[need - 1 :] - 1 - begins[: len(ends) - need + 1]).min()))
         self.shortest = shortest = region or shortest
         self.q = max(3, shortest // (2 + 2 * edits)) if self.fields else 3
         self.bound = max(1, shortest + 1 - self.q - self.q * edits)
