@@ -604,7 +604,7 @@ def store_report(spark, d):
 
 # -- joins, boxes, hierarchies
 
-_BOXES = "box AS (SELECT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, max(l_quantity) AS x0, max(l_quantity) + max(l_tax) * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + max(l_discount) * 100 + 1 AS bottom FROM lineitem GROUP BY ALL), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"
+_BOXES = "box AS (SELECT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, max(l_quantity) AS x0, max(l_quantity) + max(l_tax) * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + max(l_discount) * 100 + 1 AS bottom FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"
 
 
 def _boxes(spark, d):
