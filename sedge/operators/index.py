@@ -11,15 +11,23 @@ from ..functions import text as T
 FIELD_BOOSTS = {"title_tks": 10.0, "title_sm_tks": 5.0, "important_kwd": 30.0, "important_tks": 20.0, "question_tks": 20.0, "content_ltks": 2.0, "content_sm_ltks": 1.0}
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``term``, ``tf`` and the text's ``length`` in tokens; counted within the row, so there is no shuffle."""
+def postings(df: DataFrame, id_col: str, text_col: str, keep_empty: bool = False) -> DataFrame:
+    """``id``, ``term``, ``tf`` and the text's ``length`` in tokens. Where ``df`` is partitioned by id, as after removing
+    repeated ids, counting needs no further shuffle. ``keep_empty``: texts without tokens have a row with a null term."""
     tokens = T.tokens(F.col(text_col))
     df = df.select(id_col, F.coalesce(tokens, F.array().cast("array<string>")).alias("_t")).withColumn("length", F.size("_t").cast("long"))
-    return df.select(id_col, "length", F.explode("_t").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    term = F.explode_outer("_t") if keep_empty else F.explode("_t")
+    return df.select(id_col, "length", term.alias("term")).groupBy(id_col, "term").agg(F.count("term").alias("tf"), F.first("length").alias("length"))
+
+
+def postings_stats(p: DataFrame, id_col: str) -> DataFrame:
+    """``n`` texts and their average length from postings that keep empty texts; one row."""
+    n = F.countDistinct(id_col)
+    return p.agg(n.alias("n"), (F.sum("tf") / n).alias("avgdl"))
 
 
 def document_frequency(p: DataFrame) -> DataFrame:
-    return p.groupBy("term").agg(F.count("*").alias("df"))
+    return p.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def collection_stats(df: DataFrame, text_col: str) -> DataFrame:

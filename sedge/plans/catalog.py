@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokenizer as K
 from ..functions import vectors as V
 from ..functions import weights as Wt
 from ..operators import analytics as A
@@ -19,10 +20,12 @@ from ..operators import embedding as E
 from ..operators import index as I
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import rerank as M
 from ..operators import retrieval as R
 from ..operators import tables as Tb
-from ..session import table
+from ..session import staged, table
 from ..streaming import ingest as S
+from .config import PARSERS, ChunkingConfig, chunk_texts
 from .query import MatchText, OrderBy, Request, plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +84,11 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str):
-    chunks = _chunks(spark, d)
+    """Chunks, query terms, and the index: the postings are written once, frequencies and lengths come from them."""
     terms = R.query_terms(_requests(spark, d), "request_id", "question")
-    p = I.postings(chunks, "id", "content_with_weight")
-    return chunks, terms, p, I.document_frequency(p), I.collection_stats(chunks, "content_with_weight")
+    rows = table(spark, d, "chunk").where("id is not null").select("id", "content_with_weight").dropDuplicates(["id"])
+    p = staged(I.postings(rows, "id", "content_with_weight", keep_empty=True), "postings")
+    return _chunks(spark, d), terms, p.where("term is not null"), I.document_frequency(p), I.postings_stats(p, "id")
 
 
 # -- texts
@@ -602,6 +606,74 @@ def store_report(spark, d):
     return s.select("total", "stored", r6(F.col("success_rate")).alias("success_rate"))
 
 
+# -- segmentation, models, tags
+
+
+@query()
+def dictionary_tokens(spark, d):
+    """The dictionary holds the keywords of all chunks"""
+    words = table(spark, d, "chunk").select(F.explode("important_kwd").alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("freq")).withColumn("pos", F.lit("n"))
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", K.tokenize(F.col("text"), K.Dictionary.from_table(words, 50_000)).alias("tokens"))
+
+
+@query()
+def merged_terms(spark, d):
+    """T10 T11"""
+    q = table(spark, d, "search_request").where("question is not null").select("request_id", T.tokens(F.col("question")).alias("t")).distinct()
+    return q.select("request_id", K.glue_latin(F.col("t")).alias("glued"), K.merge_short(F.col("t")).alias("merged"))
+
+
+@query("WITH t AS (SELECT parser_type AS tag, count(*) AS n FROM documents GROUP BY ALL) SELECT tag, round((n + 1) / (sum(n) OVER () + 1000), 6) AS portion FROM t")
+def tag_portions(spark, d):
+    """A17 R27"""
+    p = M.tag_portions(table(spark, d, "documents").select(F.col("parser_type").alias("tag")), "tag")
+    return p.select("tag", r6(F.col("portion")).alias("portion"))
+
+
+@query("WITH p AS (SELECT parser_type AS tag, (count(*) + 1) / ((SELECT count(*) FROM documents) + 1000) AS portion FROM documents GROUP BY ALL), c AS (SELECT source, parser_type AS tag, count(*) AS c FROM documents GROUP BY ALL) SELECT source, tag, score FROM (SELECT source, tag, round(0.1 * (c + 1) / (sum(c) OVER (PARTITION BY source) + 1000) / greatest(portion, 1e-6), 6) AS score FROM c JOIN p USING (tag)) QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, tag) <= 3")
+def tag_scores(spark, d):
+    """R27"""
+    docs = table(spark, d, "documents").select("source", F.col("parser_type").alias("tag"))
+    return M.tag_scores(docs, M.tag_portions(docs, "tag"), "source", "tag")
+
+
+@query()
+def reranked_by_model(spark, d):
+    """R19 U6"""
+    chunks, terms, p, _, _ = _search(spark, d)
+    hits = R.top(R.coverage(terms, p, "request_id", "id"), "request_id", "id", 20).withColumnRenamed("score", "tok")
+    both = hits.join(chunks.select("id", "content_with_weight", F.col("pagerank_fea").alias("rank_fea")), "id").join(_requests(spark, d).select("request_id", "question"), "request_id")
+    ranked = M.rerank_by_model(both, "request_id", "question", "content_with_weight", M.OverlapScorer())
+    return ranked.select("request_id", "id", r6(F.col("score")).alias("score"))
+
+
+@query()
+def paragraph_terms(spark, d):
+    """R6"""
+    _, _, p, df, _ = _search(spark, d)
+    return M.top_terms(p.select("id", "term"), df.select("term", Wt.raw_weight(F.col("term")).alias("weight")), "id").select("id", "terms", "must")
+
+
+@query()
+def chunks_by_strategy(spark, d):
+    """Every document by the strategy of its parser type"""
+    docs, out = table(spark, d, "documents").select("doc_id", "text", "parser_type"), None
+    for kind in PARSERS:
+        part = chunk_texts(docs.where(F.col("parser_type") == kind).drop("parser_type"), ChunkingConfig(parser_type=kind))
+        part = part.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "content")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def sql_over_views(spark, d):
+    """K7"""
+    for t in ("customer", "nation", "region"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    return spark.sql("SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
 # -- joins, boxes, hierarchies
 
 _BOXES = "box AS (SELECT l_orderkey AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS box, max(l_quantity) AS x0, max(l_quantity) + max(l_tax) * 100 + 1 AS x1, l_partkey % 50 AS top, l_partkey % 50 + max(l_discount) * 100 + 1 AS bottom FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber), region AS (SELECT o_orderkey AS page, (o_custkey % 7)::INT AS region_id, 0.0 AS x0, 30.0 AS x1, 0.0 AS top, 30.0 AS bottom FROM orders)"

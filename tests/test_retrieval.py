@@ -84,4 +84,6 @@ def test_ties_go_by_id(spark):
 def test_postings(spark):
     df = spark.createDataFrame([("a", "x y x 中文"), ("b", ""), ("c", None)], "id string, t string")
     got = {(r["term"], r["tf"], r["length"]) for r in I.postings(df, "id", "t").collect()}
+    kept = I.postings(df, "id", "t", keep_empty=True)
+    assert tuple(I.postings_stats(kept, "id").first()) == (3, 5 / 3) and I.document_frequency(kept).count() == 4
     assert got == {("x", 2, 5), ("y", 1, 5), ("中", 1, 5), ("文", 1, 5)}
