@@ -22,6 +22,7 @@ CASES = [
     ("Der Bericht über die Prüfung", "utf-8", "cp1252"), ("La sesión está aquí", "utf-8", "latin-1"), ("Отчёт о проверке системы", "utf-8", "cp1251"), ("résumé collection", "utf-8", "mac_roman"),
     ("用户手册与说明", "utf-8", "cp437"), ("常见问题说明", "gb18030", "latin-1"), ("Обзор системы", "cp1251", "latin-1"), ("Справочник проверки", "cp866", "cp1251"), ("Договор поставки товара", "koi8-r", "cp1251"),
     ("le génome très récent", "cp1252", "mac_roman"), ("die Düngung überall", "cp1252", "cp850"), ("研究论文报告", "utf-8", "gb18030"), ("常见问题报告说明", "gb18030", "big5"),
+    ("la página según el plan", "utf-8", "gb18030"), ("bei 474 °C sorgfältig", "utf-8", "gb18030"), ("the “Question” near “Rendahar” was", "cp1252", "cp850"), ("– The trial ran", "cp1252", "mac_roman"),
 ]
 
 
