@@ -72,8 +72,8 @@ def split_chunks(chunk: DataFrame, source_file: DataFrame, chunking_config: Data
 
     Only chunks above the smallest limit in use travel to the join with the configs."""
     config = chunk_config(source_file, chunking_config, "chunk_token_num", "overlap_token_num", "delimiter").where("chunk_token_num > 0")
-    least = chunking_config.where("chunk_token_num > 0").agg(F.min("chunk_token_num").alias("_least"))
+    least = chunking_config.where("chunk_token_num > 0").agg(F.min("chunk_token_num")).first()[0]
     some = chunk.select("id", "doc_id", "content_with_weight").where("id is not null and content_with_weight is not null")
-    some = some.join(F.broadcast(least), token_count(F.col("content_with_weight")) > F.col("_least")).drop("_least")
+    some = some.where(token_count(F.col("content_with_weight")) > F.lit(least)) if least is not None else some.limit(0)
     rows = some.join(config, "doc_id").select("id", "doc_id", "content_with_weight", "chunk_token_num", "overlap_token_num", "delimiter").dropDuplicates(["id"])
     return split_texts(rows, "content_with_weight", "chunk_token_num", "overlap_token_num", "delimiter")

@@ -61,8 +61,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     at = rows.select("_id", "_key", F.posexplode_outer(F.coalesce(parts, F.array().cast("array<string>"))).alias("pos", "word"))
     table = staged(encode_words(at.where("word is not null").groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
     # words that are more than a hot_words-th part of all: never more than hot_words rows
-    total = table.agg(F.sum("n").alias("total"))
-    hot = table.crossJoin(F.broadcast(total)).where(F.col("n") * hot_words > F.col("total")).select("word", F.col("ids").alias("hot_ids"))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") * hot_words > total).select("word", F.col("ids").alias("hot_ids"))
     marked = at.join(F.broadcast(hot), "word", "left")
     done = marked.where("hot_ids is not null or word is null").select("_id", "_key", "pos", F.col("hot_ids").alias("ids"))
     rare = marked.where("hot_ids is null and word is not null").select("_id", "_key", "pos", "word").join(table.select("word", "ids"), "word").select("_id", "_key", "pos", "ids")
