@@ -30,10 +30,16 @@ def top(scored: DataFrame, qid: str, id_col: str, k: int, score: str = "score")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _one_row(stats: DataFrame) -> tuple[Column, Column]:
+    """Number and average length of the texts, as literals."""
+    r = stats.first()
+    return F.lit(float(r["n"] or 0)), F.lit(float(r["avgdl"] or 1.0))
+
+
 def bm25(terms: DataFrame, postings: DataFrame, frequency: DataFrame, stats: DataFrame, qid: str, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``qid``, id, ``score`` and ``matched`` terms of every row with a term. ``stats`` is one row, ``frequency`` meets only the queries' terms."""
-    q = terms.join(frequency, "term").crossJoin(F.broadcast(stats))
-    q = q.select(qid, "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    n, avgdl = _one_row(stats)
+    q = terms.join(frequency, "term").select(qid, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), avgdl.alias("avgdl"))
     hit = postings.join(q, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     return hit.groupBy(qid, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
@@ -41,9 +47,9 @@ def bm25(terms: DataFrame, postings: DataFrame, frequency: DataFrame, stats: Dat
 
 def saturated_idf(terms: DataFrame, postings: DataFrame, frequency: DataFrame, stats: DataFrame, qid: str, id_col: str, boost: float = 1.0) -> DataFrame:
     """The scripted similarity of token fields: idf against that of the rarest term, with a term frequency of one at most."""
-    q = terms.join(frequency, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
-    q = q.select(qid, "term", (idf * boost).alias("s"))
+    n, _ = _one_row(stats)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (n - 0.5) / 1.5)
+    q = terms.join(frequency, "term").select(qid, "term", (idf * boost).alias("s"))
     return postings.select(id_col, "term").join(q, "term").groupBy(qid, id_col).agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
 
 
