@@ -112,7 +112,19 @@ _CONFIG = """config AS (
     (SELECT doc_id, max_by(config_id, struct_pack(a := uploaded_at, b := config_id)) AS config_id FROM source_file WHERE config_id IS NOT NULL GROUP BY doc_id) f
     JOIN (SELECT DISTINCT config_id, chunk_token_num FROM chunking_config) c USING (config_id))"""
 
+_WORDS = r"regexp_extract_all(regexp_replace(lower({0}), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
 ORACLE = {
+    "p2_found": f"""WITH w AS (SELECT id, any_value({_WORDS.format("content_with_weight")}) AS w FROM chunk WHERE id IS NOT NULL AND content_with_weight IS NOT NULL GROUP BY id),
+s AS (SELECT DISTINCT id, hash(w[k], w[k + 1], w[k + 2]) AS h FROM w, unnest(range(1, len(w) - 1)) AS t(k) WHERE len(w) >= 30),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, CASE WHEN lang = 'zh' THEN 24 ELSE 10 END AS n, {_WORDS.format("passage")} AS w FROM eval_item UNION ALL SELECT item_id, CASE WHEN lang = 'zh' THEN 24 ELSE 10 END, {_WORDS.format("question")} FROM eval_item),
+iw AS (SELECT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM i, unnest(range(1, len(w) - n + 2)) AS t(k)),
+dw AS (SELECT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM d, (VALUES (10), (24)) AS v(n), unnest(range(1, len(w) - n + 2)) AS t(k))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, s)""",
     "p3_found": rf"""WITH {_CONFIG}
 SELECT DISTINCT id FROM chunk JOIN config USING (doc_id)
 WHERE lim > 0 AND len(regexp_extract_all(content_with_weight, '[\x{{4e00}}-\x{{9fff}}]|[^ \t\n\r\x{{a0}}\x{{3000}}\x{{4e00}}-\x{{9fff}}]+')) > lim""",
