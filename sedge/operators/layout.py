@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from .groups import per_group
 
 _BOX = ("x0", "x1", "top", "bottom")
 
@@ -29,22 +30,45 @@ def best_region(boxes: DataFrame, regions: DataFrame, page: list[str], box_id: s
 def suppress(boxes: DataFrame, page: list[str], box_id: str, least: float = 0.45) -> DataFrame:
     """Boxes without those that a better one of the page and label overlaps (greedy, by score)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pdf
-        pdf = pdf.sort_values(["score", box_id], ascending=[False, True])
-        rows = pdf[list(_BOX)].to_numpy(float)
-        left = np.ones(len(rows), bool)
-        for i in range(len(rows)):
-            if left[i]:
-                a, b = rows[i], rows[i + 1 :]
-                w, h = np.minimum(a[1], b[:, 1]) - np.maximum(a[0], b[:, 0]), np.minimum(a[3], b[:, 3]) - np.maximum(a[2], b[:, 2])
-                x = np.maximum(w, 0) * np.maximum(h, 0)
-                union = (a[1] - a[0]) * (a[3] - a[2]) + (b[:, 1] - b[:, 0]) * (b[:, 3] - b[:, 2]) - x
-                left[i + 1 :] &= ~(x > least * np.maximum(union, 1e-12))
-        return pdf[left]
-
-    return per_group(boxes, page, run, boxes.schema)
+    def kept(rows: list[tuple]) -> list[int]:
+        out: list[int] = []
+        for i, a in enumerate(rows):  # the best first
+            for j in out:
+                b = rows[j]
+                w, h = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
+                if w > 0 and h > 0 and w * h > least * ((a[1] - a[0]) * (a[3] - a[2]) + (b[1] - b[0]) * (b[3] - b[2]) - w * h):
+                    break
+            else:
+                out.append(i)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf, last in _with_last(batches):
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = np.ones(len(pdf), bool)
+            for k, c in enumerate(page):
+                same = (pdf[c] == pdf[c].shift()).to_numpy()
+                new[1:] = ~same[1:] if k == 0 else new[1:] | ~same[1:]
+            edges = [*np.flatnonzero(new), len(pdf)]
+            upto = len(edges) - 1 if last else len(edges) - 2
+            boxes_ = list(zip(*(pdf[c].astype(float).tolist() for c in _BOX), strict=True))
+            at = [x + i for x, y in zip(edges[:upto], edges[1 : upto + 1], strict=True) for i in (kept(boxes_[x:y]) if y - x > 1 else (0,))]
+            rest = pdf.iloc[edges[upto] :]
+            yield pdf.iloc[at]
+
+    return boxes.repartition(*page).sortWithinPartitions(*page, F.desc("score"), box_id).mapInPandas(run, boxes.schema)
+
+
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item, and whether it is the last."""
+    held = None
+    for x in items:
+        if held is not None:
+            yield held, False
+        held = x
+    if held is not None:
+        yield held, True
 
 
 def text_rows(boxes: DataFrame, page: list[str], height: str = "mean_height") -> DataFrame:

@@ -83,6 +83,38 @@ def test_boxes(spark):
     assert {x["box"]: x["region_id"] for x in L.best_region(b, r, ["page"], "box").collect()} == {1: 7, 2: 8, 3: 8}
 
 
+def test_suppression_is_greedy_on_every_page(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for p in range(300):
+        for k in range(r.randrange(1, 9)):
+            x, y = r.uniform(0, 20), r.uniform(0, 20)
+            rows.append((p, k, x, x + r.uniform(5, 15), y, y + r.uniform(5, 15), r.random()))
+    df = spark.createDataFrame(rows, "page int, box int, x0 double, x1 double, top double, bottom double, score double")
+    want = set()
+    for p in range(300):
+        own = sorted((b for b in rows if b[0] == p), key=lambda b: -b[6])
+        left = []
+        for b in own:
+            for c in left:
+                w, h = min(b[3], c[3]) - max(b[2], c[2]), min(b[5], c[5]) - max(b[4], c[4])
+                x = max(w, 0) * max(h, 0)
+                if x / ((b[3] - b[2]) * (b[5] - b[4]) + (c[3] - c[2]) * (c[5] - c[4]) - x) > 0.3:
+                    break
+            else:
+                left.append(b)
+        want |= {(b[0], b[1]) for b in left}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(x["page"], x["box"]) for x in L.suppress(df, ["page"], "box", 0.3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want
+
+
 def test_table_from_boxes(spark):
     cells = [(1, float(c * 20), float(c * 20 + 10), float(r * 20), float(r * 20 + 10), t) for r, row in enumerate([["name", "sum"], ["1", "2"], ["3", "4"]]) for c, t in enumerate(row)]
     df = L.table_cells(spark.createDataFrame(cells, "t int, x0 double, x1 double, top double, bottom double, text string"), ["t"])
