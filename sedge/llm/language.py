@@ -50,12 +50,11 @@ NAMES = {
 
 
 def declared_language(value: Column) -> Column:
-    """The code of a declared language, null if the value names none (placeholders, blanks)."""
+    """The code of a declared language, null if the value names none (placeholders, blanks) or several."""
     plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(value, r"[\s\x{a0}]+", " "))), r"^([a-z]{2,3})[-_][a-z]{2,4}$", "$1")
-    found = F.lit(None).cast("string")
-    for code, names in NAMES.items():
-        found = F.when(plain.isin(*names.split()), code).otherwise(found)
-    return found
+    words = F.split(plain, r"[\s,;/()\[\]]+")
+    named = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(n) for n in names.split()])), code) for code, names in NAMES.items()]))
+    return F.when(F.size(named) == 1, F.element_at(named, 1))
 
 
 _CLASS = np.zeros(65536, np.uint8)  # 1: letter, 2: digit, 3: a character that is a word of its own

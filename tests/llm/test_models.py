@@ -85,9 +85,9 @@ def test_mixed_and_declared(spark, samples):
 
 
 def test_declared_names(spark):
-    names = ["English", "ZH_cn", "pt-BR", "Español", "法文", "Deutsch", "auto", "", None, "N/A", "unknown"]
+    names = ["English", "ZH_cn", "pt-BR", "Español", "法文", "Deutsch", "auto", "", None, "N/A", "unknown", "Portuguese (Brazil)", "Simplified Chinese", "English, German"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(language.declared_language(F.col("n")).alias("c"))
-    assert [r["c"] for r in df.collect()] == ["en", "zh", "pt", "es", "fr", "de", None, None, None, None, None]
+    assert [r["c"] for r in df.collect()] == ["en", "zh", "pt", "es", "fr", "de", None, None, None, None, None, "pt", "zh", None]
 
 
 # -- subjects
