@@ -22,7 +22,7 @@ class ChunkingConfig:
     chunk_token_num: int = 128
     delimiter: str = "\n!?;。；！？"
     language: str = "English"
-    layout_recognize: str = "DeepDOC"
+    layout_recognize: str = ""
     zoomin: int = 3
     from_page: int = 0
     to_page: int = 100_000
