@@ -34,9 +34,10 @@ MISREAD = [
     ("li", "h"), ("h", "li"), ("z", "2"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"), ("I", "l"), ("G", "6"), ("E", "F"), ("D", "O"), ("i", "l"), ("l", "i"), ("n", "u"), ("u", "n"), ("y", "v"), ("f", "t"),
 ]
 FREQUENT, REACH, DIMENSIONS = 4, 2, 256
-#: A link holds if the correct word is ``SURE`` times as frequent; from ``RATIO`` times on if the word occurs ``RARE`` times at
-#: most and its contexts agree by ``AGREE`` (cosine). Words of two or three letters need five times ``SURE``.
-RATIO, SURE, RARE, AGREE = 8, 40, 3, 0.12
+#: A link holds if the correct word is ``SURE`` times as frequent; from ``RATIO`` times on if its contexts agree (cosine) by
+#: ``AGREE`` times the root of the word's occurrences less two, up to ``CLEAR``: what 95 to 99 % of random draws of so many
+#: occurrences of a word have with its others. Words of two or three letters need five times ``SURE``.
+RATIO, SURE, AGREE, CLEAR = 8, 40, 0.12, 0.5
 #: Rows of the broadcast table of frequent words, at most: those that are more than this part of all words.
 VOCABULARY = 200_000
 
@@ -261,7 +262,7 @@ def misread_words(pages: DataFrame) -> DataFrame:
                 digit = bool(re.search(r"[^\W\d_]", w) and re.search(r"\d", w))
                 p, q = vector(a, total), vector(b, total)
                 norm = np.linalg.norm(p) * np.linalg.norm(q)
-                agree = n <= RARE and norm > 0 and float(p @ q) / norm > AGREE
+                agree = norm > 0 and float(p @ q) / norm > min(CLEAR, AGREE * max(1, n - 2) ** 0.5)
                 keep.append(digit or m >= SURE * n * (5 if len(w) < 4 else 1) or (agree and len(w) > 3))
             yield pdf[keep][["word", "correct", "m"]]
 

@@ -152,3 +152,22 @@ def test_kinds_of_noise(spark):
     text = {r["id"]: r["text"] for r in scans.repaired_pages(df).collect()}
     assert "compiler" in text["p3"] and "cornpiler" not in text["p3"] and "compi-" not in text["p1"] and "Chapter" not in text["p1"] and "- 11 -" not in text["p1"]
     assert scans.noise_kinds(df.limit(0)).count() == 0
+
+
+def misread(spark, often):
+    """Links among words that occur ``often`` times each, "raccolto" beside other words than the rest."""
+    import random
+
+    r, lines = random.Random(2), []
+    for word, n in often.items():
+        near = ["tutto", "hanno", "molto"] if word == "raccolto" else ["old", "busy", "northern", "of", "near"]
+        lines += [" ".join(["The", r.choice(near), r.choice(near), word, r.choice(near), r.choice(near), "."]) for _ in range(n)]
+    r.shuffle(lines)
+    df = spark.createDataFrame([(f"p{i}", "\n".join(lines[i::20])) for i in range(20)], "id string, text string")
+    return {(x["word"], x["correct"]) for x in scans.misread_words(df).collect()}
+
+
+def test_contexts_decide_however_often_a_word_is_misread(spark):
+    for times in (1, 2, 6, 30):
+        assert misread(spark, {"harbour": 10 * times, "harbonr": times, "compiler": 9}) == {("harbonr", "harbour")}
+    assert misread(spark, {"harbour": 100, "harbonr": 10, "raccolta": 300, "raccolto": 30}) == {("harbonr", "harbour")}
