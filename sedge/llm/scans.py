@@ -38,7 +38,7 @@ FREQUENT, REACH, DIMENSIONS = 4, 2, 256
 #: ``AGREE`` times the root of the word's occurrences less two, up to ``CLEAR``: what 95 to 99 % of random draws of so many
 #: occurrences of a word have with its others. Words of two or three letters need five times ``SURE``.
 RATIO, SURE, AGREE, CLEAR = 8, 40, 0.12, 0.5
-#: Rows of the broadcast table of frequent words, at most: those that are more than this part of all words.
+#: Rows of the broadcast table of frequent words, at most: those that are more than this part of all words. Others are shuffled.
 VOCABULARY = 200_000
 
 _HYPHEN = "-¬\xad‐"
@@ -233,14 +233,20 @@ def misread_words(pages: DataFrame) -> DataFrame:
     counts = staged(pages.select("text").mapInPandas(contexts, "word string, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n")), "skipgrams")
     words = counts.where("place = -1").select("word", "n")
     all_words = words.agg(F.sum("n")).first()[0] or 0
-    frequent = words.where((F.col("n") >= FREQUENT) & (F.col("n") * VOCABULARY > all_words))
+    right = words.where(F.col("n") >= FREQUENT).select(F.col("word").alias("correct"), F.col("n").alias("m"))
+    hot = F.col("m") * VOCABULARY > all_words
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(w, n, c) for w, n in zip(pdf["word"], pdf["n"], strict=True) if len(w) > 1 and not w.isdigit() and not re.fullmatch(r"[A-Z]?\d+|\d+[a-zªº]{0,2}", w) for c in corrections(w)]
             yield pd.DataFrame(out, columns=["word", "n", "correct"])
 
-    links = words.mapInPandas(variants, "word string, n long, correct string").join(F.broadcast(frequent.select(F.col("word").alias("correct"), F.col("n").alias("m"))), "correct").where(F.col("m") >= RATIO * F.col("n"))
+    made = words.mapInPandas(variants, "word string, n long, correct string")
+    marked = made.join(F.broadcast(right.where(hot)), "correct", "left")
+    links = marked.where("m is not null")
+    if all_words >= FREQUENT * VOCABULARY:  # else all right words are in the broadcast
+        links = links.unionByName(marked.where("m is null").drop("m").join(right.where(~hot), "correct"))
+    links = staged(links.where(F.col("m") >= RATIO * F.col("n")), "links")
     # vectors of the linked words only; a place's total over all words is a table of fixed size
     wanted = links.select(F.explode(F.array("word", "correct")).alias("word")).distinct()
     totals = counts.where("place >= 0").groupBy("place").agg(F.sum("n").alias("t"))

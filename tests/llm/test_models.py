@@ -171,3 +171,12 @@ def test_contexts_decide_however_often_a_word_is_misread(spark):
     for times in (1, 2, 6, 30):
         assert misread(spark, {"harbour": 10 * times, "harbonr": times, "compiler": 9}) == {("harbonr", "harbour")}
     assert misread(spark, {"harbour": 100, "harbonr": 10, "raccolta": 300, "raccolto": 30}) == {("harbonr", "harbour")}
+
+
+def test_right_words_beyond_the_broadcast_are_linked(spark, monkeypatch):
+    often = {"harbour": 40, "harbonr": 1, "compiler": 9, "cornpiler": 1}
+    want = misread(spark, often)
+    assert want == {("harbonr", "harbour"), ("cornpiler", "compiler")}
+    for part in (1, 20):  # no word, and the most frequent ones only, by broadcast
+        monkeypatch.setattr(scans, "VOCABULARY", part)
+        assert misread(spark, often) == want
