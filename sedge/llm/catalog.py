@@ -43,8 +43,9 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> dict[str, int]:
-    files, samples = tables(spark, d, "source_file", "subject_sample")
-    return encoding.known_words(files.select("docnm_kwd").unionAll(samples.select("text")))
+    files, samples, chunk = tables(spark, d, "source_file", "subject_sample", "chunk")
+    texts = files.select("docnm_kwd").unionAll(samples.select("text")).unionAll(chunk.select("content_with_weight"))
+    return encoding.known_words(texts, chunk.select("docnm_kwd"))
 
 
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of names that are taken as known, at most (the most frequent).
-KNOWN_WORDS = 5000
+from ..session import staged
+
 _OPEN, _CLOSE = "“«\"'„‘「『《‹", "”»\"'“’」』》›"
 _WESTERN = "áàâãäåæçéèêëíìîïñóòôõöøœúùûüßÁÀÂÃÄÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÕÖØŒÚÙÛÜ"
 #: Letters beyond a-z of the languages at hand (en de fr es pt it), for words that must consist of them.
@@ -200,19 +200,16 @@ class Repairer:
         def fix(m: re.Match) -> str:
             nonlocal count
             w = m.group()
-            if w.isascii() or not self.suspect.search(w) or not re.search(r"[A-Za-z]", w):
-                return w
-            seen = self.known.get(w.lower().strip("’'"), 0)
-            if seen >= 3 and not re.search(r"[a-z][A-ZÀ-Þ]", w):
-                return w
-            best = None
-            for table in self.single.values():
-                new = "".join(table.get(c, c) if ord(c) > 0x7F else c for c in w)
-                if new == w or not re.fullmatch(f"[A-Za-z’'{_LETTERS}]+", new) or re.search(f"[a-zß-ÿ][A-Z{_LETTERS[_LETTERS.index('Á'):]}]", new):
-                    continue
-                score = 2 * (self.known.get(new.lower().strip("’'"), 0) > 5 * seen) + self._impossible(w)
+            seen, most, best = self.known.get(_bare(w), 0), 0, None
+            for new in self.candidates(w):
+                n = self.known.get(_bare(new), 0)
+                most = max(most, n)
+                score = 2 * (n > 5 * seen) + self._impossible(w)
                 if score and (best is None or score > best[0]):
                     best = (score, new)
+            # a word is proper that recurs, and more often than what it may be garbled from
+            if best and best[0] < 2 and seen >= 3 and seen > most and not re.search(r"[a-z][A-ZÀ-Þ]", w):
+                return w
             if best is None:
                 return w
             count += 1
@@ -221,6 +218,13 @@ class Repairer:
         new = self.word.sub(fix, text)
         return (new, count) if count else (text, 0)
 
+    def candidates(self, w: str) -> list[str]:
+        """Words that one mix-up of one-byte encodings turns into ``w``."""
+        if w.isascii() or not self.suspect.search(w) or not re.search(r"[A-Za-z]", w):
+            return []
+        made = ("".join(table.get(c, c) if ord(c) > 0x7F else c for c in w) for table in self.single.values())
+        return [new for new in made if new != w and re.fullmatch(f"[A-Za-z’'{_LETTERS}]+", new) and not re.search(f"[a-zß-ÿ][A-Z{_LETTERS[_LETTERS.index('Á'):]}]", new)]
+
     @staticmethod
     def _impossible(w: str) -> int:
         """Whether a word can't be one as it stands."""
@@ -307,19 +311,34 @@ class Repairer:
         """Replaces single characters beside small Latin letters that are Latin letters in UTF-8, read as an East Asian encoding."""
         return self.mixed.subn(lambda m: self.han_letter[m.group()], text)
 
-    def repair(self, text: str | None) -> tuple[str | None, bool, bool]:
-        """The restored text, whether it was damaged, and whether nothing garbled is left."""
-        if not text or text.isascii():
-            return text, False, True
-        if not self.unclean.search(text) and not self.combined.search(text):
-            return text, False, True
+    def _doubtful(self, text: str | None) -> bool:
+        return bool(text) and not text.isascii() and bool(self.unclean.search(text) or self.combined.search(text))
+
+    def longer(self, text: str) -> tuple[str, int]:
+        """Replaces all that is told without known words."""
         new, found = self.runs(text)
         for _ in range(3):
             new, n = self.sequences(new)
             found += n
             if not n:
                 break
-        for step in (self.latin_in_han, self.runs, self.words, self.signs):
+        for step in (self.latin_in_han, self.runs):
+            new, n = step(new)
+            found += n
+        return new, found
+
+    def forms(self, text: str | None) -> set[str]:
+        """The words that ``words`` looks up."""
+        if not self._doubtful(text):
+            return set()
+        return {w for w in self.word.findall(self.longer(text)[0]) if not w.isascii() and self.suspect.search(w)}
+
+    def repair(self, text: str | None) -> tuple[str | None, bool, bool]:
+        """The restored text, whether it was damaged, and whether nothing garbled is left."""
+        if not self._doubtful(text):
+            return text, False, True
+        new, found = self.longer(text)
+        for step in (self.words, self.signs):
             new, n = step(new)
             found += n
         lost = "�" in new or any(self._control(new))
@@ -345,11 +364,30 @@ def _repairer(known: tuple) -> Repairer:
     return Repairer(dict(known))
 
 
-def known_words(texts: DataFrame, most: int = KNOWN_WORDS) -> dict[str, int]:
-    """The most frequent words with letters beyond ASCII, at most ``most``, with their counts in ``texts`` (one column)."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.col(texts.columns[0])), F.lit(r"[\p{L}’']+"), 0)).alias("w")
-    rows = texts.select(word).where(F.col("w").rlike(r"[^\x00-\x7f\x{400}-\x{4ff}\x{2e80}-\x{9fff}]") & (F.length("w") > 2)).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return {r["w"].strip("’'"): r["n"] for r in rows.collect()}
+def _bare(word: str) -> str:
+    return word.lower().strip("’'")
+
+
+def known_words(texts: DataFrame, names: DataFrame | None = None) -> dict[str, int]:
+    """Counts in ``texts`` (one column) of the words with letters beyond ASCII that decide on a doubtful word of ``texts`` or
+    ``names``: of the word, if it recurs though it can't be one or if what it may be garbled from occurs, and of the latter."""
+    texts = texts.toDF("text")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}’']+"), 0)).alias("w")
+    words = texts.select(word).select(F.regexp_replace("w", "^[’']+|[’']+$", "").alias("w")).where(F.col("w").rlike(r"[^\x00-\x7f\x{400}-\x{4ff}\x{2e80}-\x{9fff}]") & (F.length("w") > 2))
+    counts = staged(words.groupBy("w").agg(F.count("*").alias("n")), "known")
+
+    def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = _repairer(())
+        for pdf in batches:
+            found = {w for text in pdf["text"] for w in r.forms(text)}
+            out = {(_bare(w), _bare(new), bool(r._impossible(w))) for w in found for new in r.candidates(w)}
+            yield pd.DataFrame(list(out), columns=["w", "new", "never"])
+
+    every = texts if names is None else texts.unionByName(names.toDF("text").distinct())
+    pairs = every.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(doubtful, "w string, new string, never boolean").distinct()
+    pairs = pairs.join(counts, "w", "left").join(counts.select(F.col("w").alias("new"), F.col("n").alias("m")), "new", "left")
+    pairs = pairs.where("m is not null or (never and n >= 3)").select(F.explode(F.array(F.struct("w", "n"), F.struct(F.col("new").alias("w"), F.col("m").alias("n")))).alias("k"))
+    return {r["w"]: r["n"] for r in pairs.select("k.*").where("n is not null").distinct().collect()}
 
 
 def repair_fields(rows: DataFrame, fields: list[str], known: dict[str, int] | None = None, id_col: str = "id") -> DataFrame:

@@ -60,6 +60,14 @@ def test_what_is_lost_is_told(spark):
     assert encoding.repair_fields(df.limit(0), ["docnm_kwd"]).count() == 0
 
 
+def test_damaged_words_that_recur_are_still_damaged(spark):
+    r = encoding.Repairer({"orþamento": 4, "orçamento": 60})
+    assert r.repair("orþamento anual")[0] == "orçamento anual"
+    texts = ["orþamento anual"] * 4 + ["orçamento anual"] * 60 + [f"{a}é{b}lo" for a in "bcdfgklmnp" for b in "bcdfgklmnp"] * 70
+    known = encoding.known_words(spark.createDataFrame([(t,) for t in texts], "t string"))
+    assert known == {"orþamento": 4, "orçamento": 60}
+
+
 # -- languages
 
 
