@@ -150,23 +150,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, window_zh: i
 
     def over(block):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(block, edits, region)
+            # whole runs may be shorter than a region, so they have a pass with a bound of their own
+            passes = [x for x in [ItemIndex(block), *([ItemIndex(block, edits, region)] if edits or region else [])] if x.fields]
             for pdf in batches:
                 out = []
-                if index.fields:
+                if passes:
                     ids = pdf["_id"].tolist()
                     texts = [" ".join(words_of(t)) for t in pdf["_text"]]
                     for x, y in slices([len(t) for t in texts], SLICE_CHARS):
                         seen: dict[tuple, tuple] = {}
-                        for doc, field, low, begin, end in index.regions(texts[x:y]):
+                        for index, (doc, field, low, begin, end) in ((i, hit) for i in passes for hit in i.regions(texts[x:y])):
                             text, (item, name, passage, need) = texts[x + doc], index.fields[field]
                             found = longest_run(text, passage, low, low + index.band - 1)
                             distance = None
-                            if edits and found < need:
+                            if index.edits and found < need:
                                 part, from_item = codes(text[begin:end]), max(0, begin - low - index.band)
                                 distance = banded_distance(part, codes(passage[from_item : end - low + index.band]), index.band)
                             key = (x + doc, item, name)
-                            if found >= need or (edits and distance is not None and distance * index.shortest <= edits * (end - begin)):
+                            if found >= need or (distance is not None and distance * index.shortest <= index.edits * (end - begin)):
                                 old = seen.get(key, (0, None))
                                 seen[key] = (max(found, old[0]), distance if old[1] is None or (distance is not None and distance < old[1]) else old[1], need)
                         out += [(ids[k], item, name, run, need, distance) for (k, item, name), (run, distance, need) in seen.items()]

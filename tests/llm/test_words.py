@@ -133,6 +133,13 @@ def test_altered_passages_are_found(spark):
     assert {r["doc_id"] for r in leaks.find_leaks(df, it, window=30, edits=3, region=60).collect()} == {1}
 
 
+def test_short_whole_runs_are_found_beside_altered_ones(spark):
+    df = spark.createDataFrame([(1, "So: a be to it is on at we go up, he said."), (2, "x"), (3, "甲乙丙丁戊己" * 4)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, "en", "a be to it is on at we go up", "why"), (8, "zh", "甲乙丙丁戊己" * 4, None)], "item_id long, lang string, passage string, question string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it, edits=3, region=80).collect()}
+    assert got == {(1, 7), (3, 8)} == {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it).collect()}
+
+
 def test_samples_are_bounded_and_stable(spark):
     df = spark.range(5000).selectExpr("id", "id % 3 as g")
     a = [r["id"] for r in bounded_sample(df, 100, "id").collect()]
