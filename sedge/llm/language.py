@@ -136,8 +136,11 @@ def _segments(text: str) -> list[tuple[int, int, int]]:
     out, begin = [], 0
     for m in _BOUND.finditer(text):
         end = m.end()
-        if end - begin > 60_000 or end == begin:  # lanes of 16 bits
+        if end == begin:
             continue
+        while end - begin > 60_000:  # lanes of 16 bits
+            out.append((begin, begin + 60_000, 0))
+            begin += 60_000
         ended = text[m.start()] in ".!?;。！？；"
         out.append((begin, end, (-1 if _CELL.search(text, max(begin, end - 60), end) or _CODE.search(text, begin, end) else 1) if ended else 0))
         begin = end

@@ -80,6 +80,13 @@ def test_languages_of_held_out_sentences(samples):
     assert len(right) > 100 and sum(right) / len(right) > 0.97
 
 
+def test_sentences_after_an_overlong_stretch():
+    text = "x " * 65_000 + "end. One sentence here. Another one there. "
+    got = language._segments(text)
+    assert [(b, e) for b, e, _ in got] == [*zip([0, *[e for _, e, _ in got[:-1]]], [e for _, e, _ in got], strict=True)] and got[-1][1] == len(text)
+    assert max(e - b for b, e, _ in got) <= 60_000 and sum(k == 1 for _, _, k in got) >= 2
+
+
 def test_mixed_and_declared(spark, samples):
     f = language.LanguageFilter.fit(list(zip(samples.lang, samples.text, strict=True)))
     by = samples.groupby("lang").text.apply(lambda s: " ".join(list(s)[:3]))
