@@ -2,8 +2,9 @@
 
 The texts are split into the tokenizer's pre-tokens ("words") by the JVM, each distinct word is encoded
 once, and the ids return to their places by (document, position). The most frequent words, a table of
-fixed size, are joined by broadcast, so that no reducer gets all occurrences of a common word; all other
-words are joined by shuffle.
+bounded size, are put in place where the documents are: a document keeps the ids of its frequent words, with the
+places where others are missing, so no reducer gets the occurrences of a common word. The other words travel to the
+table of words and back to their documents' gaps.
 
 Defined results: an empty and a null text give an empty list; strings that look like special tokens are
 ordinary text; repeated rows give one row; rows of one id with different texts give a row for each text.
@@ -14,7 +15,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ from ..session import staged
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-token pattern of byte_bpe_50k (a fixed value of that public tokenizer); (?U): white space as Unicode has it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of the broadcast table of frequent words, at most.
-HOT_WORDS = 20_000
+#: Rows of the table of frequent words that goes to all workers, at most, and characters of each, at most.
+HOT_WORDS, HOT_CHARS = 100_000, 64
 
 
 def _encoder(spec: str):
@@ -52,22 +55,86 @@ def encode_words(words: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Data
     return words.select("word", "n").mapInPandas(run, "word string, n long, ids array<int>")
 
 
+class _Frequent:
+    """Ids of frequent words by the hashes of the words."""
+
+    def __init__(self, rows: list[tuple[int, list[int]]]):
+        rows = sorted(rows)
+        self.keys = np.array([k for k, _ in rows], np.int64)
+        self.sizes = np.array([len(x) for _, x in rows], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.array([i for _, x in rows for i in x], np.int32)
+
+    def place(self, keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of consecutive words: ids of their frequent words and where those of each text begin; the words that
+        aren't frequent, and before how many ids of its text each belongs."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        n = np.zeros(len(keys), np.int64)
+        n[known] = self.sizes[at[known]]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = np.repeat(self.begins[at[known]] - ends[:-1][known], n[known]) + np.arange(ends[-1])
+        missing = np.flatnonzero(~known)
+        text = np.searchsorted(bounds, missing, "right") - 1
+        return self.ids[flat], ends[bounds], missing, ends[missing] - ends[bounds[text]]
+
+
+def _skeletons(rows: DataFrame, frequent: _Frequent) -> DataFrame:
+    """``_id``, ``_key``, ``ids`` of the frequent words, and ``at`` and ``word`` of the others, in order, of each row with ``_words`` and ``_hashes``."""
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, words = batch.column("_hashes"), batch.column("_words")
+            bounds = hashes.offsets.to_numpy().astype(np.int64)
+            keys = hashes.values.to_numpy()[bounds[0] : bounds[-1]]
+            flat = words.values.slice(words.offsets[0].as_py(), len(keys))
+            bounds = bounds - bounds[0]
+            ids, begins, missing, at = frequent.place(keys, bounds)
+            gaps = np.searchsorted(missing, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_key"), lists(pa.array(ids, pa.int32()), begins), lists(pa.array(at, pa.int32()), gaps), lists(flat.take(pa.array(missing)), gaps)], ["_id", "_key", "ids", "at", "word"]
+            )
+
+    return rows.mapInArrow(run, f"_id {kind}, _key long, ids array<int>, at array<int>, word array<string>")
+
+
 def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """``id_col`` and ``ids array<int>`` of every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64("_text"))
     # the JVM may know fewer letters than the tokenizer: what is unassigned there is encoded whole, as one "word"
     parts = F.when(F.col("_text").rlike(r"\p{Cn}"), F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(PATTERN), 0))
-    at = rows.select("_id", "_key", F.posexplode_outer(F.coalesce(parts, F.array().cast("array<string>"))).alias("pos", "word"))
-    table = staged(encode_words(at.where("word is not null").groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
+    rows = rows.select("_id", F.xxhash64("_text").alias("_key"), F.coalesce(parts, F.array().cast("array<string>")).alias("_words"))
+    counts = rows.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    table = staged(encode_words(counts, vocabulary).withColumn("key", F.xxhash64("word")), "words")
     # words that are more than a hot_words-th part of all: never more than hot_words rows
     total = table.agg(F.sum("n")).first()[0] or 0
-    hot = table.where(F.col("n") * hot_words > total).select("word", F.col("ids").alias("hot_ids"))
-    marked = at.join(F.broadcast(hot), "word", "left")
-    done = marked.where("hot_ids is not null or word is null").select("_id", "_key", "pos", F.col("hot_ids").alias("ids"))
-    rare = marked.where("hot_ids is null and word is not null").select("_id", "_key", "pos", "word").join(table.select("word", "ids"), "word").select("_id", "_key", "pos", "ids")
-    put = done.unionByName(rare).groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("p"))
-    return put.select(F.col("_id").alias(id_col), F.coalesce(F.flatten(F.transform("p", lambda x: x["ids"])), F.array().cast("array<int>")).alias("ids"))
+    hot = table.where((F.col("n") * hot_words > total) & (F.length("word") <= HOT_CHARS))
+    # one that shares its hash with any other word isn't told apart by it, and goes the other way
+    shared = table.select("key").join(F.broadcast(hot.select("key")), "key", "left_semi").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    frequent = _Frequent([(r["key"], r["ids"]) for r in hot.join(F.broadcast(shared), "key", "left_anti").select("key", "ids").collect()])
+    hashed = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    done = staged(_skeletons(hashed, frequent), "skeletons")
+    whole, gaps = done.where(F.size("at") == 0).select("_id", "_key", "ids"), done.where(F.size("at") > 0)
+    # rows that repeat are told by their ids alone, so that the others stay where they are
+    again = staged(whole.groupBy("_id", "_key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), "again")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k"))
+    whole = whole.join(again, same, "left_anti").unionByName(whole.join(again, same, "left_semi").dropDuplicates(["_id", "_key"]))
+    # the words beyond the frequent ones: to the table, and back to their gaps
+    of = gaps.select("_id", "_key", F.posexplode("word").alias("pos", "word")).join(table.select("word", F.col("ids").alias("own")), "word")
+    both = of.select("_id", "_key", F.struct("pos", "own").alias("p"), F.lit(None).cast("struct<ids:array<int>,at:array<int>>").alias("s"))
+    both = both.unionByName(gaps.select("_id", "_key", F.lit(None).cast("struct<pos:int,own:array<int>>").alias("p"), F.struct("ids", "at").alias("s")))
+    both = both.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("p")).alias("p"), F.first("s", True).alias("s"))
+    at = F.col("s.at")
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(at, i - 1))
+    filled = F.transform("p", lambda x, i: F.concat(F.slice("s.ids", before(i) + 1, F.get(at, i) - before(i)), x["own"]))
+    last = F.element_at(at, -1)
+    rest = F.array(F.slice("s.ids", last + 1, F.size("s.ids") - last))
+    return whole.unionByName(both.select("_id", "_key", F.flatten(F.concat(filled, rest)).alias("ids"))).select(F.col("_id").alias(id_col), "ids")
 
 
 def pieces(spark: SparkSession, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -29,7 +29,7 @@ def test_ids_are_those_of_the_tokenizer(spark):
     t = encoder()
     rows = [(i, x, "a", "b", 1) for i, x in enumerate(TEXTS)]
     df = spark.createDataFrame([*rows, rows[5], (None, "x", "a", "b", 1), (5, "other", "a", "b", 1)], "doc_id long, text string, word string, ids string, pos int")
-    for hot in (1, 20000):
+    for hot in (1, 3, 40, 100_000):  # no, one, some and all words in the table that goes to the workers
         got = [(r["doc_id"], list(r["ids"])) for r in tokens.encode_corpus(df, hot_words=hot).collect()]
         want = [(i, t.encode(x or "", add_special_tokens=False).ids) for i, x in [*enumerate(TEXTS), (None, "x"), (5, "other")]]
         assert sorted(got, key=str) == sorted(want, key=str)
