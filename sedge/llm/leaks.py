@@ -3,11 +3,12 @@
 Q-gram lemma filtering: a region of ``w`` characters that is ``e`` edits away from a text shares at least
 ``w + 1 - q - q * e`` character q-grams with it, all near one diagonal (place in the document less place in
 the item). Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are
-retained and verified by banded alignment. ``w`` is the length of the shortest run of words that counts, taken
-from the items themselves, so that the filter loses nothing.
+retained and verified by banded alignment: of the region of the document with the item along the band's diagonals,
+without edits (whole words in a row on a diagonal) and, if edits are allowed, with the least number of them. ``w`` is the
+length of the shortest run of words that counts, taken from the items themselves, so that the filter loses nothing.
 
-The items are a fixed set; they are checked against ``MAX_ITEM_CHARS`` and worked off in blocks of that size,
-each block against all documents. Documents stay where they are: there is no shuffle of texts.
+The items are measured first and worked off in blocks of about ``MAX_ITEM_CHARS`` at most: only one block is collected at a
+time, its index is built once and broadcast, and meets all documents. Documents stay where they are: there is no shuffle of texts.
 
 Defined results: null, empty and blank documents and items give no row; an item with fewer words than a
 run needs can't be found; repeated documents of one id give one row.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import codes, mix64, slices, words_of
 
-#: Characters of one block of items that is sent to the executors (a copy of the index takes about 60 times this).
-MAX_ITEM_CHARS = 1_000_000
+#: Characters of one block of items that is sent to the executors (a copy of the index takes about 25 bytes for each, and 4 MB).
+MAX_ITEM_CHARS = 4_000_000
 #: Characters of documents that a worker handles at once.
 SLICE_CHARS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,75 +108,127 @@ class ItemIndex:
                 yield int(doc[own[0]]), int(field[own[0]]), int(diagonal[own].min()), int(place[own].min()), int(place[own].max()) + self.q
 
 
-def longest_run(text: str, item: str, low: int, high: int) -> int:
-    """Most consecutive whole words that both texts have along one of the diagonals ``low`` to ``high``."""
-    a, b, most = codes(f" {text} "), codes(f" {item} "), 0
-    for d in range(low, high + 1):
-        i, j = max(0, d), max(0, -d)
-        n = min(len(a) - i, len(b) - j)
-        if n <= 2:
-            continue
-        same = a[i : i + n] == b[j : j + n]
-        cut = np.concatenate([[-1], np.flatnonzero(~same), [n]])
-        for x, y in zip(cut[:-1] + 1, cut[1:], strict=True):
-            if y - x > 2:
-                most = max(most, int((a[i + x : i + y] == 32).sum()) - 1)
-    return most
-
-
-def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edits from ``a`` to any part of ``b``, along diagonals 0 to ``2 * band`` (place in b less place in a)."""
-    width, big = 2 * band + 1, len(a) + len(b)
-    step = np.arange(width)
-    padded = np.concatenate([b.astype(np.int64), np.full(len(a) + width, -1)])
-    row = np.where(step <= len(b), 0, big)
-    for i, x in enumerate(a):
-        new = np.minimum(row + (padded[i : i + width] != x), np.append(row[1:], big) + 1)
-        row = np.minimum.accumulate(new - step) + step
-    return int(row[np.arange(len(a), len(a) + width) <= len(b) + band].min(initial=big))
+def _bands(a: list[np.ndarray], b: list[np.ndarray], lows: list[int], width: int) -> np.ndarray:
+    """Whether place i of each text ``a`` equals the place of ``b`` on diagonal ``low + d``, as an array (text, d, i)."""
+    n = max(map(len, a))
+    left = np.full((len(a), n), -1, np.int64)
+    right = np.full((len(a), n + width), -2, np.int64)
+    for k, (x, y, low) in enumerate(zip(a, b, lows, strict=True)):
+        left[k, : len(x)] = x
+        first = -(low + width - 1)  # the place of b that the last diagonal has beside place 0
+        own = y[max(0, first) : max(0, first + n + width)]
+        right[k, max(0, -first) : max(0, -first) + len(own)] = own[: n + width - max(0, -first)]
+    return np.stack([left == right[:, width - 1 - d : width - 1 - d + n] for d in range(width)], axis=1)
+
+
+def banded_alignment(a: list[np.ndarray], b: list[np.ndarray], lows: list[int], width: int, edits: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each text ``a`` and ``b`` with it, along diagonals ``low`` to ``low + width - 1`` (place in a less place in b): the most
+    whole words in a row that are the same on one diagonal; and, if ``edits`` are allowed, the least edits from ``a`` to any part of ``b``."""
+    same = _bands(a, b, lows, width)
+    count, _, n = same.shape
+    # without edits: stretches on a diagonal, and the spaces in them
+    flat = np.concatenate([same, np.zeros((count, width, 1), bool)], axis=2).ravel()
+    spaces = np.zeros((count, n + 1), np.int64)
+    for k, x in enumerate(a):
+        spaces[k, 1 : len(x) + 1] = np.cumsum(x == 32)
+        spaces[k, len(x) + 1 :] = spaces[k, len(x)]
+    cut = np.flatnonzero(~flat)
+    begin = np.concatenate([[0], cut[:-1] + 1])
+    size = cut - begin
+    some = size > 2
+    text, at = begin[some] // ((n + 1) * width), begin[some] % (n + 1)
+    words = spaces[text, at + size[some]] - spaces[text, at] - 1
+    run = np.zeros(count, np.int64)
+    np.maximum.at(run, text, words)
+    if not edits:
+        return run, None
+    # with edits: diagonals go down as the place in b goes up, so that they are turned round here
+    big = 1 << 30
+    sizes, step = np.array([len(x) for x in a]), np.arange(width)
+    places = -(np.array(lows)[:, None] + width - 1) + step  # of b, for place 0 of a
+    length = np.array([len(y) for y in b])[:, None]
+    row = np.where((places >= 0) & (places <= length), 0, big)
+    least = np.full(count, big)
+    turned = same[:, ::-1, :]
+    for i in range(n + 1):
+        ends = sizes == i
+        if ends.any():
+            least[ends] = np.where((places[ends] + i >= 0) & (places[ends] + i <= length[ends]), row[ends], big).min(axis=1)
+        if i == n:
+            break
+        new = np.minimum(row + ~turned[:, :, i], np.concatenate([row[:, 1:], np.full((count, 1), big)], axis=1) + 1)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+    return run, least
+
+
+def item_blocks(items: DataFrame, window: int, window_zh: int) -> Iterator[list[tuple[int, str, str, int]]]:
+    """Fields of the items (item, name, text, words in a row), a block of them at a time."""
+    size = F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0))
+    items = items.where("item_id is not null").select("item_id", "lang", "passage", "question").distinct()
+    total = items.agg(F.sum(size)).first()[0] or 0
+    parts = -(-2 * total // MAX_ITEM_CHARS)
+    for k in range(max(1, parts)):
+        own = items.where(F.pmod(F.xxhash64(*items.columns), F.lit(parts)) == k) if parts > 1 else items
+        fields = []
+        for r in sorted(own.collect(), key=lambda r: (r["item_id"], r["passage"] or "", r["question"] or "")):
+            for name in ("passage", "question"):
+                fields.append((r["item_id"], name, " ".join(words_of(r[name])), window_zh if r["lang"] == "zh" else window))
+        yield fields
+
+
+def _verified(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int, int | None]]:
+    """Text, field, longest run and distance of the regions of the texts that hold."""
+    hits = sorted(index.regions(texts), key=lambda h: h[4] - h[3])
+    for x, y in slices([(h[4] - h[3] + index.band) * index.band for h in hits], 2_000_000):
+        own = hits[x:y]
+        a, b, lows = [], [], []
+        for doc, field, low, begin, end in own:
+            # one more place on either side, so that a word's end shows
+            text, item = texts[doc], index.fields[field][2]
+            a.append(codes((" " if begin == 0 else text[begin - 1]) + text[begin:end] + (" " if end >= len(text) else text[end])))
+            b.append(codes(f" {item} "))
+            lows.append(low - begin)
+        runs, _ = banded_alignment(a, b, lows, index.band, False)
+        distances = banded_alignment([c[1:-1] for c in a], [c[1:-1] for c in b], [low - index.band for low in lows], 2 * index.band + 1, True)[1] if index.edits else [None] * len(own)
+        for (doc, field, _, begin, end), run, distance in zip(own, runs.tolist(), distances, strict=True):
+            if run >= index.fields[field][3] or (distance is not None and distance * index.shortest <= index.edits * (end - begin)):
+                yield doc, field, run, None if distance is None else int(distance)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, window_zh: int = 24, edits: int = 0, region: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``field``, ``run`` (longest common run of words), ``window`` (the run that counts as whole)
-    and ``distance`` (edits of the region against the item where it isn't whole, with ``edits`` > 0 only), one row per document,
-    item and field that holds: a whole run, or a region of ``region`` characters or more with at most ``edits`` edits for each ``region``."""
-    rows = items.where("item_id is not null").select("item_id", "lang", "passage", "question").distinct().toPandas()  # a fixed set of test items
-    fields = []
-    for r in rows.sort_values("item_id").itertuples():
-        for name in ("passage", "question"):
-            text = " ".join(words_of(getattr(r, name) or ""))
-            fields.append((int(r.item_id), name, text, window_zh if r.lang == "zh" else window))
-    blocks = [fields[a:b] for a, b in slices([len(f[2]) for f in fields], MAX_ITEM_CHARS)] or [[]]
-    schema = "doc_id long, item_id long, field string, run int, window int, distance int"
+    and ``distance`` (least edits of a region against the item, with ``edits`` > 0 only), one row per document,
+    item and field that holds: a whole run, or a region of ``region`` characters or more with at most ``edits`` edits for each ``region``.
+
+    Ids keep their types."""
+    of_doc, of_item = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (items, "item_id")))
+    schema = f"doc_id {of_doc}, item_id {of_item}, field string, run int, window int, distance int"
+    spark = docs.sparkSession
 
     def over(block):
+        # whole runs may be shorter than a region, so they have a pass with a bound of their own
+        passes = [x for x in [ItemIndex(block), *([ItemIndex(block, edits, region)] if edits or region else [])] if x.fields]
+        shared = spark.sparkContext.broadcast(passes)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # whole runs may be shorter than a region, so they have a pass with a bound of their own
-            passes = [x for x in [ItemIndex(block), *([ItemIndex(block, edits, region)] if edits or region else [])] if x.fields]
             for pdf in batches:
                 out = []
-                if passes:
-                    ids = pdf["_id"].tolist()
-                    texts = [" ".join(words_of(t)) for t in pdf["_text"]]
-                    for x, y in slices([len(t) for t in texts], SLICE_CHARS):
-                        seen: dict[tuple, tuple] = {}
-                        for index, (doc, field, low, begin, end) in ((i, hit) for i in passes for hit in i.regions(texts[x:y])):
-                            text, (item, name, passage, need) = texts[x + doc], index.fields[field]
-                            found = longest_run(text, passage, low, low + index.band - 1)
-                            distance = None
-                            if index.edits and found < need:
-                                part, from_item = codes(text[begin:end]), max(0, begin - low - index.band)
-                                distance = banded_distance(part, codes(passage[from_item : end - low + index.band]), index.band)
-                            key = (x + doc, item, name)
-                            if found >= need or (distance is not None and distance * index.shortest <= index.edits * (end - begin)):
-                                old = seen.get(key, (0, None))
-                                seen[key] = (max(found, old[0]), distance if old[1] is None or (distance is not None and distance < old[1]) else old[1], need)
-                        out += [(ids[k], item, name, run, need, distance) for (k, item, name), (run, distance, need) in seen.items()]
+                ids = pdf["_id"].tolist()
+                texts = [" ".join(words_of(t)) for t in pdf["_text"]]
+                for x, y in slices([len(t) for t in texts], SLICE_CHARS):
+                    seen: dict[tuple, tuple] = {}
+                    for index in shared.value:
+                        for doc, field, found, distance in _verified(index, texts[x:y]):
+                            item, name, _, need = index.fields[field]
+                            old = seen.get((x + doc, item, name), (0, None))
+                            least = distance if old[1] is None or (distance is not None and distance < old[1]) else old[1]
+                            seen[x + doc, item, name] = (max(found, old[0]), least, need)
+                    out += [(ids[k], item, name, run, need, distance) for (k, item, name), (run, distance, need) in seen.items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "field", "run", "window", "distance"]).astype({"distance": "Int32"})
 
-        return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+        return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
-    found = over(blocks[0])
-    for block in blocks[1:]:
-        found = found.unionByName(over(block))
+    found = None
+    for block in item_blocks(items, window, window_zh):
+        found = over(block) if found is None else found.unionByName(over(block))
     return found

@@ -140,6 +140,53 @@ def test_short_whole_runs_are_found_beside_altered_ones(spark):
     assert got == {(1, 7), (3, 8)} == {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it).collect()}
 
 
+def edits_within(part, item):
+    """Least edits from ``part`` to any part of ``item``, by the plain recurrence."""
+    row = [0] * (len(item) + 1)
+    for i, x in enumerate(part, 1):
+        new = [i]
+        for j, y in enumerate(item, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_altered_leaks_against_brute_force(spark):
+    """Every planted region within the edits is found, and what is found is within them."""
+    import random
+
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(300)]
+    items = [(k, "en", " ".join(r.choices(words, k=60)), None) for k in range(12)]
+    docs, planted = [], set()
+    for k in range(48):
+        text = items[k % 12][2]
+        a = r.randrange(0, len(text) - 100)
+        part = list(text[a : a + 90])
+        for _ in range(k % 5):  # up to three edits count, four may be too many
+            j = r.randrange(2, len(part) - 2)
+            part[j : j + 1] = r.choice([[], ["q"], [part[j], "q"]])
+        if k % 5 <= 3:
+            planted.add((k, k % 12))
+        docs.append((k, " ".join(r.choices(words, k=r.randrange(30))) + " " + "".join(part) + " " + " ".join(r.choices(words, k=r.randrange(30)))))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, lang string, passage string, question string")
+    got = leaks.find_leaks(df, it, window=50, edits=3, region=80).collect()
+    assert planted <= {(x["doc_id"], x["item_id"]) for x in got}
+    for x in got:
+        text, item = docs[x["doc_id"]][1], items[x["item_id"]][2]
+        assert x["distance"] is not None and any(edits_within(text[a : a + 80], item) <= 3 for a in range(0, len(text) - 79))
+
+
+def test_items_in_blocks_and_ids_of_any_type(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([("d1", f"so {passage}."), ("d2", "nothing"), ("d3", f"{passage.upper()} {passage[::-1]}")], "doc_id string, text string")
+    items = spark.createDataFrame([(f"i{k}", "en", passage if k % 2 else passage[::-1], "why") for k in range(20)], "item_id string, lang string, passage string, question string")
+    want = {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(docs, items).collect()}
+    assert {d for d, _ in want} == {"d1", "d3"} and len(want) == 30
+    monkeypatch.setattr(leaks, "MAX_ITEM_CHARS", 300)
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(docs, items).collect()} == want
+
+
 def test_samples_are_bounded_and_stable(spark):
     df = spark.range(5000).selectExpr("id", "id % 3 as g")
     a = [r["id"] for r in bounded_sample(df, 100, "id").collect()]
