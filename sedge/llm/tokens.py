@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: The pre-token pattern of byte_bpe_50k (a fixed value of that public tokenizer); (?U): white space as Unicode has it.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pre-token pattern of byte_bpe_50k (a fixed value of that public tokenizer); (?U): white space as Unicode has it. What
+#: begins with an apostrophe can't begin with a letter, so letters come first here, and runs needn't be given back.
+PATTERN = r"(?U) ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Rows of the table of frequent words that goes to all workers, at most, and characters of each, at most.
-HOT_WORDS, HOT_CHARS = 100_000, 64
+HOT_WORDS, HOT_CHARS = 200_000, 64
 
 
 def _encoder(spec: str):
@@ -105,15 +106,27 @@ def _skeletons(rows: DataFrame, frequent: _Frequent) -> DataFrame:
 
 def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """``id_col`` and ``ids array<int>`` of every row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # the JVM may know fewer letters than the tokenizer: what is unassigned there is encoded whole, as one "word"
-    parts = F.when(F.col("_text").rlike(r"\p{Cn}"), F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(PATTERN), 0))
-    rows = rows.select("_id", F.xxhash64("_text").alias("_key"), F.coalesce(parts, F.array().cast("array<string>")).alias("_words"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    parts = F.regexp_extract_all("_text", F.lit(PATTERN), 0)
+    rows = texts.select("_id", "_key", F.coalesce(parts, F.array().cast("array<string>")).alias("_words"))
     counts = rows.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     table = staged(encode_words(counts, vocabulary).withColumn("key", F.xxhash64("word")), "words")
-    # words that are more than a hot_words-th part of all: never more than hot_words rows
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = table.where((F.col("n") * hot_words > total) & (F.length("word") <= HOT_CHARS))
+    # the JVM may know fewer letters than the tokenizer: texts with what is unassigned there are encoded whole, as one "word"
+    odd, entire = staged(table.where(F.col("word").rlike(r"\p{Cn}")).select("word"), "unassigned"), None
+    if not odd.isEmpty():
+        keys = staged(rows.select("_key", F.explode("_words").alias("word")).join(odd, "word").select("_key").distinct(), "keys")
+        some = texts.join(keys, "_key").select("_id", "_key", F.col("_text").alias("word")).distinct()
+        entire = some.join(encode_words(some.groupBy("word").agg(F.count("*").alias("n")), vocabulary), "word").select("_id", "ids")
+        rows = rows.join(keys, "_key", "left_anti")
+    # the words of as many classes of frequency (eight for each doubling), from the top, as have hot_words rows together
+    level, short = F.floor(F.log2("n") * 8), table.where(F.length("word") <= HOT_CHARS)
+    least, rows_ = None, 0
+    for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        rows_ += r["c"]
+        if rows_ > hot_words:
+            break
+        least = r["level"]
+    hot = short.where(level >= F.lit(least)) if least is not None else short.limit(0)
     # one that shares its hash with any other word isn't told apart by it, and goes the other way
     shared = table.select("key").join(F.broadcast(hot.select("key")), "key", "left_semi").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     frequent = _Frequent([(r["key"], r["ids"]) for r in hot.join(F.broadcast(shared), "key", "left_anti").select("key", "ids").collect()])
@@ -134,7 +147,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     filled = F.transform("p", lambda x, i: F.concat(F.slice("s.ids", before(i) + 1, F.get(at, i) - before(i)), x["own"]))
     last = F.element_at(at, -1)
     rest = F.array(F.slice("s.ids", last + 1, F.size("s.ids") - last))
-    return whole.unionByName(both.select("_id", "_key", F.flatten(F.concat(filled, rest)).alias("ids"))).select(F.col("_id").alias(id_col), "ids")
+    out = whole.unionByName(both.select("_id", "_key", F.flatten(F.concat(filled, rest)).alias("ids"))).select("_id", "ids")
+    return (out if entire is None else out.unionByName(entire)).select(F.col("_id").alias(id_col), "ids")
 
 
 def pieces(spark: SparkSession, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
