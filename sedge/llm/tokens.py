@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .common import slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-token pattern of byte_bpe_50k (a fixed value of that public tokenizer); (?U): white space as Unicode has it. What
 #: begins with an apostrophe can't begin with a letter, so letters come first here, and runs needn't be given back.
 PATTERN = r"(?U) ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Rows of the table of frequent words that goes to all workers, at most, and characters of each, at most.
-HOT_WORDS, HOT_CHARS = 200_000, 64
+HOT_WORDS, HOT_CHARS = 100_000, 64
+#: Words that a worker handles at once.
+SLICE_WORDS = 200_000
 
 
 def _encoder(spec: str):
@@ -89,17 +92,19 @@ def _skeletons(rows: DataFrame, frequent: _Frequent) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, words = batch.column("_hashes"), batch.column("_words")
-            bounds = hashes.offsets.to_numpy().astype(np.int64)
-            keys = hashes.values.to_numpy()[bounds[0] : bounds[-1]]
-            flat = words.values.slice(words.offsets[0].as_py(), len(keys))
-            bounds = bounds - bounds[0]
-            ids, begins, missing, at = frequent.place(keys, bounds)
-            gaps = np.searchsorted(missing, bounds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_key"), lists(pa.array(ids, pa.int32()), begins), lists(pa.array(at, pa.int32()), gaps), lists(flat.take(pa.array(missing)), gaps)], ["_id", "_key", "ids", "at", "word"]
-            )
+        for whole in batches:
+            ends = whole.column("_hashes").offsets.to_numpy()
+            for x, y in slices(np.diff(ends).tolist(), SLICE_WORDS):
+                batch = whole.slice(x, y - x)
+                bounds = ends[x : y + 1].astype(np.int64)
+                words = batch.column("_words")
+                flat = words.values.slice(words.offsets[0].as_py(), int(bounds[-1] - bounds[0]))
+                keys = batch.column("_hashes").values.to_numpy()[bounds[0] : bounds[-1]]
+                bounds -= bounds[0]
+                ids, begins, missing, at = frequent.place(keys, bounds)
+                gaps = np.searchsorted(missing, bounds)
+                columns = [lists(pa.array(ids, pa.int32()), begins), lists(pa.array(at, pa.int32()), gaps), lists(flat.take(pa.array(missing)), gaps)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *columns], ["_id", "_key", "ids", "at", "word"])
 
     return rows.mapInArrow(run, f"_id {kind}, _key long, ids array<int>, at array<int>, word array<string>")
 
