@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import encoding, language, leaks, neardup, scans, splitting, subjects, tokens
 from .common import tables
 
@@ -93,7 +94,8 @@ def p7_altered(spark: SparkSession, d: str) -> DataFrame:
 
 def _shares(spark: SparkSession, d: str) -> DataFrame:
     docs, samples, areas = tables(spark, d, "documents", "subject_sample", "subject_area")
-    return subjects.subject_shares(docs, subjects.train(docs, samples, areas))
+    sentences = staged(subjects.sentence_texts(docs, "doc_id", "text"), "sentences")
+    return subjects.subject_shares(sentences, subjects.train(sentences, samples, areas))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

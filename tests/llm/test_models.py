@@ -108,26 +108,53 @@ def test_declared_names(spark):
 # -- subjects
 
 
+def lines(text):
+    return "\n".join(map(" ".join, subjects.sentences_of(text)))
+
+
 def test_subjects_of_held_out_texts(samples):
     train, test = samples[samples.sample_id % 5 != 0], samples[samples.sample_id % 5 == 0]
-    m = subjects.fit(train, [], sorted(set(samples.subject)))
-    a, right = m.automaton(), 0
-    for s, t in zip(test.subject, test.text, strict=True):
-        rows = m.scores(a, subjects.sentences_of(t))
-        sums = [sum(r[k] for r in rows) for k in range(len(m.subjects))]
-        right += m.subjects[sums.index(max(sums))] == s
-    assert right / len(test) > 0.85
+    m, *_ = subjects.from_samples(train, sorted(set(samples.subject)))
+    scan = subjects.Scanner(m).read([lines(t) for t in test.text])
+    right = [m.subjects[scan.sums[scan.of == i].sum(axis=0).argmax()] == s for i, s in enumerate(test.subject)]
+    assert sum(right) / len(test) > 0.85
 
 
 def test_subject_rules(spark, samples):
-    m = subjects.fit(samples, [], sorted(set(samples.subject)))
+    areas = spark.createDataFrame([(s,) for s in sorted(set(samples.subject))] * 2 + [(None,)], "subject string")
     texts = list(samples[(samples.subject == "law") & (samples.lang == "en")].text)
     law = max(texts, key=len)
-    df = spark.createDataFrame([(1, law), (1, law), (2, None), (3, ""), (4, "\n\n"), (5, "One reader likened all this to the tribunal, only in jest."), (None, law), (6, law * 500)], "doc_id long, text string")
-    got = subjects.subject_shares(df, m)
-    assert {r["doc_id"] for r in got.collect()} <= {1, 6} and subjects.subject_shares(df.limit(0), m).count() == 0
-    empty = subjects.fit(samples.iloc[:0], [], [])
-    assert subjects.subject_shares(df, empty).count() == 0
+    df = spark.createDataFrame([(1, law, "x"), (1, law, "x"), (2, None, "x"), (3, "", "x"), (4, "\n\n", "x"), (5, "Nothing of any kind.", "x"), (None, law, "x"), (6, law * 500, "x")], "doc_id long, text string, s string")
+    known = spark.createDataFrame(samples[["subject", "text"]])
+    sentences = subjects.sentence_texts(df, "doc_id", "text")
+    m = subjects.train(sentences, known, areas)
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subject_shares(sentences, m).where("about * 10 >= sentences * 3").collect()}
+    assert {(1, "law"), (6, "law")} <= got and {d for d, _ in got} <= {1, 6}
+    none = subjects.sentence_texts(df.limit(0), "doc_id", "text")
+    assert subjects.subject_shares(none, subjects.train(none, known, areas)).count() == 0
+    for m in (subjects.train(sentences, known.limit(0), areas), subjects.train(sentences, known, areas.limit(0))):
+        assert subjects.subject_shares(sentences, m).count() == 0
+
+
+def test_terms_are_completed_and_dropped_over_all_documents(spark):
+    """A word that only documents of a subject have becomes a term; one that documents contradict is dropped."""
+    known = pd.DataFrame({"subject": ["a"] * 4 + ["b"] * 4, "text": ["The alpha ray bends here."] * 2 + ["An ordinary alpha quark."] * 2 + ["The beta wave falls there."] * 2 + ["Some beta wave passes by."] * 2})
+    docs = [(i, "The alpha ray bends. A gluon was seen alone. The alpha ray bends.") for i in range(20)]
+    docs += [(100 + i, "Some beta wave passes. The ordinary sort is there. Wave falls. Wave falls.") for i in range(20)]
+    sentences = subjects.sentence_texts(spark.createDataFrame(docs, "i long, t string"), "i", "t")
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    assert "ordinary" in subjects.from_samples(known, ["a", "b"])[0].terms
+    m = subjects.train(sentences, spark.createDataFrame(known), areas)
+    assert m.terms["gluon"][0] == 0 and m.terms["beta wave"][0] == 1 and "ordinary" not in m.terms
+
+
+def test_scores_are_those_of_a_plain_count():
+    m = subjects.SubjectModel(["a", "b"], {"x y": (0, 1.0), "y": (1, 0.5), "学 习": (0, 2.0)}, [0.1, 0.1], {"学 习 机": "学 习"})
+    scan = subjects.Scanner(m, ("z",)).read(["q x y y\nz z", "学 习 机 的\n学 习 机 学 习"])
+    assert scan.of.tolist() == [0, 0, 1, 1] and scan.lines.tolist() == [2, 2]
+    assert scan.sums.tolist() == [[1.0, 0.5], [0, 0], [0, 0], [2.0, 0]]
+    assert scan.scores[0].tolist() == [0.5, 0.25] and scan.scores[3, 0] == 2.0 / 2.5**0.5
+    assert {(s, t) for s, t in zip(scan.sentence.tolist(), scan.term.tolist(), strict=True)} == {(0, 0), (0, 1), (1, 3), (3, 2)}
 
 
 def test_sentences():
