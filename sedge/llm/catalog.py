@@ -25,6 +25,11 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.label_segments(tables(spark, d, "chunk")[0], _filter(spark, d)).distinct()
 
 
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of every chunk with its confidence."""
+    return language.main_languages(tables(spark, d, "chunk")[0], _filter(spark, d)).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.id_pairs(*neardup.near_pairs(tables(spark, d, "chunk")[0], threshold=0.6, shingle=3, min_words=30))
 
@@ -108,7 +113,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p5_found, p5_pages, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_languages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p5_found, p5_pages, p6_ids, p6_roundtrip, p7_found, p7_altered, p8_found, p8_composition)}
 
 _CONFIG = """config AS (
   SELECT f.doc_id, c.chunk_token_num AS lim FROM

@@ -10,7 +10,8 @@ Wrongly decoded texts are repaired first. A sentence counts if it is terminated
 ``LEAST_WORDS`` words; cells of tables, headings, greetings and code aren't sentences. A long text without any
 full stop is judged by windows of ``WINDOW`` words.
 
-Defined results: null, empty and blank texts and texts without sentences have no language; repeated rows give one row.
+Defined results: null and empty texts have no segment; texts without a full sentence have segments, but aren't among the
+mislabelled; repeated rows give one row.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .encoding import Repairer
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "it", "ru")
 SAMPLE_ROWS, WIDEN_ROWS = 20_000, 4000
 LEAST_WORDS, WINDOW, TEXT_WORDS = 4, 14, 20
+LEAST_GRAMS, LEAST_SHARE = 16, 0.45
 #: Confidence that a sentence of a language beside the main one must have.
 SURE = 0.12
 SLICE_CHARS = 400_000
@@ -157,22 +159,18 @@ def _windows(text: str) -> list[tuple[int, int, int]]:
     return [(b, e, 2) for b, e in zip([0, *ends[:-1]], ends, strict=True) if e > b]
 
 
-def _lost(text: str) -> str | None:
-    """The language of a text of which mostly replacement characters are left."""
-    n = text.count("�")
-    if n < 12 or n < 0.3 * len(text):
-        return None
-    return "ru" if text.count("� �") > 0.06 * n else "zh"
+def label_batch(texts: list[str | None], f: LanguageFilter, repairer: Repairer, every: bool = False) -> Iterator[tuple[int, int, int, int, str | None, float, bool]]:
+    """Segments with a language: row, number, begin, end, language, confidence, and whether it is a full sentence (of at least
+    ``LEAST_WORDS`` words and ``LEAST_GRAMS`` n-grams, of which the language has ``LEAST_SHARE``, in a text of ``TEXT_WORDS`` words).
+    Places are those of the repaired, lower-cased text.
 
-
-def label_batch(texts: list[str | None], f: LanguageFilter, repairer: Repairer) -> Iterator[tuple[int, int, int, int, str, float, bool]]:
-    """Of each text with at least ``TEXT_WORDS`` words its segments with a language: row, number, begin, end, language,
-    confidence, and whether it is a full sentence. Places are those of the repaired, lower-cased text."""
-    rows = [(i, (repairer.repair(t)[0] if not t.isascii() else t).lower()) for i, t in enumerate(texts) if t and len(t) > TEXT_WORDS]
+    ``every``: also of short segments and texts, with a confidence that is lower the less there is to go by; what has no
+    n-gram of any language gets no language, with a confidence of 0. Else only what may be a full sentence."""
+    rows = [(i, (repairer.repair(t)[0] if not t.isascii() else t).lower()) for i, t in enumerate(texts) if t and (every or len(t) > TEXT_WORDS)]
     for x, y in slices([len(t) for _, t in rows], SLICE_CHARS):
         part = rows[x:y]
-        c = codes("".join(t for _, t in part))
-        starts = np.cumsum([0] + [len(t) for _, t in part])
+        c = codes("".join(t + "   " for _, t in part))  # no n-gram reaches into the next text
+        starts = np.cumsum([0] + [len(t) + 3 for _, t in part])
         kind = _CLASS[np.minimum(c, 65535)]
         word = (kind == 1) | (kind == 2)
         first = (kind == 3) | (word & ~np.concatenate([[False], word[:-1]]))
@@ -180,31 +178,32 @@ def label_batch(texts: list[str | None], f: LanguageFilter, repairer: Repairer)
         words = np.concatenate([[0], np.cumsum(first)])
         segments = []
         for k, (_, t) in enumerate(part):
-            if words[starts[k + 1]] - words[starts[k]] < TEXT_WORDS:
-                segments.append((k, starts[k], starts[k + 1], -2))
+            short = words[starts[k + 1]] - words[starts[k]] < TEXT_WORDS
+            if short and not every:
+                segments.append((k, starts[k], starts[k + 1] - 3, -2))
                 continue
             own = _segments(t)
-            if len(own) < 4 and not any(s[2] > 0 and words[starts[k] + s[1]] - words[starts[k] + s[0]] >= LEAST_WORDS for s in own) and not re.search(r"[=(){}|]|[:：]\s*\S+\s*(?:;|\n|$)", t):
+            if not short and len(own) < 4 and not any(s[2] > 0 and words[starts[k] + s[1]] - words[starts[k] + s[0]] >= LEAST_WORDS for s in own) and not re.search(r"[=(){}|]|[:：]\s*\S+\s*(?:;|\n|$)", t):
                 own = _windows(t)
-            segments += [(k, starts[k] + b, starts[k] + e, kind_) for b, e, kind_ in own]
+            segments += [(k, starts[k] + b, starts[k] + e, -1 if short else kind_) for b, e, kind_ in own]
+        if not segments:
+            continue
         begins = np.array([s[1] for s in segments], np.int64)
         shares, n = f.shares(c, begins)
         best = shares.argmax(axis=1)
         top = shares[np.arange(len(best)), best]
         shares[np.arange(len(best)), best] = -1
-        lead = top - np.maximum(0, shares.max(axis=1))
-        sized = words[[s[2] for s in segments]] - words[begins]
+        confidence = np.clip((top - np.maximum(0, shares.max(axis=1))) / np.maximum(top, 1e-9), 0, 1)
+        clear = (n >= LEAST_GRAMS) & (top >= LEAST_SHARE) & (words[[s[2] for s in segments]] - words[begins] >= LEAST_WORDS)
+        confidence = np.where(clear, confidence, confidence * np.minimum(1, n / LEAST_GRAMS) * np.minimum(1, top / LEAST_SHARE))
         number: Counter = Counter()
         for j, (k, b, e, kind_) in enumerate(segments):
             if kind_ == -2:
                 continue
-            i, t = part[k]
             number[k] += 1
-            if n[j] >= 16 and top[j] >= 0.45 and sized[j] >= LEAST_WORDS:
-                yield i, number[k], int(b - starts[k]), int(e - starts[k]), LANGUAGES[best[j]], float(min(1, lead[j] / max(top[j], 1e-9) * 1.0)), kind_ > 0
-        for k, (i, t) in enumerate(part):
-            if "�" in t and (lang := _lost(t)):
-                yield i, 0, 0, len(t), lang, 0.5, True
+            if every or clear[j]:
+                lang = LANGUAGES[best[j]] if top[j] > 0 else None
+                yield part[k][0], number[k], int(b - starts[k]), int(e - starts[k]), lang, float(confidence[j]), bool(kind_ > 0 and clear[j])
 
 
 def widen(f: LanguageFilter, labelled: list[tuple[str, str]], corpus: list[tuple[str, str]]) -> LanguageFilter:
@@ -237,19 +236,43 @@ def train(samples: DataFrame, items: DataFrame, docs: DataFrame | None = None) -
 
 
 def label_segments(rows: DataFrame, f: LanguageFilter, id_col: str = "id", text_col: str = "content_with_weight") -> DataFrame:
-    """``id``, ``segment``, ``begin``, ``end``, ``lang``, ``confidence`` and ``full`` of every segment with a language."""
+    """``id``, ``segment``, ``begin``, ``end``, ``lang`` (null if nothing tells), ``confidence`` and ``full`` of every segment of
+    every text that isn't empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer()
         for pdf in batches:
             ids = pdf["_id"].tolist()
-            out = [(ids[i], *x) for i, *x in label_batch(pdf["_text"].tolist(), f, repairer)]
+            out = [(ids[i], *x) for i, *x in label_batch(pdf["_text"].tolist(), f, repairer, True)]
             yield pd.DataFrame(out, columns=["id", "segment", "begin", "end", "lang", "confidence", "full"])
 
     some = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
     return some.mapInPandas(run, "id string, segment int, begin int, end int, lang string, confidence double, full boolean")
 
 
+def main_languages(rows: DataFrame, f: LanguageFilter, id_col: str = "id", text_col: str = "content_with_weight") -> DataFrame:
+    """``id``, ``lang`` and ``confidence`` of every text that isn't empty: the language of most of its characters (full sentences
+    count ten times), with the mean confidence of its segments times their part of the text; null if nothing tells."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repairer = Repairer()
+        for pdf in batches:
+            found: dict[int, dict[str | None, list[float]]] = {}
+            for i, _, b, e, lang, confidence, full in label_batch(pdf["_text"].tolist(), f, repairer, True):
+                own = found.setdefault(i, {}).setdefault(lang, [0.0, 0.0])
+                size = (e - b) * (10 if full else 1)
+                own[0] += size * (lang is not None)
+                own[1] += size * confidence
+            out = []
+            for i, by in found.items():
+                lang = max(by, key=lambda x: (by[x][0], x or ""))
+                out.append((pdf["_id"].iloc[i], lang, by[lang][1] / max(1e-9, sum(n for n, _ in by.values()))))
+            yield pd.DataFrame(out, columns=["id", "lang", "confidence"])
+
+    some = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    return some.mapInPandas(run, "id string, lang string, confidence double")
+
+
 def text_languages(rows: DataFrame, f: LanguageFilter, id_col: str = "id", text_col: str = "content_with_weight", *keep: str) -> DataFrame:
     """``id``, the columns ``keep`` and ``langs``, the sorted languages of the full sentences, of every text with such.
 

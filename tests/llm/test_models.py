@@ -80,6 +80,38 @@ def test_languages_of_held_out_sentences(samples):
     assert len(right) > 100 and sum(right) / len(right) > 0.97
 
 
+def test_every_segment_gets_a_language(samples):
+    """Short segments, too, and those of mixed texts; their confidence is lower."""
+    train, test = samples[samples.sample_id % 4 != 0], samples[samples.sample_id % 4 == 0]
+    f = language.LanguageFilter.fit(list(zip(train.lang, train.text, strict=True)))
+    short = [" ".join(t.split()[:4]) if lang != "zh" else t[:5] for lang, t in zip(test.lang, test.text, strict=True)]
+    got = list(language.label_batch([*short, None, "", "12 34"], f, encoding.Repairer(), True))
+    assert {i for i, *_ in got} >= set(range(len(short))) and not any(full for *_, full in got) and [x[4:6] for x in got if x[0] == len(short) + 2] == [(None, 0.0)]
+    assert sum(lang == test.lang.iloc[i] for i, _, _, _, lang, _, _ in got if i < len(short)) / len(got) > 0.85
+    mixed = [a + "\n\n" + b for a, b in zip(test.text, test.text[::-1], strict=True)]
+    got = list(language.label_batch(mixed, f, encoding.Repairer(), True))
+    right = []
+    for i, _, b, e, lang, _, full in got:
+        if full:
+            right.append(lang == (test.lang.iloc[i] if e <= len(test.text.iloc[i]) + 2 else test.lang.iloc[-1 - i]))
+    assert sum(right) / len(right) > 0.97
+    whole = {}
+    for i, _, b, e, *_ in got:
+        assert b == whole.get(i, 0)
+        whole[i] = e
+    assert all(whole[i] == len(t.lower()) for i, t in enumerate(mixed))
+
+
+def test_main_languages(spark, samples):
+    f = language.LanguageFilter.fit(list(zip(samples.lang, samples.text, strict=True)))
+    by = {k: max(v, key=len) for k, v in samples.groupby("lang").text}
+    df = spark.createDataFrame([(k, t, "x") for k, t in by.items()] + [("none", "12 34", "x"), ("null", None, "x"), ("two", by["de"] * 3 + "\n\n" + by["it"], "x")], "id string, content_with_weight string, lang string")
+    got = {r["id"]: (r["lang"], r["confidence"]) for r in language.main_languages(df, f).collect()}
+    assert {k: v[0] for k, v in got.items()} == {**{k: k for k in by}, "none": None, "two": "de"}
+    assert got["two"][1] < got["de"][1] and got["none"][1] == 0
+    assert language.main_languages(df.limit(0), f).count() == 0
+
+
 def test_sentences_after_an_overlong_stretch():
     text = "x " * 65_000 + "end. One sentence here. Another one there. "
     got = language._segments(text)
