@@ -169,8 +169,8 @@ def label_batch(texts: list[str | None], f: LanguageFilter, repairer: Repairer,
     rows = [(i, (repairer.repair(t)[0] if not t.isascii() else t).lower()) for i, t in enumerate(texts) if t and (every or len(t) > TEXT_WORDS)]
     for x, y in slices([len(t) for _, t in rows], SLICE_CHARS):
         part = rows[x:y]
-        c = codes("".join(t + "   " for _, t in part))  # no n-gram reaches into the next text
-        starts = np.cumsum([0] + [len(t) + 3 for _, t in part])
+        c = codes("   " + "".join(t + "   " for _, t in part))  # no n-gram has letters of two texts
+        starts = np.cumsum([3] + [len(t) + 3 for _, t in part])
         kind = _CLASS[np.minimum(c, 65535)]
         word = (kind == 1) | (kind == 2)
         first = (kind == 3) | (word & ~np.concatenate([[False], word[:-1]]))
@@ -189,7 +189,7 @@ def label_batch(texts: list[str | None], f: LanguageFilter, repairer: Repairer,
         if not segments:
             continue
         begins = np.array([s[1] for s in segments], np.int64)
-        shares, n = f.shares(c, begins)
+        shares, n = f.shares(c, begins - 1)  # the n-gram that begins with the space before a word is the word's
         best = shares.argmax(axis=1)
         top = shares[np.arange(len(best)), best]
         shares[np.arange(len(best)), best] = -1

@@ -4,11 +4,13 @@
    scan and which of its outer lines recur, the running titles (the same up to a few misread characters).
 2. On each page of a scan the outer lines that are page numbers, running titles or both are taken off, broken words are
    joined, and the rest is the running text.
-3. Skip-gram vectors are learnt from the running text of all scans: a word's vector has, for hashed places of the words up to
-   ``REACH`` away, the (positive) pointwise mutual information. A rare word that a plausible misreading turns into a
-   frequent one is linked to it, and corrected if that one is far more frequent, or if its contexts point the same way as the
-   frequent word's vector.
-4. Paragraphs are reflowed: lines are joined until a sentence ends at the end of a short line.
+3. Skip-gram vectors are learnt from the running text of all scans: the positive pointwise mutual information of words and of
+   hashed places (words up to ``REACH`` before or after) is factorised, which is what skip-gram training with negative
+   samples does; the best ``RANK`` directions come from a few passes of subspace iteration over all frequent words.
+4. A rare word that a plausible misreading turns into a frequent one is linked to it if that one is ``RATIO`` times as frequent
+   and its vector points the same way, the more closely the more often the rare word occurs. Each occurrence of a
+   linked word is then judged by the words around it: the linked word that they suit best is taken, if they suit it at all.
+5. Paragraphs are reflowed: lines are joined until a sentence ends at the end of a short line.
 
 Defined results: null, empty and blank contents, and files that aren't scans, give no row; null or wrong page numbers of
 chunks don't matter; repeated rows of an id count once.
@@ -17,12 +19,11 @@ chunks don't matter; repeated rows of an id count once.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -33,11 +34,15 @@ MISREAD = [
     ("n", "ri"), ("ri", "n"), ("m", "rn"), ("rn", "m"), ("u", "ii"), ("ü", "ii"), ("d", "cl"), ("cl", "d"), ("h", "b"), ("b", "h"), ("w", "vv"), ("vv", "w"),
     ("li", "h"), ("h", "li"), ("z", "2"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"), ("I", "l"), ("G", "6"), ("E", "F"), ("D", "O"), ("i", "l"), ("l", "i"), ("n", "u"), ("u", "n"), ("y", "v"), ("f", "t"),
 ]
-FREQUENT, REACH, DIMENSIONS = 4, 2, 256
-#: A link holds if the correct word is ``SURE`` times as frequent; from ``RATIO`` times on if its contexts agree (cosine) by
-#: ``AGREE`` times the root of the word's occurrences less two, up to ``CLEAR``: what 95 to 99 % of random draws of so many
-#: occurrences of a word have with its others. Words of two or three letters need five times ``SURE``.
-RATIO, SURE, AGREE, CLEAR = 8, 40, 0.12, 0.5
+FREQUENT, REACH, DIMENSIONS, RANK, PASSES = 4, 3, 2048, 128, 3
+#: A right word is ``RATIO`` times as frequent at least (five times that where a word has two or three letters only, and where the
+#: misreading is taken for one throughout the word); a digit among letters is hardly a right word, so 1 will do.
+RATIO = 8
+#: Cosine of a link's two words, at least: ``AGREE`` for a word seen once, more for one that is seen more often (by that power), up
+#: to ``CLEAR``; half of that with a digit among the letters. Cosine of an occurrence's own neighbours with the right word.
+AGREE, POWER, CLEAR, HERE = 0.13, 0.45, 0.45, 0.05
+#: Misread words that are looked for by a set in each worker, at most; beyond it by a join.
+KNOWN_WORDS = 200_000
 #: Rows of the broadcast table of frequent words, at most: those that are more than this part of all words. Others are shuffled.
 VOCABULARY = 200_000
 
@@ -124,17 +129,14 @@ def scanned_files(pages: DataFrame) -> DataFrame:
     signs = staged(signs, "signs")
     n = lambda c: F.sum(F.col(c).cast("int"))
     by_file = signs.groupBy("doc_id").agg(F.count("*").alias("n"), n("broken").alias("broken"), n("number").alias("number"), n("wrapped").alias("wrapped"), n("single").alias("single"))
+    # a title recurs on a quarter of the file's pages at least, and a page has four outer lines: no file has more than sixteen
     lines = signs.select("doc_id", F.explode("outer").alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("k")).where("k >= 2")
-    # the eight most frequent lines of a file; the ranking keeps eight per partition before it shuffles
-    w = Window.partitionBy("doc_id").orderBy(F.desc("k"), "line")
-    lines = lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 8)
+    lines = lines.join(by_file.select("doc_id", "n"), "doc_id").where("k * 4 >= n")
     titles = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "line")), asc=False).alias("t"), F.max("k").alias("most"))
     files = by_file.where("single * 10 >= n * 9 and n >= 2 and wrapped * 2 >= n").join(titles, "doc_id", "left")
     most = F.coalesce("most", F.lit(0))
     scan = (F.col("broken") * 5 >= F.col("n")) | ((F.col("number") * 2 >= F.col("n")) & (F.col("wrapped") * 3 >= 2 * F.col("n"))) | ((most * 2 >= F.col("n")) & (most >= 3) & (F.col("wrapped") * 3 >= 2 * F.col("n")))
-    # a title recurs on a third of the file's pages at least
-    kept = F.filter(F.coalesce("t", F.array().cast("array<struct<k:bigint,line:string>>")), lambda x: x["k"] * 4 >= F.col("n"))
-    return files.where(scan).select("doc_id", F.transform(kept, lambda x: x["line"]).alias("titles"))
+    return files.where(scan).select("doc_id", F.transform(F.coalesce("t", F.array().cast("array<struct<k:bigint,line:string>>")), lambda x: x["line"]).alias("titles"))
 
 
 def clean_page(text: str, titles: list[str]) -> tuple[list[str], bool, bool, bool, str]:
@@ -183,9 +185,9 @@ def clean_pages(chunk: DataFrame) -> DataFrame:
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def body_words(text: str) -> list[str]:
-    """Words of the running text; what is cut off at a page's begin or end is none."""
-    words = _TOKEN.findall(text)
+def body_words(text: str) -> list[tuple[int, str]]:
+    """Words of the running text and where they begin; what is cut off at a page's begin or end is none."""
+    words = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
     if words and text[:1].islower():
         words = words[1:]
     if words and _BROKEN.search(text):
@@ -193,113 +195,201 @@ def body_words(text: str) -> list[str]:
     return words
 
 
-def corrections(word: str) -> set[str]:
-    """Words that a single misreading (or the same one throughout) turns into ``word``."""
-    out = set()
+def _digit(word: str) -> bool:
+    return bool(re.search(r"[^\W\d_]", word) and re.search(r"\d", word))
+
+
+def corrections(word: str) -> dict[str, int]:
+    """Words that a single misreading (or the same one throughout) turns into ``word``, and how often as frequent they must be."""
+    out: dict[str, int] = {}
+    least = 1 if _digit(word) else RATIO * (5 if len(word) < 4 else 1)
     for printed, read in MISREAD:
         at = word.find(read)
         if at >= 0 and word.count(read) > 1:
-            out.add(word.replace(read, printed))
+            out.setdefault(word.replace(read, printed), least if least == 1 else 5 * least)
         while at >= 0:
-            out.add(word[:at] + printed + word[at + len(read) :])
+            out[word[:at] + printed + word[at + len(read) :]] = least
             at = word.find(read, at + 1)
-    out.discard(word)
+    out.pop(word, None)
     return out
 
 
-def _place(word: str) -> int:
+def _places(words: list[str]) -> np.ndarray:
+    """The hashed places of words before and after others."""
     import xxhash
 
-    return xxhash.xxh32_intdigest(word.lower()) % DIMENSIONS
+    return np.array([[xxhash.xxh32_intdigest(side + w.lower()) % DIMENSIONS for w in words] for side in "<>"], np.int64).reshape(2, -1)
 
 
-def misread_words(pages: DataFrame) -> DataFrame:
-    """``id``, ``word`` and ``correct`` of misread words; ``pages`` has ``id`` and ``text``."""
+def _neighbours(own: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts; for each word of the texts which it is, and the places of those around it (-1 for none)."""
+    sizes = np.array([len(w) for w in own], np.int64)
+    flat = np.empty(int(sizes.sum()), object)
+    flat[:] = [w for text in own for w in text]
+    code, words = pd.factorize(flat)
+    places = _places(list(words))
+    text = np.repeat(np.arange(len(own)), sizes)
+    around = np.full((len(flat), 2 * REACH), -1, np.int64)
+    for k in range(1, REACH + 1):
+        same = text[k:] == text[:-k]
+        around[k:, 2 * k - 2] = np.where(same, places[0][code[:-k]], -1)
+        around[:-k, 2 * k - 1] = np.where(same, places[1][code[k:]], -1)
+    return words, code, around
+
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word, hashed place of a neighbour, how often; a portion's counts together."""
+def context_counts(pages: DataFrame) -> DataFrame:
+    """``word``, ``place``, ``n``: how often a word has a neighbour of a hashed place, and (place -1) how often it occurs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: Counter = Counter()
-            for text in pdf["text"]:
-                words = body_words(text)
-                places = [_place(w) for w in words]
-                for i, w in enumerate(words):
-                    counts[w, -1] += 1
-                    for j in range(max(0, i - REACH), min(len(words), i + REACH + 1)):
-                        if j != i:
-                            counts[w, places[j]] += 1
-            yield pd.DataFrame([(w, p, n) for (w, p), n in counts.items()], columns=["word", "place", "n"])
-
-    counts = staged(pages.select("text").mapInPandas(contexts, "word string, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n")), "skipgrams")
+            words, code, around = _neighbours([[w for _, w in body_words(t)] for t in pdf["text"]])
+            key = code[:, None] * (DIMENSIONS + 1) + around + 1
+            all_ = np.concatenate([key[around >= 0], code * (DIMENSIONS + 1)])
+            key, n = np.unique(all_, return_counts=True)
+            yield pd.DataFrame({"word": words[key // (DIMENSIONS + 1)], "place": key % (DIMENSIONS + 1) - 1, "n": n})
+
+    return pages.select("text").mapInPandas(run, "word string, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
+
+
+def _information(lists, totals: np.ndarray) -> np.ndarray:
+    """The positive pointwise mutual information of rows of (place, n) with the places, dense."""
+    x = np.zeros((len(lists), DIMENSIONS), np.float32)
+    for row, own in zip(x, lists, strict=True):
+        for r in own:
+            row[r["place"]] = r["n"]
+    share = x / np.maximum(1, x.sum(axis=1, keepdims=True))
+    with np.errstate(divide="ignore"):
+        return np.maximum(0, np.log(share / totals))
+
+
+def skip_gram_space(rows: DataFrame, totals: np.ndarray) -> np.ndarray:
+    """Directions (places x ``RANK``) of the vectors of words; ``rows`` has ``word``, ``m`` (its occurrences) and ``v`` (place, n).
+
+    Each pass multiplies a basis with the words' matrix in parts: a task gives one block of fixed size."""
+    rank = min(RANK, DIMENSIONS)
+    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((DIMENSIONS, rank)))[0]
+    for _ in range(PASSES):
+
+        def multiply(batches: Iterator[pd.DataFrame], b=basis.astype(np.float32)) -> Iterator[pd.DataFrame]:
+            out = np.zeros((DIMENSIONS, rank), np.float32)
+            for pdf in batches:
+                for a in range(0, len(pdf), 1000):
+                    part = pdf.iloc[a : a + 1000]
+                    x = _information(part["v"], totals)
+                    out += x.T @ ((x @ b) * np.sqrt(part["m"].to_numpy(np.float32))[:, None])
+            yield pd.DataFrame({"place": np.arange(DIMENSIONS), "row": list(out)})
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for p, row in zip(pdf["place"], pdf["row"], strict=True):
+                    out[p] = out[p] + row if p in out else np.asarray(row, np.float64)
+            yield pd.DataFrame({"place": list(out), "row": pd.Series(list(out.values()), dtype=object)})
+
+        kind = "place int, row array<float>"
+        summed = np.zeros((DIMENSIONS, rank))
+        for r in rows.mapInPandas(multiply, kind).repartition(8, "place").mapInPandas(add, kind).collect():
+            summed[r["place"]] = r["row"]
+        basis = np.linalg.qr(summed + 1e-9 * basis)[0]
+    return basis.astype(np.float32)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def links(counts: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``word``, ``correct`` and ``v`` (the vector of ``correct``) of misread words; the directions, and the places' shares."""
     words = counts.where("place = -1").select("word", "n")
     all_words = words.agg(F.sum("n")).first()[0] or 0
-    right = words.where(F.col("n") >= FREQUENT).select(F.col("word").alias("correct"), F.col("n").alias("m"))
+    right = words.select(F.col("word").alias("correct"), F.col("n").alias("m"))
     hot = F.col("m") * VOCABULARY > all_words
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(w, n, c) for w, n in zip(pdf["word"], pdf["n"], strict=True) if len(w) > 1 and not w.isdigit() and not re.fullmatch(r"[A-Z]?\d+|\d+[a-zªº]{0,2}", w) for c in corrections(w)]
-            yield pd.DataFrame(out, columns=["word", "n", "correct"])
+            out = [(w, n, c, least) for w, n in zip(pdf["word"], pdf["n"], strict=True) if len(w) > 1 and not w.isdigit() and not re.fullmatch(r"[A-Z]?\d+|\d+[a-zªº]{0,2}", w) for c, least in corrections(w).items()]
+            yield pd.DataFrame(out, columns=["word", "n", "correct", "least"])
 
-    made = words.mapInPandas(variants, "word string, n long, correct string")
+    made = words.mapInPandas(variants, "word string, n long, correct string, least int")
     marked = made.join(F.broadcast(right.where(hot)), "correct", "left")
-    links = marked.where("m is not null")
-    if all_words >= FREQUENT * VOCABULARY:  # else all right words are in the broadcast
-        links = links.unionByName(marked.where("m is null").drop("m").join(right.where(~hot), "correct"))
-    links = staged(links.where(F.col("m") >= RATIO * F.col("n")), "links")
-    # vectors of the linked words only; a place's total over all words is a table of fixed size
-    wanted = links.select(F.explode(F.array("word", "correct")).alias("word")).distinct()
-    totals = counts.where("place >= 0").groupBy("place").agg(F.sum("n").alias("t"))
-    total = totals.agg(F.sum("t")).first()[0] or 1
-    of = counts.where("place >= 0").join(wanted, "word").join(F.broadcast(totals), "place")
-    vectors = of.groupBy("word").agg(F.collect_list(F.struct("place", "n", "t")).alias("v"))
+    found = marked.where("m is not null")
+    if all_words >= VOCABULARY:  # else all right words are in the broadcast
+        found = found.unionByName(marked.where("m is null").drop("m").join(right.where(~hot), "correct"))
+    found = staged(found.where((F.col("m") >= F.col("least") * F.col("n")) & ((F.col("m") >= FREQUENT) | (F.col("least") == 1))), "links")
+    # a place's total over all words is a table of fixed size
+    totals = np.zeros(DIMENSIONS)
+    for r in counts.where("place >= 0").groupBy("place").agg(F.sum("n").alias("t")).collect():
+        totals[r["place"]] = r["t"]
+    totals = (totals / max(1.0, totals.sum()) + 1e-9).astype(np.float32)
+    linked = found.select(F.explode(F.array("word", "correct")).alias("word")).distinct().withColumn("linked", F.lit(True))
+    rows = counts.groupBy("word").agg(F.max(F.when(F.col("place") == -1, F.col("n"))).alias("m"), F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "n"))).alias("v"))
+    rows = staged(rows.join(linked, "word", "left").where(F.col("linked") | (F.col("m") >= FREQUENT)), "contexts")
+    space = skip_gram_space(rows.where(F.col("m") >= FREQUENT), totals)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 1000):
+                part = pdf.iloc[a : a + 1000]
+                yield pd.DataFrame({"word": part["word"], "v": list(_unit(_information(part["v"], totals) @ space))})
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def vector(v, shift):
-            x = np.zeros(DIMENSIONS)
-            t = np.ones(DIMENSIONS)
-            for r in v:
-                x[r["place"]], t[r["place"]] = r["n"], r["t"]
-            return np.maximum(0, np.log((x / x.sum() + 1e-9) / (t / shift))) if x.sum() else x
+    vectors = rows.where("linked").select("word", "v").mapInPandas(project, "word string, v array<float>")
+    both = found.join(vectors, "word").withColumnRenamed("v", "w").join(vectors.withColumnRenamed("word", "correct"), "correct")
+    cosine = F.aggregate(F.zip_with("v", "w", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda a, x: a + x)
+    least = F.least(F.lit(CLEAR), AGREE * F.pow("n", F.lit(POWER))) * F.when(F.col("least") == 1, 0.5).otherwise(1.0)
+    return staged(both.where(cosine >= least).select("word", "correct", "v"), "misread"), space, totals
 
-        for pdf in batches:
-            keep = []
-            for w, n, m, a, b in zip(pdf["word"], pdf["n"], pdf["m"], pdf["a"], pdf["b"], strict=True):
-                digit = bool(re.search(r"[^\W\d_]", w) and re.search(r"\d", w))
-                p, q = vector(a, total), vector(b, total)
-                norm = np.linalg.norm(p) * np.linalg.norm(q)
-                agree = norm > 0 and float(p @ q) / norm > min(CLEAR, AGREE * max(1, n - 2) ** 0.5)
-                keep.append(digit or m >= SURE * n * (5 if len(w) < 4 else 1) or (agree and len(w) > 3))
-            yield pdf[keep][["word", "correct", "m"]]
-
-    pairs = links.join(vectors.select("word", F.col("v").alias("a")), "word").join(vectors.select(F.col("word").alias("correct"), F.col("v").alias("b")), "correct")
-    kept = pairs.select("word", "correct", "n", "m", "a", "b").mapInPandas(judge, "word string, correct string, m long")
-    best = kept.groupBy("word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"))
+
+def misread_words(pages: DataFrame) -> DataFrame:
+    """``id``, ``begin``, ``word`` and ``correct`` of every occurrence of a misread word; ``pages`` has ``id`` and ``text``."""
+    found, space, totals = links(staged(context_counts(pages), "skipgrams"))
+    names = found.select("word").distinct()
+    some = names.limit(KNOWN_WORDS + 1).collect()
+    known = frozenset(r["word"] for r in some) if len(some) <= KNOWN_WORDS else None
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, w) for i, text in zip(pdf["id"], pdf["text"], strict=True) for w in dict.fromkeys(body_words(text))]
-            yield pd.DataFrame(out, columns=["id", "word"])
+            own = [body_words(t) for t in pdf["text"]]
+            words, code, around = _neighbours([[w for _, w in text] for text in own])
+            begins = np.array([b for text in own for b, _ in text], np.int64)
+            ids = np.repeat(pdf["id"].to_numpy(), [len(text) for text in own])
+            at = np.flatnonzero(np.array([known is None or w in known for w in words], bool)[code]) if len(code) else code
+            yield pd.DataFrame({"id": ids[at], "begin": begins[at], "word": words[code[at]], "around": pd.Series([x[x >= 0] for x in around[at]], dtype=object)})
+
+    at = pages.select("id", "text").mapInPandas(occurrences, "id string, begin int, word string, around array<int>")
+    grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("correct", "v"))).alias("c"))
 
-    at = pages.select("id", "text").mapInPandas(occurrences, "id string, word string")
-    linked = at.join(best, "word").select("id", "word", "correct")
-    # a digit between small letters is misread, whatever the word may have been
-    plain = at.where(F.col("word").rlike(r"^\p{Lu}?\p{Ll}+[015689]\p{Ll}*$|^\p{Lu}?\p{Ll}*[015689]\p{Ll}{2,}$") & ~F.col("word").rlike(r"^\d+\p{Ll}{1,2}$"))
-    return linked.unionByName(plain.join(best, "word", "left_anti").select("id", "word", F.lit(None).cast("string").alias("correct")))
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a in range(0, len(pdf), 1000):
+                part = pdf.iloc[a : a + 1000]
+                x = np.zeros((len(part), DIMENSIONS), np.float32)
+                for row, own in zip(x, part["around"], strict=True):
+                    np.add.at(row, own, 1)
+                with np.errstate(divide="ignore"):
+                    here = _unit(np.maximum(0, np.log(x / np.maximum(1, x.sum(axis=1, keepdims=True)) / totals)) @ space)
+                for i, begin, w, own, u in zip(part["id"], part["begin"], part["word"], part["c"], here, strict=True):
+                    fits = [(float(np.asarray(c["v"], np.float32) @ u), c["correct"]) for c in own]
+                    best, correct = max(fits)
+                    if best >= (0 if _digit(w) else HERE):
+                        out.append((i, begin, w, correct))
+            yield pd.DataFrame(out, columns=["id", "begin", "word", "correct"])
+
+    return at.join(grouped, "word").select("id", "begin", "word", "around", "c").mapInPandas(judge, "id string, begin int, word string, correct string")
 
 
 def repaired_pages(chunk: DataFrame) -> DataFrame:
     """``id``, ``kinds`` of noise, and ``text`` of every page of a scan in continuous paragraphs."""
     pages = staged(clean_pages(chunk), "pages")
-    words = misread_words(pages).groupBy("id").agg(F.count("*").alias("_n"), F.map_from_entries(F.filter(F.collect_set(F.struct("word", "correct")), lambda x: x["correct"].isNotNull())).alias("_fix"))
-    kinds = F.array_compact(F.array(F.when(F.col("hyphen"), "hyphen"), F.when(F.col("_n") > 0, "ocr_char"), F.when(F.col("header"), "header"), F.when(F.col("page_number"), "page_number")))
+    words = misread_words(pages).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("begin", "correct"))).alias("_fix"))
+    kinds = F.array_compact(F.array(F.when(F.col("hyphen"), "hyphen"), F.when(F.col("_fix").isNotNull(), "ocr_char"), F.when(F.col("header"), "header"), F.when(F.col("page_number"), "page_number")))
 
     def reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for text, fix in zip(pdf["text"], pdf["_fix"], strict=True):
                 fixes = dict(fix) if fix is not None else {}
-                text = _TOKEN.sub(lambda m, f=fixes: f.get(m.group(), m.group()), text)
+                text = _TOKEN.sub(lambda m, f=fixes: f.get(m.start(), m.group()), text)
                 lines = text.split("\n")
                 width = max(map(len, lines), default=0)
                 out.append("".join(x + ("\n" if re.search(r"[.!?:;]$", x) and len(x) < 0.8 * width else " ") for x in lines).strip())

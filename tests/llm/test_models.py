@@ -225,6 +225,9 @@ def test_kinds_of_noise(spark):
     assert kinds["page_number"] == every and kinds["hyphen"] == every and kinds["header"] == every - {"p0"} and kinds["ocr_char"] == {"p3"}
     text = {r["id"]: r["text"] for r in scans.repaired_pages(df).collect()}
     assert "compiler" in text["p3"] and "cornpiler" not in text["p3"] and "compi-" not in text["p1"] and "Chapter" not in text["p1"] and "- 11 -" not in text["p1"]
+    for i, _, _, raw in pages():  # the whole text as it was printed, in one paragraph
+        lines = [x for x in raw.split("\n") if "Harbour" not in x and not x.startswith("- ")]
+        assert text[i] == " ".join(lines).replace("compi- ler ", "compiler ").replace("cornpiler", "compiler")
     assert scans.noise_kinds(df.limit(0)).count() == 0
 
 
@@ -247,6 +250,20 @@ def test_contexts_decide_however_often_a_word_is_misread(spark):
     assert misread(spark, {"harbour": 100, "harbonr": 10, "raccolta": 300, "raccolto": 30}) == {("harbonr", "harbour")}
 
 
+def test_an_occurrence_is_judged_by_its_own_neighbours(spark):
+    """What two words may be misread as goes to the one that the words around it suit."""
+    import random
+
+    near = {"flat": "rent room street lease roof stairs".split(), "fiat": "decree ruler power court order crown".split()}
+    r, rows = random.Random(5), []
+    for _ in range(60):
+        rows += [" ".join(["The", *r.sample(own, 3), word, *r.sample(own, 3), "."]) for word, own in near.items()]
+    rows += [" ".join(["The", *r.sample(own, 3), "f1at", *r.sample(own, 3), "."]) for own in near.values()]
+    df = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(rows)], "id string, text string")
+    got = {x["id"]: (x["word"], x["correct"]) for x in scans.misread_words(df).collect()}
+    assert got == {"p120": ("f1at", "flat"), "p121": ("f1at", "fiat")}
+
+
 def test_right_words_beyond_the_broadcast_are_linked(spark, monkeypatch):
     often = {"harbour": 40, "harbonr": 1, "compiler": 9, "cornpiler": 1}
     want = misread(spark, often)
