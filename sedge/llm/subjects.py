@@ -44,7 +44,8 @@ SAMPLE_ROWS = 20_000
 #: runs of a subject can have it, however large the corpus is. The same for longer words around a term, of all documents.
 SHARE, LONGER_SHARE = 5e-4, 2e-5
 LEAST, PURITY = 6, 0.93
-SLICE_CHARS = 400_000
+#: Characters of texts, and different runs, that a worker holds at once.
+SLICE_CHARS, MOST_RUNS = 400_000, 500_000
 _END = re.compile(r"(?<![\s])(?<!^\d)(?<!^\d\d)(?<!^\d\d\d)[.!?;]+[\"'”’»)]*(?=\s|$)(?!\s+Mal\b)|[。！？；]+[”’」』)）]*", re.MULTILINE)
 #: List marks, and the numbers of articles, at the begin of a line.
 _MARK = re.compile(r"^\s*(?:(?:[-–•*]|\d+[.)])\s+|(?:§|Art\w*\.?|Статья)\s*\d+[.)]\s*|第\s*\d+\s*条\s*)")
@@ -213,9 +214,8 @@ class _Scan:
         any_ = rest.sum(axis=1) > 0
         tells = any_ | (self.lines[text] > 3)
         agree = (rest == rest.max(axis=1, keepdims=True, initial=0)) & any_[:, None]
-        out = np.zeros((len(names), k + 1), np.int64)
-        np.add.at(out, groups % max(1, len(names)), np.concatenate([agree, tells[:, None]], axis=1))
-        return names, out
+        at = groups % max(1, len(names))
+        return names, np.stack([np.bincount(at, x, len(names)).astype(np.int64) for x in [*agree.T, tells]], axis=1)
 
 
 def sentence_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,59 +230,78 @@ def sentence_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, s string")
 
 
-def scans(sentences: DataFrame, scanner: Scanner, found, schema: str) -> DataFrame:
-    """Rows that ``found`` (ids, scan) gives for portions of the texts."""
+class _Counts:
+    """Counts over the texts of a task: of sentences by subject, of terms and candidates by subject, of what texts tell of terms and
+    of the longer words around Chinese ones, and of the runs of sentences without a term."""
 
+    def __init__(self, scanner: Scanner, runs: bool):
+        self.scanner, self.wanted, k = scanner, runs, scanner.count + 1
+        self.texts, self.sentences, self.size = 0, np.zeros(k, np.int64), scanner.size * k
+        self.seen, self.terms = np.zeros(self.size, np.int64), np.zeros((scanner.size, k), np.int64)
+        self.longer: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs: Counter = Counter()
+
+    def add(self, scan: _Scan) -> None:
+        label, only = scan.labels()
+        k = self.scanner.count
+        # a sentence without a term has its text's only subject; none if nothing in the text has one
+        mine = np.where(label >= 0, label, np.where(only[scan.of] >= 0, only[scan.of], np.where(only[scan.of] == -2, k, -1)))
+        self.texts += len(scan.lines)
+        self.sentences += np.bincount(mine[mine >= 0], minlength=k + 1)
+        own = mine[scan.sentence]
+        self.seen += np.bincount((scan.term * (k + 1) + own)[own >= 0], minlength=self.size)
+        (names, told), longer = scan.contradictions(label)
+        self.terms[names] += told
+        self.longer.append(longer)
+        if self.wanted:
+            text = scan.text.split("\n")
+            for i in np.flatnonzero((label < 0) & (only[scan.of] >= 0)):
+                j = int(only[scan.of[i]])
+                self.runs.update((r, j) for r in _runs(text[i].split()))
+
+    def rows(self) -> pd.DataFrame:
+        k = self.scanner.count + 1
+        parts = [("texts", np.zeros(1, np.int64), np.array([[self.texts]])), ("sentences", np.zeros(1, np.int64), self.sentences[None])]
+        parts += [("seen", np.arange(self.scanner.size), self.seen.reshape(-1, k)), ("term", np.arange(self.scanner.size), self.terms)]
+        if self.longer:
+            names, which = np.unique(np.concatenate([n for n, _ in self.longer]), return_inverse=True)
+            told = np.concatenate([t for _, t in self.longer])
+            parts.append(("longer", names, np.stack([np.bincount(which, c, len(names)).astype(np.int64) for c in told.T], axis=1)))
+        out = []
+        for kind, names, table in parts:
+            i, j = np.nonzero(table)
+            out.append(pd.DataFrame({"kind": kind, "run": "", "name": names[i], "subject": j, "n": table[i, j]}))
+        out.append(pd.DataFrame([("run", r, 0, j, n) for (r, j), n in self.runs.items()], columns=["kind", "run", "name", "subject", "n"]))
+        return pd.concat(out)
+
+
+def _scanned(sentences: DataFrame, scanner: Scanner, use, schema: str) -> DataFrame:
+    """What ``use`` makes of the portions (ids, scan) of each task."""
     shared = sentences.sparkSession.sparkContext.broadcast(scanner)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def portions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, _Scan]]:
         for pdf in batches:
             texts = pdf["s"].tolist()
             for x, y in slices([len(t) for t in texts], SLICE_CHARS):
-                yield found(pdf["_id"].iloc[x:y], shared.value.read(texts[x:y]))
-
-    return sentences.mapInPandas(run, schema)
-
-
-def survey(ids, scan: _Scan) -> pd.DataFrame:
-    """First pass: sentences by subject, what texts tell of terms and longer words, and the runs of sentences without a term."""
-    label, only = scan.labels()
-    k = scan.scanner.count
-    mine = np.where(label >= 0, label, np.where(only[scan.of] >= 0, only[scan.of], np.where(only[scan.of] == -2, k, -1)))
-    rows = [("sentences", "", 0, int(j), int(n)) for j, n in zip(*np.unique(mine[mine >= 0], return_counts=True), strict=True)]
-    rows.append(("texts", "", 0, 0, len(ids)))
-    for kind, (names, told) in zip(("term", "longer"), scan.contradictions(label), strict=True):
-        for name, row in zip(names.tolist(), told.tolist(), strict=True):
-            rows += [(kind, "", name, j, n) for j, n in enumerate(row) if n]
-    runs: Counter = Counter()
-    text = scan.text.split("\n")
-    for i in np.flatnonzero((label < 0) & (only[scan.of] >= 0)):
-        j = int(only[scan.of[i]])
-        runs.update((r, j) for r in _runs(text[i].split()))
-    rows += [("run", r, 0, j, n) for (r, j), n in runs.items()]
-    return pd.DataFrame(rows, columns=["kind", "run", "name", "subject", "n"])
-
+                yield pdf["_id"].iloc[x:y], shared.value.read(texts[x:y])
 
-def tally(ids, scan: _Scan) -> pd.DataFrame:
-    """Second pass: sentences with a term or candidate by subject, and what texts tell of them."""
-    label, only = scan.labels()
-    k = scan.scanner.count
-    mine = np.where(label >= 0, label, np.where(only[scan.of] >= 0, only[scan.of], np.where(only[scan.of] == -2, k, -1)))
-    own = mine[scan.sentence]
-    key, n = np.unique((scan.term * (k + 1) + own)[own >= 0], return_counts=True)
-    rows = [("sentences", "", 0, int(j), int(c)) for j, c in zip(*np.unique(mine[mine >= 0], return_counts=True), strict=True)]
-    rows += [("seen", "", x // (k + 1), x % (k + 1), c) for x, c in zip(key.tolist(), n.tolist(), strict=True)]
-    for kind, (names, told) in zip(("term", "longer"), scan.contradictions(label), strict=True):
-        for name, row in zip(names.tolist(), told.tolist(), strict=True):
-            rows += [(kind, "", name, j, c) for j, c in enumerate(row) if c]
-    return pd.DataFrame(rows, columns=["kind", "run", "name", "subject", "n"])
+    return sentences.mapInPandas(lambda batches: use(portions(batches)), schema)
 
 
-_COUNTS = "kind string, run string, name long, subject int, n long"
+def counted(sentences: DataFrame, scanner: Scanner, runs: bool) -> DataFrame:
+    """The counts of ``_Counts`` over all sentences: ``kind``, ``run``, ``name``, ``subject``, ``n``."""
 
+    def use(portions) -> Iterator[pd.DataFrame]:
+        counts = _Counts(scanner, runs)
+        for _, scan in portions:
+            counts.add(scan)
+            if len(counts.runs) > MOST_RUNS or len(counts.longer) > 200:
+                yield counts.rows()
+                counts = _Counts(scanner, runs)
+        yield counts.rows()
 
-def _summed(rows: DataFrame, label: str) -> DataFrame:
-    return staged(rows.groupBy("kind", "run", "name", "subject").agg(F.sum("n").alias("n")), label)
+    rows = _scanned(sentences, scanner, use, "kind string, run string, name long, subject int, n long")
+    return staged(rows.groupBy("kind", "run", "name", "subject").agg(F.sum("n").alias("n")), "counts")
 
 
 def _told_against(counts: DataFrame, kind: str, scanner: Scanner, texts: int) -> dict[int, np.ndarray]:
@@ -345,7 +364,7 @@ def train(sentences: DataFrame, samples: DataFrame, areas: DataFrame) -> Subject
     if not m.terms:
         return m
     k, scanner = len(subjects), Scanner(m)
-    first = _summed(scans(sentences, scanner, survey, _COUNTS), "survey")
+    first = counted(sentences, scanner, True)
     texts = first.where("kind = 'texts'").agg(F.sum("n")).first()[0] or 0
     _prune(m, scanner, _told_against(first, "term", scanner, texts), _told_against(first, "longer", scanner, texts))
 
@@ -356,9 +375,10 @@ def train(sentences: DataFrame, samples: DataFrame, areas: DataFrame) -> Subject
         return out
 
     least = F.greatest(F.lit(float(LEAST)), F.element_at(F.array(*[F.lit(SHARE * float(x)) for x in totals(first)]), F.col("subject") + 1))
-    some = first.where((F.col("kind") == "run") & (F.col("n") >= least)).select("run").distinct()
+    runs = first.where("kind = 'run'").withColumn("enough", F.col("n") >= least)
+    some = runs.groupBy("run").agg(F.max("enough").alias("enough"), F.max("n").alias("most"), F.sum("n").alias("all")).where("enough and most >= 0.8 * all").select("run")
     scanner = Scanner(m, tuple(sorted(r["run"] for r in some.collect() if _is_term(r["run"]))))
-    second = _summed(scans(sentences, scanner, tally, _COUNTS), "tally")
+    second = counted(sentences, scanner, False)
     total = totals(second)
     seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k + 1, np.int64))
     for r in second.where("kind = 'seen'").collect():  # a row per term and subject, at most
@@ -379,11 +399,11 @@ def subject_shares(sentences: DataFrame, model: SubjectModel, id_col: str = "doc
     """``id_col``, ``subject``, ``about`` (sentences about it) and ``sentences`` of every text of ``sentence_texts`` with such sentences."""
     kind, names = sentences.schema["_id"].dataType.simpleString(), np.array(model.subjects, object)
 
-    def found(ids, scan: _Scan) -> pd.DataFrame:
-        about = scan.about()
-        n = np.zeros((len(ids), about.shape[1]), np.int64)
-        np.add.at(n, scan.of, about)
-        text, k = np.nonzero(n)
-        return pd.DataFrame({id_col: ids.to_numpy()[text], "subject": names[k], "about": n[text, k], "sentences": scan.lines[text]})
+    def use(portions) -> Iterator[pd.DataFrame]:
+        for ids, scan in portions:
+            about = scan.about()
+            n = np.stack([np.bincount(scan.of, x, len(ids)).astype(np.int64) for x in about.T], axis=1) if len(names) else np.zeros((len(ids), 0), np.int64)
+            text, k = np.nonzero(n)
+            yield pd.DataFrame({id_col: ids.to_numpy()[text], "subject": names[k], "about": n[text, k], "sentences": scan.lines[text]})
 
-    return scans(sentences, Scanner(model), found, f"`{id_col}` {kind}, subject string, about int, sentences int")
+    return _scanned(sentences, Scanner(model), use, f"`{id_col}` {kind}, subject string, about int, sentences int")
