@@ -344,7 +344,7 @@ def from_samples(samples: pd.DataFrame, subjects: list[str]) -> tuple[SubjectMod
 
 
 def calibrate(m: SubjectModel, own: list[tuple[int, str]]) -> None:
-    """Thresholds: four tenths of what all but a fiftieth of the subject's own sentences reach."""
+    """Thresholds: three tenths of what all but a fiftieth of the subject's own sentences reach."""
     m.thresholds = [1e-9] * len(m.subjects)
     if not own:
         return
@@ -353,7 +353,7 @@ def calibrate(m: SubjectModel, own: list[tuple[int, str]]) -> None:
     for k in range(len(m.subjects)):
         right = np.sort(scores[(labels == k) & (scores[:, k] > 0) & (scores[:, k] == scores.max(axis=1)), k])
         if len(right):
-            m.thresholds[k] = 0.4 * float(right[len(right) // 50])
+            m.thresholds[k] = 0.3 * float(right[len(right) // 50])
 
 
 def train(sentences: DataFrame, samples: DataFrame, areas: DataFrame) -> SubjectModel:
