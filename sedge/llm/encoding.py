@@ -1,12 +1,16 @@
 """Text that was decoded with a wrong character encoding.
 
-For all pairs (the encoding a text was written in, the one it was read in) the garbled forms of the
-characters that texts use are computed beforehand. Forms of two or more characters go into a multi-pattern
-automaton; only the spans it matches are replaced, once more for text that was garbled twice. Forms of one
-character are proper characters elsewhere, so they count only inside a word that can't be one: a sign or a capital
-between small letters, a letter of no language at hand, or a word that becomes a known one. Runs garbled
-between multi-byte encodings, where one character depends on its neighbours, are tried as a whole and taken
-if they become common characters.
+For all pairs (the encoding a text was written in, the one it was read in) the garbled forms of what texts consist of
+are computed beforehand and go into multi-pattern automata (three, as each is fastest with few first characters: forms that tell,
+forms within runs, and single characters with a neighbour); what they don't match is never changed.
+
+* Forms of two or more characters that tell the proper character are replaced span by span, once more for text that was
+  garbled twice.
+* Other forms mark a span with the pairs that they speak for, as the proper text depends on the neighbours: two letters garbled
+  between Cyrillic encodings, a Chinese character read in a one-byte or another East Asian encoding, a single Latin letter beside a
+  letter, a sign beside a digit. A run of characters with such marks is decoded by the pairs marked, and replaced if it becomes
+  common text; a word with a mark is replaced if it can't be one (a sign or a capital between small letters, a letter of no
+  language at hand), or if it becomes a known one.
 
 Sequences that a text merely quotes (alone within quotation marks, or an apostrophe standing alone) stay.
 
@@ -36,6 +40,11 @@ _CYRILLIC_PAIRS = (
     ("latin-1", "koi8-r"), ("cp1252", "koi8-r"), ("latin-1", "cp866"), ("cp1252", "cp866"), ("mac_roman", "cp1251"), ("cp437", "cp1251"),
     ("cp850", "cp1251"), ("iso8859-5", "cp1251"), ("cp1251", "iso8859-5"), ("cp437", "cp866"), ("cp866", "koi8-r"), ("koi8-r", "cp866"),
 )
+#: What a run may be garbled by: read as, written in, and what it must become.
+_PAIRS = [
+    ("gb18030", "utf-8", "sound"), *((r, "gb18030", "east") for r in ("big5", "big5hkscs", "shift_jis", "euc_kr")), ("gb18030", "big5", "east"),
+    *((r, "gb18030", "han") for r in ("latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac_roman", "cp1250")), *((r, w, "russian") for r, w in _CYRILLIC_PAIRS),
+]
 #: Signs of cp1252 that mac_roman, cp437 and cp850 read as others, where digits tell.
 _SIGNS = [
     (re.compile(r"(?<=\d)[ñû](?=\d)"), "–"),
@@ -64,7 +73,7 @@ def _common_han() -> set[str]:
 
 
 def _repertoire() -> tuple[list[str], list[str]]:
-    marks = [*range(0xA0, 0x100), 0x152, 0x153, *range(0x2010, 0x2027), 0x2030, 0x2039, 0x203A, 0x20AC, 0x2103, 0x2116, 0x2122, 0x401, *range(0x410, 0x450), 0x451, *range(0x3000, 0x3012), *range(0xFF01, 0xFF5F)]
+    marks = [0x81, 0x8D, 0x8F, 0x90, 0x9D, *range(0xA0, 0x100), 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, 0x192, 0x2C6, 0x2DC, *range(0x2010, 0x2027), 0x2030, 0x2039, 0x203A, 0x20AC, 0x2103, 0x2116, 0x2122, 0x401, *range(0x410, 0x450), 0x451, *range(0x3000, 0x3012), *range(0xFF01, 0xFF5F)]
     han = [c for hi in range(0xB0, 0xF8) for lo in range(0xA1, 0xFF) for c in [bytes([hi, lo]).decode("gb2312", "ignore")] if c]
     return [chr(x) for x in marks], han
 
@@ -93,23 +102,27 @@ class Repairer:
         import ahocorasick
 
         self.known = known or {}
-        a = ahocorasick.Automaton()
+        forms: dict[str, tuple[str | None, set]] = {}
         marks, han = _repertoire()
         for chars, codecs in ((marks, _READ_AS), (han, _READ_AS[:8])):
             for read in codecs:
                 for c in chars:
                     g = _bytes_as(c.encode("utf-8"), read)
-                    if g and len(g) > 1 and not g.isascii() and g not in a and not (len(g) > 2 and re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+", g)):
-                        a.add_word(g, (c, len(g)))
+                    if g and len(g) > 1 and not g.isascii() and g not in forms and not (len(g) > 2 and re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+", g)):
+                        forms[g] = (c, set())
+                    # control characters may have been dropped
+                    if g and len(g) == 3 and c in marks and len(h := re.sub("[\x80-\x9f]", "", g)) == 2 and h[0] in "âã" and not h.isalpha() and h not in forms:
+                        forms[h] = (c, set())
         for c in marks:  # half-width kana
             try:
                 g = c.encode("utf-8").decode("shift_jis")
             except UnicodeError:
                 continue
-            if len(g) > 1 and not g.isascii() and g not in a:
-                a.add_word(g, (c, len(g)))
-        a.make_automaton()
-        self.automaton = a
+            if len(g) > 1 and not g.isascii() and g not in forms:
+                forms[g] = (c, set())
+        self.common = _common_han()
+        self.single = _single()
+        garbled = "".join({g for t in self.single.values() for g in t})
         self.han_letter = {}
         for read in ("gb18030", "big5", "euc_kr"):
             for c in _WESTERN + "°":
@@ -119,14 +132,25 @@ class Repairer:
                     continue
                 if len(g) == 1:
                     self.han_letter.setdefault(g, c)
+        self.automaton, self.runs_of, self.beside = (ahocorasick.Automaton() for _ in range(3))
+        for g in self._lost():
+            forms.setdefault(g, (None, set()))
+        for g, (c, _) in forms.items():
+            self.automaton.add_word(g, (c, len(g)))
+        pairs: dict[str, set[int]] = {}
+        for g, k in self._run_marks():
+            pairs.setdefault(g, set()).add(k)
+        for g, own in pairs.items():
+            self.runs_of.add_word(g, (len(g), tuple(sorted(own))))
+        for g in self._beside(garbled + "".join(self.han_letter)):
+            self.beside.add_word(g, len(g))
+        for automaton in (self.automaton, self.runs_of, self.beside):
+            automaton.make_automaton()
         han_letters = re.escape("".join(self.han_letter))
         far = r"(?![\u3400-\u9fff\uac00-\ud7a3])"
         self.mixed = re.compile(rf"(?<=[a-z])[{han_letters}]{far}(?![，。；：])|(?<![\u3400-\u9fff\uac00-\ud7a3，。；：])[{han_letters}](?=[a-z]{{2}})|(?<=[0-9] )[{han_letters}](?=C\b)")
-        self.single = _single()
-        garbled = "".join({g for t in self.single.values() for g in t})
         self.suspect = re.compile(f"[{re.escape(garbled)}]")
         self.word = re.compile(f"[A-Za-z’'{re.escape(garbled)}{_LETTERS}]+")
-        self.common = _common_han()
         self.rare = re.compile("[^\x00-\x7f" + "".join(sorted(self.common)) + "，。！？；：、“”‘’（）《》「」『』【】…—–·％℃€£¥±×µ°　]")
         clean = "".join(sorted(self.common)) + "а-яА-ЯёЁ" + _LETTERS.replace("Ã", "").replace("Â", "") + "，。！？；：、“”‘’（）《》「」【】…—–·　«»•°ºª€℃¿¡„\xad‐¬№"
         self.unclean = re.compile(f"[^\x00-\x7f{clean}]")
@@ -137,6 +161,73 @@ class Repairer:
         self.eastern = re.compile("[\u3041-\u30ff\u3100-\u312f\u3400-\u9fff\uac00-\ud7a3\ue000-\uf8ff\ufe30-\ufe6b\uff00-\uffef]")
         self.cyrillic = re.compile(r"[Ѐ-ӿ]")
 
+    # -- what the automaton has
+
+    def _run_marks(self) -> Iterator[tuple[str, int]]:
+        """Garbled forms of pieces of text that don't tell their proper characters by themselves, each with a pair."""
+        small = [*map(chr, range(0x430, 0x450)), "ё"]
+        usual = [a + b for a in small + [x.upper() for x in small] for b in small] + ["№", "»", "«"]
+        for k, (read, written, what) in enumerate(_PAIRS):
+            if what == "russian":  # two letters
+                for c in usual:
+                    try:
+                        g = c.encode(written).decode(read)
+                    except UnicodeError:
+                        continue
+                    if g != c and not re.fullmatch("[А-ЯЁ]?[а-яё]+|[ -~]+", g):
+                        yield g, k
+                continue
+            if what == "sound":  # letters and signs of two bytes, and the first two bytes of others, are a character that is rare
+                for c in [*_repertoire()[0], *sorted(self.common)]:
+                    g = c.encode("utf-8")[:2].decode(read, "ignore")
+                    if len(g) == 1 and g not in self.common and not g.isascii():
+                        yield g, k
+            for c in self.common:
+                try:
+                    data = c.encode(written)
+                except UnicodeError:
+                    continue
+                if what == "sound":  # three bytes read by twos: the next character's first byte belongs to the form
+                    for lead in range(0xE4, 0xEA):
+                        g = (data + bytes([lead])).decode(read, "ignore")
+                        if len(g) == 2:
+                            yield g, k
+                    continue
+                g = data.decode(read, "ignore") if what == "east" else _bytes_as(data, read)
+                if g and (len(g) == 1 and g not in self.common or len(g) == 2) and not g.isascii():
+                    yield g, k
+
+    @staticmethod
+    def _beside(garbled: str) -> Iterator[str]:
+        """Single garbled characters with a letter, a digit or a space beside them."""
+        for g in garbled + "".join(sorted(set("ñûòïôìöîÄÇЂ∞░™¬"))):
+            for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789’' \n(":
+                yield c + g
+                yield g + c
+
+    @staticmethod
+    def _lost() -> Iterator[str]:
+        """What can't be restored."""
+        for c in "abcdefghijklmnopqrstuvwxyz":
+            yield "Ã" + c
+            yield "â" + c.upper()
+        yield from ["�", "ï¼", "ï½", *map(chr, range(0x80, 0x85)), *map(chr, range(0x86, 0xA0))]
+
+    def marked(self, s: str, least: float = 0.25) -> list[int]:
+        """The pairs whose forms cover a part of a run's characters beyond ASCII, at least."""
+        done: dict[int, int] = {}
+        cover: dict[int, int] = {}
+        for end, (n, pairs) in self.runs_of.iter(s):
+            for k in pairs:
+                cover[k] = cover.get(k, 0) + end + 1 - max(done.get(k, 0), end - n + 1)
+                done[k] = end + 1
+        size = max(1, sum(ord(c) > 0x7F for c in s))
+        return sorted(k for k, n in cover.items() if n >= least * size)
+
+    def _single_mark(self, text: str, begin: int, end: int) -> bool:
+        """Whether a single garbled character stands beside a letter, digit or space here."""
+        return next(self.beside.iter(f" {text} ", begin, end + 2), None) is not None
+
     # -- sequences
 
     def _quoted(self, text: str, begin: int, end: int, as_: str) -> bool:
@@ -150,7 +241,7 @@ class Repairer:
         best: dict[int, tuple[int, str]] = {}
         for end, (c, n) in self.automaton.iter(text):
             at = end - n + 1
-            if at not in best or best[at][0] < n:
+            if c is not None and (at not in best or best[at][0] < n):
                 best[at] = (n, c)
         if not best:
             return text, 0
@@ -166,9 +257,10 @@ class Repairer:
     def _covered(self, s: str) -> float:
         """Share of a run's characters that lie in garbled sequences."""
         done, n = 0, 0
-        for end, (_, m) in self.automaton.iter(s):
-            n += end + 1 - max(done, end - m + 1)
-            done = end + 1
+        for end, (c, m) in self.automaton.iter(s):
+            if c is not None:
+                n += end + 1 - max(done, end - m + 1)
+                done = end + 1
         return n / max(1, sum(ord(c) > 0x7F for c in s))
 
     def _proper(self, text: str, at: int, n: int) -> bool:
@@ -176,16 +268,15 @@ class Repairer:
         s = text[at : at + n]
         if n == 2 and self.cyrillic.match(s[0]):
             return s[1] in "«»„“”—–…’" and not self.automaton_near(text, at, n) or bool(re.match(r"[а-яА-ЯёЁ]{2}$", s)) and not self.automaton_near(text, at, n)
+        if n == 2 and s[0] == "Â" and not text[at - 1 : at].isalpha():
+            return False
         # accents and signs that may follow a capital
         return n == 2 and s[1] in "«»„“”—–…’ °±" and s[0] in _LETTERS.upper() + "В" and not self.automaton_near(text, at, n)
 
     def automaton_near(self, text: str, at: int, n: int) -> bool:
         """Whether another sequence stands right beside, or the sequence lies within a word of small letters."""
-        for _, (_, m) in self.automaton.iter(text[max(0, at - 3) : at]):
-            if m:
-                return True
-        for _, (_, m) in self.automaton.iter(text[at + n : at + n + 3]):
-            if m:
+        for part in (text[max(0, at - 3) : at], text[at + n : at + n + 3]):
+            if any(c is not None for _, (c, _) in self.automaton.iter(part)):
                 return True
         return bool(re.match(r"[a-z]", text[at - 1 : at])) or bool(re.match(r"[a-z]", text[at + n : at + n + 1]))
 
@@ -200,6 +291,8 @@ class Repairer:
         def fix(m: re.Match) -> str:
             nonlocal count
             w = m.group()
+            if w.isascii() or not self.suspect.search(w) or not self._single_mark(w, 0, len(w)):
+                return w
             seen, most, best = self.known.get(_bare(w), 0), 0, None
             for new in self.candidates(w):
                 n = self.known.get(_bare(new), 0)
@@ -251,9 +344,12 @@ class Repairer:
         """Replaces runs that were garbled between multi-byte or Cyrillic encodings."""
         count = 0
 
-        def best_of(s: str, pairs: tuple, worth, least: float) -> str | None:
+        def best_of(s: str, marks: list[int], what: str, worth, least: float) -> str | None:
             best = None
-            for read, written in pairs:
+            for k in marks:
+                read, written, own = _PAIRS[k]
+                if own != what:
+                    continue
                 try:
                     new = s.encode(read).decode(written)
                 except UnicodeError:
@@ -268,17 +364,21 @@ class Repairer:
             s = m.group()
             if not self.rare.search(s) or self._covered(s) >= 0.6:
                 return s
+            marks = self.marked(s)
+            if not marks:
+                return s
             han, rus, new = self._han_share(s), self._russian_share(s), None
             own = [c for c in s if ord(c) > 0x7F]
             if rus >= 0.8:
                 return s
-            if han < 0.85 and len(self.eastern.findall(s)) >= 0.6 * len(own) and len(own) > 1:
-                new = best_of(s, (("gb18030", "utf-8"),), lambda x, _: self._sound(x), 0.8)
-                new = new or best_of(s, (("big5", "gb18030"), ("big5hkscs", "gb18030"), ("shift_jis", "gb18030"), ("euc_kr", "gb18030"), ("gb18030", "big5")), lambda x, _: self._han_share(x), max(0.85, han + 0.3))
-            if new is None and re.search("[\x80-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{4}", s):
-                new = best_of(s, (("latin-1", "gb18030"), ("cp1252", "gb18030")), lambda x, _: self._han_share(x), 0.85)
-            if new is None and re.search("[^\x00-\x7f\\s«»„“”’–—…]{3}", s) and len(self.eastern.findall(s)) < 0.2 * len(own):
-                new = best_of(s, _CYRILLIC_PAIRS, lambda x, _: self._russian_share(x) + self._usual(x), max(0.9, rus + 0.3) + 0.4)
+            eastern = len(self.eastern.findall(s))
+            if han < 0.85 and eastern >= 0.6 * len(own) and len(own) > 1:
+                new = best_of(s, marks, "sound", lambda x, _: self._sound(x), 0.8)
+                new = new or best_of(s, marks, "east", lambda x, _: self._han_share(x), max(0.85, han + 0.3))
+            if new is None and eastern < 0.2 * len(own) and len(own) > (3 if re.search("[\x80-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{4}", s) else 5) and re.search("[^А-яЁё\x00-\x7f]", s) and not (s[0] in _OPEN and s[-1] in _CLOSE):
+                new = best_of(s, marks, "han", lambda x, _: self._han_share(x), 0.85)
+            if new is None and re.search("[^\x00-\x7f\\s«»„“”’–—…]{3}", s) and eastern < 0.2 * len(own):
+                new = best_of(s, marks, "russian", lambda x, _: self._russian_share(x) + self._usual(x), max(0.9, rus + 0.3) + 0.4)
             if new is None:
                 return s
             count += 1
@@ -299,8 +399,10 @@ class Repairer:
         return sum(c in "оеаинтсрвл" for c in own) / len(own) if own else 0.0
 
     def signs(self, text: str) -> tuple[str, int]:
-        """Replaces signs that were garbled beside digits, or between words."""
+        """Replaces signs that were garbled beside digits, or between words, where the automaton marks them."""
         count = 0
+        if next(self.beside.iter(text), None) is None:
+            return text, 0
         for pattern, proper in _SIGNS:
             text, n = pattern.subn(proper, text)
             count += n
@@ -309,7 +411,16 @@ class Repairer:
 
     def latin_in_han(self, text: str) -> tuple[str, int]:
         """Replaces single characters beside small Latin letters that are Latin letters in UTF-8, read as an East Asian encoding."""
-        return self.mixed.subn(lambda m: self.han_letter[m.group()], text)
+        count = 0
+
+        def fix(m: re.Match) -> str:
+            nonlocal count
+            if not self._single_mark(text[max(0, m.start() - 1) : m.end() + 1], 0, 3):
+                return m.group()
+            count += 1
+            return self.han_letter[m.group()]
+
+        return self.mixed.sub(fix, text), count
 
     def _doubtful(self, text: str | None) -> bool:
         return bool(text) and not text.isascii() and bool(self.unclean.search(text) or self.combined.search(text))
@@ -350,7 +461,9 @@ class Repairer:
             yield m is not None
 
     def hopeless(self, text: str) -> bool:
-        """Whether runs are left that no text has."""
+        """Whether runs are left that no text has, marked by the automaton, but that no pair restores."""
+        if next(self.automaton.iter(text), None) is None and not any(self.marked(m.group(), 0.0) for m in self.run.finditer(text)):
+            return False
         if re.search(r"\bÃ[a-z]|ï¼|(?<!\w)â[A-ZÀ-Þ]", text):
             return True
         if re.search("[\xa1-\xaa\xac\xae-\xba\xbc-\xff]{4}|[Ѐ-џ][ЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“•™љ›њќћџў¤ҐЇґ¶]{2}", text) and not re.search("^[¯\\\\]", text):
