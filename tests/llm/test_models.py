@@ -22,7 +22,7 @@ CASES = [
     ("Der Bericht über die Prüfung", "utf-8", "cp1252"), ("La sesión está aquí", "utf-8", "latin-1"), ("Отчёт о проверке системы", "utf-8", "cp1251"), ("résumé collection", "utf-8", "mac_roman"),
     ("用户手册与说明", "utf-8", "cp437"), ("常见问题说明", "gb18030", "latin-1"), ("Обзор системы", "cp1251", "latin-1"), ("Справочник проверки", "cp866", "cp1251"), ("Договор поставки товара", "koi8-r", "cp1251"),
     ("le génome très récent", "cp1252", "mac_roman"), ("die Düngung überall", "cp1252", "cp850"), ("研究论文报告", "utf-8", "gb18030"), ("常见问题报告说明", "gb18030", "big5"),
-    ("la página según el plan", "utf-8", "gb18030"), ("bei 474 °C sorgfältig", "utf-8", "gb18030"), ("the “Question” near “Rendahar” was", "cp1252", "cp850"), ("– The trial ran", "cp1252", "mac_roman"),
+    ("操作规程说明", "gb18030", "cp1251"), ("操作规程说明", "gb18030", "mac_roman"), ("the ward：K-1674", "utf-8", "koi8-r"), ("die Lunge：Felna", "utf-8", "gb18030"), ("la página según el plan", "utf-8", "gb18030"), ("bei 474 °C sorgfältig", "utf-8", "gb18030"), ("the “Question” near “Rendahar” was", "cp1252", "cp850"), ("– The trial ran", "cp1252", "mac_roman"),
 ]
 
 
@@ -39,13 +39,26 @@ def test_twice_garbled_and_partly_garbled():
     twice = encoding._bytes_as(encoding._bytes_as("Geräte für alle".encode(), "cp1252").encode(), "cp1252")
     assert r.repair(twice)[0] == "Geräte für alle"
     assert r.repair("Schöne GrÃ¼ÃŸe, café")[0] == "Schöne Grüße, café"
+    assert r.repair("at 337 Â°C, for â¬484")[0] == "at 337 °C, for €484"  # a control character was dropped
+    assert r.repair("产å“\x81说明书，普通文本没有问题")[0] == "产品说明书，普通文本没有问题"
+
+
+def test_nothing_is_changed_that_no_automaton_marks():
+    import random
+
+    r, rng = encoding.Repairer(), random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choices("abc àéßÃÂñ‚ „”«»°±Ж я中文鈥Ú³õ1 ", k=30))
+        new, damaged, _ = r.repair(text)
+        hit = any(True for a in (r.automaton, r.runs_of, r.beside) for _ in a.iter(f" {text} "))
+        assert hit or (new == text and not damaged)
 
 
 @pytest.mark.parametrize(
     "text",
     [
         None, "", " ", "plain ascii", "Größe Ä–Ü ±2 µm", "MANHÃ DE SÃO CRISTAL, AÇÃO Nº 7", "The symbols §, ¶, © and ¬ are printed", "why “Ã©” shows up", "La séquence « Ã© » n’est citée", "the string â€™ as seen", "¯\\_(ツ)_/¯",
-        "обычный текст «в кавычках» — да", "普通的中文文本，没有问题。", "ÅNGSTRÖM ±0.5 µm × 3", "L’étiquette à 20 °C", "Die Zeichenfolge „Ã¼“ steht hier", "p. 3 – № 5",
+        "обычный текст «в кавычках» — да", "ОБЫЧНЫЙ ТЕКСТ, МОСКВА № 5", "La cadena «Ã±» aparece aquí", "普通的中文文本，没有问题。", "ÅNGSTRÖM ±0.5 µm × 3", "L’étiquette à 20 °C", "Die Zeichenfolge „Ã¼“ steht hier", "p. 3 – № 5",
     ],
 )
 def test_proper_text_stays(text):
