@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 #: The score of an unknown piece, and of a path per piece (fixed values).
 UNKNOWN, PER_PIECE = -12.0, 30.0
 _RUN = re.compile(r"[一-龥]+|[a-z0-9ß-öø-ÿœ]+|[а-яё]+")
@@ -161,21 +163,31 @@ def glue_latin(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step)
 
 
-def merge_short(tokens: Column) -> Column:
-    """Runs of tokens of one character (or of one or two Latin letters): all together if fewer than five, else in pairs."""
-    short = lambda t: (F.length(t) == 1) | t.rlike("^[0-9a-z]{1,2}$")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
+def merge_short(tokens: Column, stop_words: list[str] = T.STOP_WORDS) -> Column:
+    """Runs of short tokens (one character, or one or two Latin letters or digits; no stop words) as one term each.
 
-    def close(acc):
-        run, n = acc["run"], F.size(acc["run"])
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(2)), lambda i: F.array_join(F.slice(run, i, F.lit(2)), " "))
-        return F.concat(acc["out"], F.when(n == 0, F.array().cast("array<string>")).when(n < 5, F.array(F.array_join(run, " "))).otherwise(pairs))
+    From a run of five or more two are taken off at a time, until fewer are left, which stay together. A short first token
+    goes together with a longer second one that doesn't begin with a Latin letter or a digit. Empty tokens are dropped."""
+    empty = F.array().cast("array<string>")
+    short = lambda t: ((F.length(t) == 1) | t.rlike("^[0-9a-z]{1,2}$")) & ~t.isin(*stop_words)
+    own = F.filter(tokens, lambda t: t != "")
+    first, second = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+    alone = (F.length(first) == 1) | first.rlike("^[0-9a-z]{1,2}$")
+    head = (F.size(own) > 1) & alone & (F.length(second) > 1) & ~second.rlike("^[0-9a-zA-Z]")
+    rest = F.when(F.coalesce(head, F.lit(False)), F.slice(own, 3, F.size(own))).otherwise(own)
+    start = F.struct(F.when(F.coalesce(head, F.lit(False)), F.array(F.concat_ws(" ", first, second))).otherwise(empty).alias("out"), empty.alias("run"))
 
-    def step(acc, t):
-        empty = F.array().cast("array<string>")
-        return F.when(short(t), F.struct(acc["out"].alias("out"), F.concat(acc["run"], F.array(t)).alias("run"))).otherwise(F.struct(F.concat(close(acc), F.array(t)).alias("out"), empty.alias("run")))
+    def close(a):
+        n = F.size(a["run"])
+        pairs = F.when(n < 5, 0).otherwise(F.floor((n - 3) / 2)).cast("int")  # taken off while five or more are left
+        two = F.transform(F.sequence(F.lit(1), F.greatest(pairs, F.lit(1))), lambda k: F.array_join(F.slice(a["run"], 2 * k - 1, F.lit(2)), " "))
+        left = F.slice(a["run"], 2 * pairs + 1, F.greatest(n - 2 * pairs, F.lit(0)))
+        return F.concat(a["out"], F.when(pairs > 0, two).otherwise(empty), F.when(F.size(left) > 0, F.array(F.array_join(left, " "))).otherwise(empty))
+
+    def step(a, t):
+        return F.when(short(t), F.struct(a["out"].alias("out"), F.concat(a["run"], F.array(t)).alias("run"))).otherwise(F.struct(F.concat(close(a), F.array(t)).alias("out"), empty.alias("run")))
 
-    return F.aggregate(tokens, start, step, close)
+    return F.when(tokens.isNotNull(), F.aggregate(rest, start, step, close))
 
 
 def synonyms(terms: DataFrame, table: DataFrame, most: int = 8) -> DataFrame:

@@ -61,15 +61,15 @@ def bucketed_rows(df: DataFrame, group: list[str], order: str, text: str, size:
     return both.select(*group, "chunk_index", F.array_join(F.transform("r", lambda x: x[text]), joiner).alias("content"))
 
 
-def lines_with_levels(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_with_levels(df: DataFrame, id_col: str, text_col: str, strict: bool = True) -> DataFrame:
     """One row per line that isn't blank: id, ``i``, ``line``, the text's bullet ``family`` and the line's ``level``
-    (one more than the family has levels for lines without a bullet)."""
+    (one more than the family has levels for lines without a bullet). ``strict``: numbers that only look like bullets are none."""
     lines = sections(F.col(text_col))
     df = df.select(id_col, lines.alias("_l")).withColumn("family", T.bullet_family(F.col("_l")))
     rows = df.select(id_col, "family", F.posexplode("_l").alias("i", "line"))
     level = F.lit(None).cast("int")
     for k, patterns in enumerate(T.BULLETS):
-        own = F.when(F.col("family") == k, F.coalesce(T.bullet_level(F.trim("line"), k), F.lit(len(patterns) + 1)))
+        own = F.when(F.col("family") == k, F.coalesce(T.bullet_level(F.trim("line"), k, strict), F.lit(len(patterns) + 1)))
         level = F.coalesce(own, level)
     return rows.withColumn("level", F.coalesce(level, F.lit(6)).cast("int"))
 
@@ -140,16 +140,28 @@ def qa_text(q: Column, a: Column, english: Column) -> Column:
 
 
 def drop_contents(c: Column) -> Column:
-    """A text without its table of contents: from a heading that names one to the second line that begins as the first entry does."""
+    """A text without its tables of contents: each from a heading that names one (spaces within it don't count) to the second line
+    that begins as the first entry does, looked for in 128 lines; heading and entry alone where there is no such line."""
     lines = F.transform(sections(c), lambda x: F.trim(x))
-    heads = F.transform(lines, lambda x: x.rlike(r"^(?i:contents|目录|目次|table of contents|致谢|acknowledge)$"))
-    at = F.array_position(heads, True)
-    entry = F.try_element_at(lines, (at + 1).cast("int"))
-    prefix = F.when(entry.rlike("[一-鿿]"), F.substring(entry, 1, 3)).otherwise(F.array_join(F.slice(F.split(entry, r"\s+"), 1, 2), " "))
-    after = F.array_position(F.transform(F.slice(lines, F.greatest(at + 2, F.lit(1)).cast("int"), 128), lambda x: x.startswith(prefix)), True)
-    begin = F.when(after > 0, at + 1 + after).otherwise(at + 1)
-    kept = F.concat(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), F.slice(lines, F.greatest(begin, F.lit(1)).cast("int"), F.size(lines)))
-    return F.when((at > 0) & entry.isNotNull(), F.array_join(kept, "\n")).otherwise(F.array_join(lines, "\n"))
+    heading = lambda x: F.regexp_replace(x, r"[ \t\x{3000}]+", "").rlike(r"^(?i:contents|目录|目次|tableofcontents|致谢|acknowledge)$")
+    begin = lambda x: F.when(x.rlike("[一-鿿]"), F.substring(x, 1, 3)).otherwise(F.array_join(F.slice(F.split(x, r"\s+"), 1, 2), " "))
+    # one fold over the lines: what is kept; the entry looked for, the lines since it (they come back if it doesn't return)
+    empty = F.array().cast("array<string>")
+    state = lambda kept, phase, entry, held: F.struct(kept.alias("kept"), phase.alias("phase"), entry.alias("entry"), held.alias("held"))
+    blank, none = F.lit(""), F.lit(0)
+
+    def step(a, x):
+        named = heading(x)
+        fresh = F.when(named, state(a["kept"], F.lit(1), blank, empty)).otherwise(state(F.concat(a["kept"], F.array(x)), none, blank, empty))
+        entry = state(a["kept"], F.lit(2), begin(x), empty)
+        found = state(F.concat(a["kept"], F.array(x)), none, blank, empty)
+        more = state(a["kept"], F.lit(2), a["entry"], F.concat(a["held"], F.array(x)))
+        over = state(F.concat(a["kept"], a["held"], F.array(x)), none, blank, empty)
+        looking = F.when(x.startswith(a["entry"]), found).when(F.size(a["held"]) < 127, more).otherwise(over)
+        return F.when(a["phase"] == 1, entry).when(a["phase"] == 2, looking).otherwise(fresh)
+
+    folded = F.aggregate(lines, state(empty, none, blank, empty), step, lambda a: F.concat(a["kept"], a["held"]))
+    return F.array_join(F.when(F.exists(lines, heading), folded).otherwise(lines), "\n")
 
 
 def colon_titles(c: Column) -> Column:
@@ -162,44 +174,44 @@ def colon_titles(c: Column) -> Column:
 def hierarchical_merge(lines: DataFrame, id_col: str, depth: int = 5, budget: int = 218) -> DataFrame:
     """Chunks of lines with their nearest heading of each higher level before them; single lines are packed under ``budget`` tokens.
 
-    ``lines`` come from ``lines_with_levels``. Each document is one group, as its text is one value anyway."""
+    ``lines`` come from ``lines_with_levels`` (not strict). Chunks begin at lines of the ``depth`` lowest levels of the family, whether
+    or not the text has lines of each: plain lines, titles without a bullet, then bullets from the lowest up. A heading that
+    stands before another chunk begins none of its own; one of the second level stands alone. Where a higher heading comes after
+    the lower one taken before it, it takes that one's place.
+
+    What a line needs is told by windows; only the packing goes through Python, a document at a time, as its text is one value anyway."""
+    some = lines.where((F.col("family") >= 0) & (F.length(F.trim("line")) > 1) & ~F.trim("line").rlike("^[0-9]+$"))
+    size = F.element_at(F.array(*[F.lit(len(p)) for p in T.BULLETS]), F.col("family").cast("int") + 1)
+    before = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    levels = range(max(map(len, T.BULLETS)))
+    # from the lowest level up: the last heading of each level before the line
+    heads = F.array(*[F.max(F.when(F.col("level") == k, F.col("i"))).over(before) for k in reversed(levels)])
+    numbers = F.array(*[F.lit(k) for k in reversed(levels)])
+    above = F.transform(F.filter(F.arrays_zip(heads.alias("at"), numbers.alias("level")), lambda h: (h["level"] < F.col("level")) & h["at"].isNotNull()), lambda h: h["at"])
+    path = F.aggregate(above, F.array(F.col("i")), lambda acc, h: F.concat(F.when(h > F.element_at(acc, -1), F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc), F.array(h)))
+    rank = size + 1 - F.col("level")
+    some = some.withColumn("_rank", rank).withColumn("_path", F.when(F.col("level") == 1, F.array("i")).otherwise(path)).withColumn("_size", T.token_count(F.col("line")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[id_col].iloc[0]
-        pdf = pdf.sort_values("i")
-        pdf = pdf[pdf["line"].str.strip().str.len() > 1]
-        pdf = pdf[~pdf["line"].str.strip().str.fullmatch("[0-9]+")]
-        texts, levels = pdf["line"].tolist(), pdf["level"].tolist()
-        ranks = sorted(set(levels))
-        used, parts = [False] * len(texts), []
-        for level in sorted(ranks, reverse=True)[:depth]:
-            above: dict[int, int] = {}
-            for j, own in enumerate(levels):
-                if own == level and not used[j]:
-                    path = sorted(above[x] for x in above if x < level)
-                    part = [p for k, p in enumerate(path) if all(levels[p] < levels[q] for q in path[k + 1 :])]
-                    parts.append([*part, j])
-                    for p in parts[-1]:
-                        used[p] = True
-                above[own] = j
-        out: list[list[str]] = [[]]
-        size = 0
-        for part in parts:
-            if len(part) == 1:
-                n = len(texts[part[0]].split())
-                if n + size < budget:
-                    out[-1].append(texts[part[0]])
-                    size += n
-                    continue
-                size = n
+        name, texts = pdf[id_col].iloc[0], dict(zip(pdf["i"], pdf["line"], strict=True))
+        taken: set[int] = set()
+        out: list[list[int]] = [[]]
+        room = budget
+        for at, path, rank, n in sorted(zip(pdf["i"], pdf["_path"], pdf["_rank"], pdf["_size"], strict=True), key=lambda r: (r[2], r[0])):
+            if rank >= depth or at in taken:
+                continue
+            taken.update(path)
+            if len(path) == 1 and n < room:
+                out[-1].append(at)
+                room -= n
             else:
-                size = budget
-            out.append([texts[p] for p in part])
-        rows = ["\n".join(x) for x in out if x]
+                out.append(list(reversed(path)))
+                room = budget - n if len(path) == 1 else 0
+        rows = ["\n".join(texts[k] for k in x) for x in out if x]
         return pd.DataFrame({id_col: [name] * len(rows), "chunk_index": range(len(rows)), "content": rows})
 
     kind = lines.schema[id_col].dataType.simpleString()
-    return per_group(lines.where("family >= 0"), [id_col], run, f"`{id_col}` {kind}, chunk_index int, content string")
+    return per_group(some.select(id_col, "i", "line", "_path", "_rank", "_size"), [id_col], run, f"`{id_col}` {kind}, chunk_index int, content string")
 
 
 def outline_levels(sections_df: DataFrame, outlines: DataFrame, id_col: str, threshold: float = 0.8) -> DataFrame:
@@ -218,48 +230,93 @@ def one_chunk(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("chunk_index", F.lit(0)).withColumn("content", F.array_join(sections(F.col(text_col)), "\n"))
 
 
-def split_json(df: DataFrame, id_col: str, json_col: str, most: int = 2000, least: int | None = None) -> DataFrame:
-    """JSON values packed depth-first into objects of up to ``most`` characters; lists are objects by index.
+def _json_nodes(text: str) -> list[tuple[tuple[str, ...], int, int, object]]:
+    """The nodes of a JSON value in the order of the text: path, length of the value as JSON, number of the next node that isn't
+    below it, and the value of a leaf. Lists count as objects with their indices as keys; an empty list or object is a leaf."""
+    import json
+
+    nodes: list = []
+    waiting: list[tuple[tuple[str, ...], object]] = [((), json.loads(text))]
+    while waiting:
+        path, value = waiting.pop()
+        inner = [(str(i), x) for i, x in enumerate(value)] if isinstance(value, list) else list(value.items()) if isinstance(value, dict) else []
+        nodes.append([path, 0, 0, None if inner else {} if isinstance(value, list) else value, [len(json.dumps(k, ensure_ascii=False)) for k, _ in inner]])
+        waiting += [((*path, k), x) for k, x in reversed(inner)]
+    # lengths and ends come from behind: the children of a node follow it
+    ends: list[int] = []
+    for i in reversed(range(len(nodes))):
+        keys, node = nodes[i][4], nodes[i]
+        if keys:
+            children = [ends.pop() for _ in keys]
+            node[1] = 2 + sum(k + 2 + nodes[c][1] for k, c in zip(keys, children, strict=True)) + 2 * (len(keys) - 1)
+            node[2] = nodes[children[-1]][2]
+        else:
+            node[1], node[2] = len(json.dumps(node[3], ensure_ascii=False)), i + 1
+        ends.append(i)
+    return [(tuple(n[0]), n[1], n[2], n[3]) for n in nodes]
+
+
+def json_portions(text: str, most: int, least: int) -> list[str]:
+    """Objects of under ``most`` characters each with the leaves of a JSON value, in order and with their paths.
+
+    A node goes into the open object as a whole if it fits; else the object is closed if it has ``least`` characters, and the
+    node's children are tried one by one. A single leaf that is too long is kept whole. A value that is no object or list is one
+    leaf, named ``value``."""
+    import json
+
+    nodes = _json_nodes(text)
+    if len(nodes) == 1:
+        return [] if nodes[0][3] == {} else [json.dumps({"value": nodes[0][3]}, ensure_ascii=False)]
+    key = lambda k: len(json.dumps(k, ensure_ascii=False)) + 2
+    portions: list[list[int]] = [[]]
+    size, last = 2, ()
+    i = 1
+    while i < len(nodes):
+        path, length, end, _ = nodes[i]
+        leaf = end == i + 1
+        # the key and the value as an object of their own: what must fit into the rest
+        fits = 2 + key(path[-1]) + length < most - size
+        if not fits and size >= least:
+            portions.append([])
+            size, last = 2, ()
+        if fits or leaf:
+            if portions[-1]:
+                shared = next((k for k, (x, y) in enumerate(zip(path, last, strict=False)) if x != y), min(len(path), len(last)))
+                size += 2  # a comma beside what the shared parent has
+            else:
+                shared = 0
+            size += length + sum(map(key, path[shared:])) + 2 * (len(path) - shared - 1)
+            portions[-1] += [j for j in range(i, end) if nodes[j][2] == j + 1]
+            last = nodes[end - 1][0]
+            i = end
+        else:
+            i += 1
+    out = []
+    for leaves in portions:
+        value: dict = {}
+        for j in leaves:
+            target = value
+            for k in nodes[j][0][:-1]:
+                target = target.setdefault(k, {})
+            target[nodes[j][0][-1]] = nodes[j][3]
+        if value:
+            out.append(json.dumps(value, ensure_ascii=False))
+    return out
+
 
-    Values that aren't JSON give no row."""
+def split_json(df: DataFrame, id_col: str, json_col: str, most: int = 2000, least: int | None = None) -> DataFrame:
+    """``id_col``, ``chunk_index`` and ``content``: the portions of each JSON value. Values that aren't JSON give no row."""
     low = least if least is not None else max(most - 200, 50)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        def as_dict(x):
-            return {str(i): as_dict(v) for i, v in enumerate(x)} if isinstance(x, list) else {k: as_dict(v) for k, v in x.items()} if isinstance(x, dict) else x
-
-        size = lambda x: len(json.dumps(x, ensure_ascii=False))
-
-        def put(target, path, value):
-            for k in path[:-1]:
-                target = target.setdefault(k, {})
-            target[path[-1]] = value
-
-        def pack(value, path, out):
-            if not isinstance(value, dict) or not path and not isinstance(value, dict):
-                put(out[-1], path or ["value"], value)
-                return
-            for k, v in value.items():
-                if size({k: v}) < most - size(out[-1]):
-                    put(out[-1], [*path, k], v)
-                else:
-                    if size(out[-1]) >= low:
-                        out.append({})
-                    pack(v, [*path, k], out)
-
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["_id"], pdf["_j"], strict=True):
                 try:
-                    value = as_dict(json.loads(text))
+                    rows += [(i, k, x) for k, x in enumerate(json_portions(text, most, low))]
                 except (TypeError, ValueError):
                     continue
-                out: list[dict] = [{}]
-                pack(value, [], out)
-                rows += [(i, k, json.dumps(x, ensure_ascii=False)) for k, x in enumerate(y for y in out if y)]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(json_col).alias("_j")).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, content string")
+    return df.where(F.col(json_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(json_col).alias("_j")).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, content string")

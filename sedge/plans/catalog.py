@@ -260,7 +260,8 @@ def qa_pairs(spark, d):
 @query()
 def chunk_hierarchical(spark, d):
     """C3 C17 C18"""
-    return C.hierarchical_merge(_levels(spark, d), "doc_id")
+    lines = C.lines_with_levels(table(spark, d, "documents").where("text is not null"), "doc_id", "text", strict=False)
+    return C.hierarchical_merge(lines, "doc_id")
 
 
 @query()

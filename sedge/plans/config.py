@@ -74,7 +74,7 @@ def chunk_texts(texts: DataFrame, config: ChunkingConfig) -> DataFrame:
         return parts.select("doc_id", F.col("sid").cast("int").alias("chunk_index"), "content").unionByName(merged.select("doc_id", "chunk_index", "content"))
     if kind in ("laws", "book"):
         body = some.withColumn("text", C.drop_contents(t)) if kind == "laws" else some
-        lines = C.lines_with_levels(body, "doc_id", "text")
+        lines = C.lines_with_levels(body, "doc_id", "text", strict=False)
         parts = C.hierarchical_merge(lines, "doc_id")
         rest = body.join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
         merged = C.greedy_merge(rest.withColumn("_s", C.delimiter_sections(t, config.delimiter)).drop("text"), "_s", 256 if kind == "book" else config.chunk_token_num)

@@ -39,6 +39,9 @@ def test_contents_are_dropped(spark):
     text = "Intro\nContents\nFirst part 1\nSecond part 2\nFirst part begins\nbody"
     df = spark.createDataFrame([(text,), ("no contents",)], "t string")
     assert [r[0] for r in df.select(C.drop_contents(F.col("t"))).collect()] == ["Intro\nFirst part begins\nbody", "no contents"]
+    two = "目 录\n第一章 甲\n第二章 乙\n第一章 甲\n正文\nTable of Contents\nOne thing 1\nTwo 2\nOne thing\nend"
+    df = spark.createDataFrame([(two,), ("Contents",), ("Contents\nOnly entry\nother\nlines",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(C.drop_contents(F.col("t"))).collect()] == ["第一章 甲\n正文\nOne thing\nend", "", "other\nlines", None, ""]
 
 
 def test_packing(spark):
@@ -59,6 +62,61 @@ def test_hierarchy(spark):
     assert sorted(x for c in got for x in c.split("\n")) == sorted(["Article 1", "one", "Article 1", "two", "Article 2", "three"])
 
 
+def hierarchy_by_hand(rows, size, depth, budget):
+    """Chunks of (level, text) lines of a family of ``size`` levels, found line by line."""
+    chunks, used = [], set()
+    for level in [size + 1, size, *range(size - 1, -1, -1)][:depth]:
+        for at, (own, _) in enumerate(rows):
+            if own != level or at in used:
+                continue
+            path = [at]
+            for higher in range(level - 1, -1, -1) if level != 1 else ():
+                heads = [k for k in range(at) if rows[k][0] == higher]
+                if heads:
+                    if heads[-1] > path[-1]:
+                        path.pop()
+                    path.append(heads[-1])
+            used.update(path)
+            chunks.append(path[::-1])
+    out, room = [], budget
+    for c in chunks:
+        n = len(rows[c[0]][1].split())
+        if len(c) == 1 and n < room and out and out[-1][1]:
+            out[-1][0].extend(c)
+            room -= n
+        elif len(c) == 1 and n < room and not out:
+            out.append((list(c), True))
+            room -= n
+        else:
+            out.append((list(c), True))
+            room = budget - n if len(c) == 1 else 0
+    return ["\n".join(rows[k][1] for k in c) for c, _ in out]
+
+
+def test_hierarchy_against_a_plain_search(spark):
+    import random
+
+    r = random.Random(7)
+    docs, want = [], {}
+    for d in range(30):
+        family = d % 4
+        size = [5, 6, 5, 4][family]
+        rows = [(r.choice([*range(size), size + 1, size + 1]), f"line {d} {i} " + "w " * r.randrange(60)) for i in range(r.randrange(1, 25))]
+        docs += [(d, family, i, text.strip(), level) for i, (level, text) in enumerate(rows)]
+        want[d] = hierarchy_by_hand([(level, text.strip()) for level, text in rows], size, 5, 218)
+    lines = spark.createDataFrame(docs, "doc int, family int, i int, line string, level int")
+    got = {}
+    for x in C.hierarchical_merge(lines, "doc").orderBy("doc", "chunk_index").collect():
+        got.setdefault(x["doc"], []).append(x["content"])
+    assert got == {d: w for d, w in want.items() if w}
+
+
+def test_numbers_that_look_like_bullets_count_in_hierarchies(spark):
+    lines = spark.createDataFrame([(1, "第1章 甲\n第2章 乙\n0 x\n1. a\n2. b")], "d int, t string")
+    strict, loose = (C.lines_with_levels(lines, "d", "t", s).orderBy("i").collect() for s in (True, False))
+    assert [x["level"] for x in strict][:2] == [x["level"] for x in loose][:2] and strict[2]["level"] != loose[2]["level"]
+
+
 def test_json_is_split_without_loss(spark):
     import json
 
@@ -77,6 +135,34 @@ def test_json_is_split_without_loss(spark):
     assert merged == {"a": {"b": "x" * 30, "c": {"0": 1, "1": 2, "2": 3}}, "d": "y" * 40}
 
 
+JSON = st.recursive(st.none() | st.booleans() | st.integers(-999, 999) | st.text("ab\"é", max_size=6), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text("xyz", min_size=1, max_size=3), x, max_size=4), max_leaves=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.integers(20, 120), st.integers(0, 60))
+def test_json_portions(value, most, least):
+    import json
+
+    def leaves(x, path=()):
+        inner = [(str(i), v) for i, v in enumerate(x)] if isinstance(x, list) else list(x.items()) if isinstance(x, dict) else []
+        if not inner:
+            return [(path, {} if isinstance(x, list | dict) else x)]
+        return [y for k, v in inner for y in leaves(v, (*path, k))]
+
+    got = C.json_portions(json.dumps(value), most, least)
+    want = [(p or ("value",), v) for p, v in leaves(value)] if value not in ([], {}) else []
+    assert [y for x in got for y in leaves(json.loads(x))] == want
+    assert all(len(x) >= least for x in got[:-1])
+
+
+def test_json_is_cut_where_a_part_does_not_fit():
+    import json
+
+    value = {"a": {"b": "x" * 30, "c": [1, 2, 3]}, "d": "y" * 40, "e": 1}
+    got = [json.loads(x) for x in C.json_portions(json.dumps(value), 60, 20)]
+    assert got == [{"a": {"b": "x" * 30}}, {"a": {"c": {"0": 1, "1": 2, "2": 3}}}, {"d": "y" * 40, "e": 1}]
+
+
 def test_outline_matching(spark):
     s = spark.createDataFrame([(1, 0, "General provisions"), (1, 1, "other text")], "doc int, i int, line string")
     o = spark.createDataFrame([(1, 0, "General provision", 2)], "doc int, outline_no int, title string, outline_level int")
