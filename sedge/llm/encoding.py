@@ -99,9 +99,13 @@ class Repairer:
     """Finds and undoes garbled spans; ``known`` are words (with counts) that garbled words may turn into."""
 
     def __init__(self, known: dict[str, int] | None = None):
+        self.__dict__.update(_patterns())
+        self.known = known or {}
+
+    def _build(self) -> None:
+        """All that doesn't depend on known words."""
         import ahocorasick
 
-        self.known = known or {}
         forms: dict[str, tuple[str | None, set]] = {}
         marks, han = _repertoire()
         for chars, codecs in ((marks, _READ_AS), (han, _READ_AS[:8])):
@@ -472,6 +476,14 @@ class Repairer:
         return len(han) >= 4 and sum(c not in self.common for c in han) > 0.4 * len(han)
 
 
+@lru_cache(maxsize=1)
+def _patterns() -> dict:
+    """The automata and expressions of a repairer, built once in a process."""
+    r = object.__new__(Repairer)
+    r._build()
+    return r.__dict__
+
+
 @lru_cache(maxsize=2)
 def _repairer(known: tuple) -> Repairer:
     return Repairer(dict(known))
