@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -89,55 +93,136 @@ def validate(df: DataFrame, required: str = "content_with_weight") -> DataFrame:
 
 
 class Store:
-    """Tables of chunks below a folder, a version per write, so that readers never see half of one."""
+    """Tables of chunks below a folder, in buckets by the hash of the id.
+
+    A write puts files for the buckets it changes beside the others and then adds a manifest, which names the files of every
+    bucket; readers go by the last manifest, so they never see half of a write. Of two writers that started from the same manifest
+    the second one fails and may try again. ``vacuum`` deletes what no manifest in use names."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id"):
+        self.spark, self.root, self.buckets, self.key = spark, root.rstrip("/"), buckets, key
+
+    # -- files
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        path, fs = self._path(*parts), self._fs()
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def _versions(self, name: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(f"{self.root}/{name}/{n}/_SUCCESS")))
+        return sorted(int(n) for n in self._names(name, "manifests") if n.isdigit())
+
+    def _read(self, name: str, version: int) -> dict | None:
+        """A version's manifest; null while it is being written."""
+        stream = self._fs().open(self._path(name, "manifests", str(version)))
+        try:
+            return {**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")), "version": version}
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _manifest(self, name: str) -> dict:
+        """``buckets`` and ``files`` (the write of each bucket that has rows) of the last version."""
+        for version in reversed(self._versions(name)):
+            if found := self._read(name, version):
+                return found
+        return {"version": -1, "buckets": self.buckets, "files": {}, "schema": None}
+
+    def _commit(self, name: str, old: dict, files: dict, schema) -> None:
+        text = json.dumps({"buckets": old["buckets"], "files": files, "schema": json.loads(schema.json())})
+        try:  # creates the file or fails, so that one of two writers gets the next version
+            stream = self._fs().create(self._path(name, "manifests", str(old["version"] + 1)), False)
+        except Exception as e:
+            raise RuntimeError(f"{name} was written by another in the meantime") from e
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _bucket(self, old: dict) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(old["buckets"])).cast("int")
+
+    def _frame(self, name: str, manifest: dict, some: set[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"]) if manifest["schema"] else StructType()
+        paths = [f"{self.root}/{name}/data/{write}/_bucket={b}" for b, write in manifest["files"].items() if some is None or int(b) in some]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _put(self, name: str, old: dict, rows: DataFrame, changed: set[int] | None) -> None:
+        """Writes the rows of the changed buckets (all, if none are named) and keeps the others."""
+        write, schema = uuid.uuid4().hex, rows.schema
+        rows.withColumn("_bucket", self._bucket(old)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/data/{write}")
+        kept = {} if changed is None else {b: w for b, w in old["files"].items() if int(b) not in changed}
+        fresh = {n.split("=")[1]: write for n in self._names(name, "data", write) if n.startswith("_bucket=")}
+        self._commit(name, old, {**kept, **fresh}, schema)
+
+    # -- tables
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
     def read(self, *names: str) -> DataFrame:
         """One or several tables as one, columns by name."""
-        frames = [self.spark.read.parquet(f"{self.root}/{n}/v{self._versions(n)[-1]}") for n in names]
+        frames = [self._frame(n, self._manifest(n)) for n in names]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
     def write(self, name: str, df: DataFrame) -> None:
-        versions = self._versions(name)
-        df.write.parquet(f"{self.root}/{name}/v{versions[-1] + 1 if versions else 0}")
+        """The rows as the whole table."""
+        self._put(name, self._manifest(name), df, None)
 
     def create(self, name: str, schema) -> None:
         """An empty table, unless there is one."""
         if not self.exists(name):
-            self.write(name, self.spark.createDataFrame([], schema))
+            self._commit(name, self._manifest(name), {}, self.spark.createDataFrame([], schema).schema)
 
     def drop(self, name: str) -> bool:
         """Whether the table is gone, which it also is if there was none."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs().delete(self._path(name), True)
         return True
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self.write(name, upsert(self.read(name), rows) if self.exists(name) else latest(rows, "id"))
+        """Puts the rows in by id; only the buckets of their ids are read and written."""
+        old, new = self._manifest(name), latest(rows.withColumn("_seq", F.col("seq") if "seq" in rows.columns else F.lit(0)), self.key, "_seq").drop("_seq")
+        changed = {r[0] for r in new.select(self._bucket(old)).distinct().collect()}  # buckets are a fixed number
+        if old["version"] >= 0:
+            own = self._frame(name, old, changed)
+            new = own.join(new.select(self.key), self.key, "left_anti").unionByName(new if "seq" in own.columns else new.drop("seq"), allowMissingColumns=True)
+        self._put(name, old, new, changed)
 
     def delete(self, name: str, values: dict) -> int:
-        """Deletes the rows that meet all conditions; how many."""
-        table = self.read(name)
-        n = table.where(conditions(values)).count()
-        self.write(name, delete(table, conditions(values)))
-        return n
+        """Deletes the rows that meet all conditions; how many. Only buckets with such rows are written."""
+        old = self._manifest(name)
+        hit = self._frame(name, old).where(conditions(values)).groupBy(self._bucket(old).alias("b")).agg(F.count("*").alias("n")).collect()
+        changed = {r["b"] for r in hit}
+        if changed:
+            self._put(name, old, delete(self._frame(name, old, changed), conditions(values)), changed)
+        return sum(r["n"] for r in hit)
 
     def get(self, name: str, key: str) -> DataFrame:
-        return self.read(name).where(F.col("id") == key)
+        """The row of an id, from its bucket."""
+        old = self._manifest(name)
+        bucket = self.spark.createDataFrame([(key,)], f"`{self.key}` string").select(self._bucket(old)).first()[0]
+        return self._frame(name, old, {bucket}).where(F.col(self.key) == key)
+
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Deletes all but the last ``keep`` manifests and the files that only they name; how many writes went."""
+        versions = self._versions(name)
+        for v in versions[: max(0, len(versions) - keep)]:
+            self._fs().delete(self._path(name, "manifests", str(v)), False)
+        used = {w for v in versions[-keep:] for w in (self._read(name, v) or {"files": {}})["files"].values()}
+        gone = [w for w in self._names(name, "data") if w not in used]
+        for w in gone:
+            self._fs().delete(self._path(name, "data", w), True)
+        return len(gone)
+
+    def sample(self, name: str, rows: int = 5) -> dict:
+        """A few rows (those of the least ids) and the fields with their types, as a report of what a table holds."""
+        df = self.read(name)
+        return {"mapping": {f.name: f.dataType.simpleString() for f in df.schema}, "rows": [r.asDict(True) for r in df.orderBy(self.key).limit(rows).collect()]}
+

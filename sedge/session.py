@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,17 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the cluster names none (tests, a laptop) a local temporary folder is set."""
+    Only where no cluster is at work (tests, a laptop) may it be unset: a local temporary folder is made then, which goes at exit."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="sedge-checkpoint-")
+    atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(made)
     return "file://" + made
 
@@ -50,5 +58,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sedge-{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    _staged.append((spark, path))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Deletes what this session has staged so far, once its results are written; how many tables."""
+    own = [p for s, p in _staged if s is spark]
+    for path in own:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _staged[:] = [(s, p) for s, p in _staged if s is not spark]
+    return len(own)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import index as I
@@ -20,6 +21,41 @@ def test_store(spark, tmp_path):
     assert store.drop("t") and not store.exists("t") and store.drop("t")
 
 
+def test_a_write_changes_its_buckets_only(spark, tmp_path):
+    store = I.Store(spark, f"file://{tmp_path}/store", buckets=8)
+    store.upsert("t", spark.range(100).selectExpr("cast(id as string) id", "id v"))
+    before = store._manifest("t")["files"]
+    store.upsert("t", spark.createDataFrame([("7", -1, "new")], "id string, v long, w string"))
+    after = store._manifest("t")["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
+    got = {r["id"]: (r["v"], r["w"]) for r in store.read("t").collect()}
+    assert len(got) == 100 and got["7"] == (-1, "new") and got["8"] == (8, None)
+    assert store.get("t", "7").count() == 1 and store.get("t", "no").count() == 0
+    assert store.delete("t", {"v": 8}) == 1 and store.delete("t", {"v": 8}) == 0 and store.read("t").count() == 99
+    assert store.vacuum("t") == 0 or store.read("t").count() == 99
+    assert store._versions("t") == [2] and len(store._names("t", "data")) == len(set(store._manifest("t")["files"].values()))
+    assert store.sample("t", 2) == {"mapping": {"id": "string", "v": "bigint", "w": "string"}, "rows": [{"id": "0", "v": 0, "w": None}, {"id": "1", "v": 1, "w": None}]}
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    store = I.Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    store.upsert("t", rows)
+    old = store._manifest("t")
+    store.upsert("t", rows.withColumn("v", F.lit(2)))
+    with pytest.raises(RuntimeError, match="another"):
+        store._put("t", old, rows, None)
+    assert store.read("t").first()["v"] == 2
+
+
+def test_staged_tables_are_released(spark):
+    from sedge import session
+
+    session.release_staged(spark)
+    df = session.staged(spark.range(3), "x")
+    assert df.count() == 3 and session.release_staged(spark) == 1 and session.release_staged(spark) == 0
+
+
 def test_streamed_ingest_is_the_batch(spark, tmp_path):
     rows = spark.range(50).select((F.col("id") % 20).cast("string").alias("id"), F.col("id").alias("v"))
     for k in range(5):
