@@ -100,7 +100,7 @@ class Repairer:
 
     def __init__(self, known: dict[str, int] | None = None):
         self.__dict__.update(_patterns())
-        self.known = known or {}
+        self.known, self.seen = known or {}, {}
 
     def _build(self) -> None:
         """All that doesn't depend on known words."""
@@ -154,13 +154,23 @@ class Repairer:
         far = r"(?![\u3400-\u9fff\uac00-\ud7a3])"
         self.mixed = re.compile(rf"(?<=[a-z])[{han_letters}]{far}(?![，。；：])|(?<![\u3400-\u9fff\uac00-\ud7a3，。；：])[{han_letters}](?=[a-z]{{2}})|(?<=[0-9] )[{han_letters}](?=C\b)")
         self.suspect = re.compile(f"[{re.escape(garbled)}]")
-        self.word = re.compile(f"[A-Za-z’'{re.escape(garbled)}{_LETTERS}]+")
+        beyond = re.escape(garbled) + _LETTERS
+        self.word = re.compile(f"(?<![A-Za-z’'{beyond}])[A-Za-z']*+[’{beyond}][A-Za-z’'{beyond}]*")
         self.rare = re.compile("[^\x00-\x7f" + "".join(sorted(self.common)) + "，。！？；：、“”‘’（）《》「」『』【】…—–·％℃€£¥±×µ°　]")
         clean = "".join(sorted(self.common)) + "а-яА-ЯёЁ" + _LETTERS.replace("Ã", "").replace("Â", "") + "，。！？；：、“”‘’（）《》「」【】…—–·　«»•°ºª€℃¿¡„\xad‐¬№"
         self.unclean = re.compile(f"[^\x00-\x7f{clean}]")
         upper = "ÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ"
         #: What can be garbled though each character is common.
-        self.combined = re.compile(f"[a-zß-ÿ][{upper}]|[a-z][„‚“”‘…•–—·ªº°][a-z]|[ÃÂ](?![A-ZÀ-Þ])|[а-яА-ЯёЁ][^\\sа-яА-ЯёЁ\x00-\x7f»«…–—’“”„：，。；！？]|[а-яё][А-ЯЁ]|[0-9][ñû][0-9]|[ÄÇ][0-9]|[0-9] [ÄÇ]|[ßõ]|[a-z][一-鿿]|[一-鿿][a-z]|[0-9] [一-鿿]C|[ìôâ][A-ZÀ-Þ]|[ñûòï] \\S|[\xa1-\xaa\xac\xae-\xba\xbc-\xff]{{3}}")
+        # each expression begins with the characters that it is about, so that others are passed over quickly
+        marks = "„‚“”‘…•–—·ªº°"
+        self.combined = [
+            re.compile(
+                f"[{upper}{marks}ßõñûòïìôâ](?:(?<=[a-zß-ÿ][{upper}])|(?<=[a-z][{marks}])(?=[a-z])|(?<=[ÃÂ])(?![A-ZÀ-Þ])|(?<=[0-9][ñû])(?=[0-9])|(?<=[ÄÇ])(?=[0-9])|(?<=[0-9] [ÄÇ])|(?<=[ßõ])|(?<=[ìôâ])(?=[A-ZÀ-Þ])|(?<=[ñûòï])(?= \\S))"
+            ),
+            re.compile("[а-яА-ЯёЁ](?:(?=[^\\sа-яА-ЯёЁ\x00-\x7f»«…–—’“”„：，。；！？])|(?<=[а-яё])(?=[А-ЯЁ]))"),
+            re.compile("[一-鿿](?:(?<=[a-z][一-鿿])|(?=[a-z])|(?<=[0-9] [一-鿿])(?=C))"),
+            re.compile("[\xa1-\xaa\xac\xae-\xba\xbc-\xff]{3}"),
+        ]
         self.run = re.compile(r"[^\x00-\x7f]+(?:[ \-_.]?[^\x00-\x7f]+)*")
         self.eastern = re.compile("[\u3041-\u30ff\u3100-\u312f\u3400-\u9fff\uac00-\ud7a3\ue000-\uf8ff\ufe30-\ufe6b\uff00-\uffef]")
         self.cyrillic = re.compile(r"[Ѐ-ӿ]")
@@ -295,26 +305,33 @@ class Repairer:
         def fix(m: re.Match) -> str:
             nonlocal count
             w = m.group()
-            if w.isascii() or not self.suspect.search(w) or not self._single_mark(w, 0, len(w)):
-                return w
-            seen, most, best = self.known.get(_bare(w), 0), 0, None
-            for new in self.candidates(w):
-                n = self.known.get(_bare(new), 0)
-                most = max(most, n)
-                score = 2 * (n > 5 * seen) + self._impossible(w)
-                if score and (best is None or score > best[0]):
-                    best = (score, new)
-            # a word is proper that recurs, and more often than what it may be garbled from
-            if best and best[0] < 2 and seen >= 3 and seen > most and not re.search(r"[a-z][A-ZÀ-Þ]", w):
-                return w
-            if best is None:
-                return w
-            count += 1
-            return best[1]
+            if w not in self.seen:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                self.seen[w] = self._word(w)
+            new = self.seen[w]
+            count += new is not None
+            return w if new is None else new
 
         new = self.word.sub(fix, text)
         return (new, count) if count else (text, 0)
 
+    def _word(self, w: str) -> str | None:
+        """What a word that can't be one, or that is rarer than what it may be garbled from, was; null for others."""
+        if not self.suspect.search(w) or not self._single_mark(w, 0, len(w)):
+            return None
+        seen, most, best = self.known.get(_bare(w), 0), 0, None
+        for new in self.candidates(w):
+            n = self.known.get(_bare(new), 0)
+            most = max(most, n)
+            score = 2 * (n > 5 * seen) + self._impossible(w)
+            if score and (best is None or score > best[0]):
+                best = (score, new)
+        # a word is proper that recurs, and more often than what it may be garbled from
+        if best and best[0] < 2 and seen >= 3 and seen > most and not re.search(r"[a-z][A-ZÀ-Þ]", w):
+            return None
+        return best and best[1]
+
     def candidates(self, w: str) -> list[str]:
         """Words that one mix-up of one-byte encodings turns into ``w``."""
         if w.isascii() or not self.suspect.search(w) or not re.search(r"[A-Za-z]", w):
@@ -427,7 +444,7 @@ class Repairer:
         return self.mixed.sub(fix, text), count
 
     def _doubtful(self, text: str | None) -> bool:
-        return bool(text) and not text.isascii() and bool(self.unclean.search(text) or self.combined.search(text))
+        return bool(text) and not text.isascii() and bool(self.unclean.search(text) or any(x.search(text) for x in self.combined))
 
     def longer(self, text: str) -> tuple[str, int]:
         """Replaces all that is told without known words."""
@@ -457,7 +474,8 @@ class Repairer:
             new, n = step(new)
             found += n
         lost = "�" in new or any(self._control(new))
-        return new, bool(found) or lost or self.hopeless(new), not lost and not self.hopeless(new)
+        left = self.hopeless(new)
+        return new, bool(found) or lost or left, not lost and not left
 
     @staticmethod
     def _control(text: str) -> Iterator[bool]:
@@ -497,8 +515,9 @@ def known_words(texts: DataFrame, names: DataFrame | None = None) -> dict[str, i
     """Counts in ``texts`` (one column) of the words with letters beyond ASCII that decide on a doubtful word of ``texts`` or
     ``names``: of the word, if it recurs though it can't be one or if what it may be garbled from occurs, and of the latter."""
     texts = texts.toDF("text")
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}’']+"), 0)).alias("w")
-    words = texts.select(word).select(F.regexp_replace("w", "^[’']+|[’']+$", "").alias("w")).where(F.col("w").rlike(r"[^\x00-\x7f\x{400}-\x{4ff}\x{2e80}-\x{9fff}]") & (F.length("w") > 2))
+    # words with a Latin letter beyond ASCII; runs needn't be given back
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}’'])[A-Za-z’']*+[\x{80}-\x{24f}&&[\p{L}]][\p{L}’']*+"), 0)).alias("w")
+    words = texts.where(F.col("text").rlike(r"[\x{c0}-\x{24f}]")).select(word).select(F.regexp_replace(F.lower("w"), "^[’']+|[’']+$", "").alias("w")).where(F.length("w") > 2)
     counts = staged(words.groupBy("w").agg(F.count("*").alias("n")), "known")
 
     def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
