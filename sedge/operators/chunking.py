@@ -23,7 +23,8 @@ def delimiter_sections(c: Column, delimiter: str = "\n!?;。；！？") -> Colum
 
     groups = [g for g in re.findall(r"`([^`]+)`", delimiter)]
     single = re.sub(r"`[^`]*`", "", delimiter)
-    alternatives = [re.escape(g).replace("\n", "\\n") for g in groups] + ["[" + re.escape(single).replace("\n", "\\n").replace("&&", r"&\&") + "]"] * bool(single)
+    literal = lambda t: "".join({"\n": "\\n", "\t": "\\t", "\r": "\\r", "&": "\\&"}.get(x, re.escape(x)) for x in t)
+    alternatives = [literal(g) for g in groups] + ["[" + literal(single) + "]"] * bool(single)
     return F.filter(F.split(c, "|".join(alternatives)), lambda x: F.trim(x) != "") if alternatives else F.array(c)
 
 
@@ -108,6 +109,64 @@ def packed_sections(tokens_sids: Column) -> Column:
     return F.aggregate(tokens_sids, start, step, lambda acc: acc["no"])
 
 
+def packed_chunks(islands: DataFrame, id_col: str) -> DataFrame:
+    """``id_col``, ``chunk_index`` and ``content``: the lines of ``section_islands`` packed as ``packed_sections`` says."""
+    rows = islands.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "line", F.col("sid").cast("long").alias("sid"), T.token_count(F.col("line")).alias("n")))).alias("r"))
+    rows = rows.withColumn("no", packed_sections(F.transform("r", lambda x: F.struct(x["n"].alias("n"), x["sid"].alias("sid")))))
+    each = rows.select(id_col, F.explode(F.arrays_zip(F.col("no").alias("no"), F.col("r").alias("r"))).alias("x")).select(id_col, F.col("x.no").alias("chunk_index"), "x.r.i", "x.r.line")
+    both = each.groupBy(id_col, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("r"))
+    return both.select(id_col, "chunk_index", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("content"))
+
+
+def with_abstract(sections_df: DataFrame, id_col: str) -> DataFrame:
+    """``no`` from 0: the sections (``sid``, ``content``) of a paper, the abstract, from its heading on, as a chunk of its own before them."""
+    text = F.col("content")
+    at = F.regexp_extract(text, r"(?is)(?:^|\n)[ \t]*((?:abstract|摘要).*)", 1)
+    rest = F.when(at == "", text).otherwise(F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(at)), F.lit("\n")))
+    first = F.min(F.when(at != "", F.col("sid"))).over(Window.partitionBy(id_col))
+    own = sections_df.withColumn("_first", first).withColumn("_a", F.when(F.col("sid") == F.col("_first"), at))
+    parts = F.array(F.struct(F.lit(0).alias("kind"), F.col("_a").alias("content")), F.struct(F.lit(1).alias("kind"), F.when(F.col("_a").isNotNull(), rest).otherwise(text).alias("content")))
+    each = own.select(id_col, "sid", F.explode(parts).alias("p")).where("p.content is not null and p.content <> ''")
+    no = F.row_number().over(Window.partitionBy(id_col).orderBy("p.kind", "sid")) - 1
+    return each.select(id_col, no.alias("no"), "p.content")
+
+
+def greedy_merge_images(df: DataFrame, sections_col: str, budget: int = 128) -> DataFrame:
+    """Like ``greedy_merge`` for sections with images (an array of ``text``, ``image``), joined without a separator: ``images`` has
+    those of a chunk, from the top."""
+    keep = [c for c in df.columns if c != sections_col]
+    s = F.col(sections_col)
+    df = df.withColumn("_no", greedy_breaks(F.transform(s, lambda x: T.token_count(x["text"])), budget))
+    zipped = F.arrays_zip(s.alias("s"), F.col("_no").alias("no"))
+    chunks = F.transform(F.array_distinct("_no"), lambda k: F.filter(zipped, lambda x: x["no"] == k))
+    out = df.select(*keep, F.posexplode(chunks).alias("chunk_index", "_c"))
+    return out.select(*keep, "chunk_index", F.array_join(F.transform("_c", lambda x: x["s"]["text"]), "").alias("content"), F.array_compact(F.transform("_c", lambda x: x["s"]["image"])).alias("images"))
+
+
+def chunk_fields(chunks: DataFrame, text: str = "content_with_weight") -> DataFrame:
+    """Chunks that aren't blank, without position tags, with ``content_ltks`` and ``content_sm_ltks`` (tokens joined by spaces) and
+    ``page_num_int``, ``top_int`` and ``position_int``: of the tags, pages from 1; without tags the chunk's number for all of them."""
+    from .layout import position_tags, strip_position_tags
+
+    c = F.col(text)
+    no = F.col("chunk_index").cast("int")
+    tags = F.transform(position_tags(c), lambda p: F.array(p["page"] + 1, *[p[n].cast("int") for n in ("left", "right", "top", "bottom")]))
+    own = F.when(F.size(tags) > 0, tags).otherwise(F.array(F.array(no + 1, no, no, no, no)))
+    plain = strip_position_tags(c)
+    words = F.array_join(T.tokens(T.half_width(plain)), " ")
+    out = chunks.where(F.trim(c) != "").withColumn("position_int", own).withColumn(text, plain).withColumn("content_ltks", words).withColumn("content_sm_ltks", words)
+    return out.withColumn("page_num_int", F.transform("position_int", lambda p: p[0])).withColumn("top_int", F.transform("position_int", lambda p: p[3]))
+
+
+def question_family(lines: Column) -> Column:
+    """The first family of question numbers that any line begins with, -1 for none (families count once, so the first wins)."""
+    begins = lambda p: lambda x: x.rlike(f"^(?:{p})") & ~x.rlike(T.NO_BULLET)
+    out = F.lit(-1)
+    for i, p in reversed(list(enumerate(T.QUESTIONS))):
+        out = F.when(F.exists(lines, begins(p)), i).otherwise(out)
+    return F.when(lines.isNotNull(), out)
+
+
 def heading_paths(lines: DataFrame, id_col: str) -> DataFrame:
     """``path``: the open headings of each line of Markdown; a heading closes those of its level and below."""
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))

@@ -12,6 +12,7 @@ from ..functions import text as T
 #: Order of the types where votes are equal, and their name suffixes.
 TYPES = ["int", "float", "text", "datetime", "bool"]
 SUFFIX = {"int": "_long", "float": "_flt", "text": "_tks", "datetime": "_dt", "bool": "_kwd"}
+# fixed values: patterns whose results must match
 _INT, _FLOAT, _BOOL = r"^[+-]?[0-9]{0,19}(\.0+)?$", r"^[+-]?[0-9.]{0,19}$", r"(?i)^(true|yes|是|\*|✓|✔|☑|✅|√|false|no|否|⍻|×)$"
 
 
@@ -22,12 +23,40 @@ def cell_kind(c: Column) -> Column:
     )
 
 
+def table_chunks(texts: DataFrame, id_col: str, text_col: str, delimiter: str = "\t") -> DataFrame:
+    """A chunk per row of tables in texts: the first line has the columns' names, and a row counts if it has as many cells.
+
+    Cells take their column's type by vote, those that fail or are empty are left out: ``id_col``, ``chunk_index``, ``content``
+    (``name:value; ...``, without columns named id), ``fields`` (``name_suffix`` to value)."""
+    rows = texts.where(F.col(text_col).isNotNull()).select(id_col, F.split(text_col, "\n").alias("_l"))
+    rows = rows.select(id_col, F.split(F.get("_l", F.lit(0)), delimiter).alias("_h"), F.posexplode(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0)))).alias("i", "_r"))
+    rows = rows.withColumn("_c", F.split("_r", delimiter)).where((F.size("_c") == F.size("_h")) & (F.trim("_r") != ""))
+    cells = rows.select(id_col, "i", F.posexplode(F.arrays_zip(F.col("_h").alias("name"), F.col("_c").alias("cell"))).alias("j", "x")).select(id_col, "i", "j", "x.name", "x.cell")
+    cells = cells.withColumn("kind", cell_kind(F.col("cell")))
+    votes = cells.groupBy(id_col, "j").agg(*[F.count_if(F.col("kind") == t).alias(t) for t in TYPES])
+    most, kind = F.greatest(*TYPES), F.lit("text")
+    for t in reversed(TYPES):
+        kind = F.when(F.col(t) == most, t).otherwise(kind)
+    both = cells.join(votes.select(id_col, "j", kind.alias("type")), [id_col, "j"])
+    cell = F.col("cell")
+    value = (
+        F.when(F.col("type") == "int", cell.try_cast("double").cast("long").cast("string")).when(F.col("type") == "float", cell.try_cast("double").cast("string"))
+        .when(F.col("type") == "datetime", F.date_format(T.loose_timestamp(cell), "yyyy-MM-dd HH:mm:ss")).when(F.col("type") == "bool", T.yes_no(cell)).otherwise(cell)
+    )
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"(/.*|（[^（）]+?）|\([^()]+?\))", ""), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""))
+    suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX.items() for x in kv]), F.col("type"))
+    both = both.where(~F.lower(F.trim("name")).isin("id", "_id", "index", "idx")).withColumn("value", value).where("value is not null and value <> ''").withColumn("field", F.concat(plain, suffix))
+    out = both.groupBy(id_col, "i").agg(F.array_sort(F.collect_list(F.struct("j", "name", "value", "field"))).alias("r"))
+    fields = F.aggregate("r", F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["field"]), m).otherwise(F.map_concat(m, F.create_map(x["field"], x["value"]))))
+    return out.select(id_col, F.col("i").alias("chunk_index"), F.array_join(F.transform("r", lambda x: F.concat(x["name"], F.lit(":"), x["value"])), "; ").alias("content"), fields.alias("fields"))
+
+
 def column_types(df: DataFrame) -> DataFrame:
     """``column_name``, ``column_type`` and the votes, for all columns as text, in one pass."""
-    votes = [F.count_if(cell_kind(F.col(c).cast("string")) == t).alias(f"{c}.{t}") for c in df.columns for t in TYPES]
-    one = df.agg(*votes)
-    each = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}.{t}`").alias(f"n_{t}") for t in TYPES]) for c in df.columns])
-    rows = one.select(F.explode(each).alias("r")).select("r.*")
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("cell")) for c in df.columns])
+    kinds = df.select(F.explode(each).alias("r")).select("r.column_name", cell_kind(F.col("r.cell")).alias("kind"))
+    rows = kinds.groupBy("column_name", "kind").agg(F.count("*").alias("n"))  # a class per cell is told once, and counted before the shuffle
+    rows = rows.groupBy("column_name").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == t, F.col("n"))), F.lit(0)).alias(f"n_{t}") for t in TYPES])
     most = F.greatest(*[F.col(f"n_{t}") for t in TYPES])
     kind = F.lit("text")
     for t in reversed(TYPES):

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import index as I
+from ..operators import tables as Tb
 from ..sources import parsers as P
+from ..sources.pdf import parse_pdf
 
 PARSERS = ("general", "qa", "paper", "manual", "laws", "book", "presentation", "table", "one", "email")
 
@@ -68,10 +70,14 @@ def chunk_texts(texts: DataFrame, config: ChunkingConfig) -> DataFrame:
         return pairs.select("doc_id", "chunk_index", C.qa_text(F.col("p.q"), F.col("p.a"), ~F.col("zh")).alias("content"))
     if kind in ("paper", "manual"):
         lines = C.lines_with_levels(some, "doc_id", "text")
-        parts = C.section_chunks(C.section_islands(lines, C.most_frequent_level(lines, "doc_id"), "doc_id"), "doc_id")
+        islands = C.section_islands(lines, C.most_frequent_level(lines, "doc_id"), "doc_id")
+        if kind == "manual":
+            parts = C.packed_chunks(islands, "doc_id")
+        else:
+            parts = C.with_abstract(C.section_chunks(islands, "doc_id"), "doc_id").select("doc_id", F.col("no").cast("int").alias("chunk_index"), "content")
         rest = some.join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
         merged = C.greedy_merge(rest.withColumn("_s", C.delimiter_sections(t, config.delimiter)).drop("text"), "_s", config.chunk_token_num)
-        return parts.select("doc_id", F.col("sid").cast("int").alias("chunk_index"), "content").unionByName(merged.select("doc_id", "chunk_index", "content"))
+        return parts.unionByName(merged.select("doc_id", "chunk_index", "content"))
     if kind in ("laws", "book"):
         body = some.withColumn("text", C.drop_contents(t)) if kind == "laws" else some
         lines = C.lines_with_levels(body, "doc_id", "text", strict=False)
@@ -83,25 +89,46 @@ def chunk_texts(texts: DataFrame, config: ChunkingConfig) -> DataFrame:
         pages = some.select("doc_id", F.posexplode(F.split("text", "\f")).alias("chunk_index", "content"))
         return pages.where((F.col("chunk_index") >= config.from_page) & (F.col("chunk_index") < config.to_page))
     if kind == "table":
-        rows = some.select("doc_id", F.posexplode(C.sections(t)).alias("i", "line"))
-        return C.bucketed_rows(rows, ["doc_id"], "i", "line").select("doc_id", F.col("chunk_index").cast("int"), "content")
+        return Tb.table_chunks(some, "doc_id", "text")
     return P.text_chunks(some, "text", config.chunk_token_num, config.delimiter).select("doc_id", "chunk_index", "content")
 
 
-def file_texts(files: DataFrame) -> DataFrame:
-    """``doc_id``, ``docnm_kwd``, ``text`` and ``error`` of files by kind; a broken file gives an error, not a failure."""
-    text = files.where(F.col("kind").isin("text", "markdown", "html", "json", "sheet")).select("name", "kind", P.decoded("content").alias("raw"))
-    body = F.when(F.col("kind") == "html", P.html_text(F.col("raw"))).otherwise(F.col("raw"))
-    plain = text.select("name", body.alias("text"), F.lit(None).cast("string").alias("error"))
-    mail = P.parse_mail(files.where("kind = 'email'").select("name", "content"), "content").select("name", F.concat_ws("\n", "headers", "body").alias("text"), "error")
-    office = P.parse_office(files.where(F.col("name").rlike(r"(?i)\.(docx|pptx|xlsx)$")).select("name", "content"), "content")
-    office = office.select("name", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), "error")
-    both = plain.where(~F.col("name").rlike(r"(?i)\.xlsx?$")).unionByName(mail).unionByName(office)
-    return both.select(F.md5("name").alias("doc_id"), F.col("name").alias("docnm_kwd"), "text", "error")
+def file_texts(files: DataFrame, from_page: int = 0, to_page: int = 100_000) -> DataFrame:
+    """``doc_id`` (of the path), ``docnm_kwd``, ``text`` and ``error`` of files (``path``, ``name``, ``kind``, ``content``), and of what is
+    attached to mails, under the mail's path; a broken file, or one that nothing here can read, gives an error, not a failure."""
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    files = files.withColumn("error", F.when(F.col("content").isNull(), F.coalesce(error, F.lit("no content"))))
+    ok = files.where("error is null").drop("error")
+    office = r"(?i)\.(docx|pptx|xlsx)$"
+    mail = P.parse_mail(ok.where("kind = 'email'").select("path", "name", "content"), "content")
+    texts = [_plain_texts(ok, office, from_page, to_page), mail.select("path", "name", F.concat_ws("\n", "headers", "body").alias("text"), "error")]
+    # one level of attachments; a mail within a mail is read as text
+    inner = mail.select("path", F.explode("attachments").alias("a")).select(F.concat_ws("/", "path", "a.name").alias("path"), "a.name", "a.content").withColumn("kind", T.file_kind(F.col("name")))
+    inner = inner.withColumn("kind", F.when(F.col("kind") == "email", "text").otherwise(F.col("kind")))
+    texts.append(_plain_texts(inner, office, from_page, to_page))
+    known = F.col("kind").isin("text", "markdown", "html", "json", "sheet", "pdf", "email") & ~F.col("name").rlike(r"(?i)\.xls$") | F.col("name").rlike(office)
+    for df in (ok, inner):
+        texts.append(df.where(~known).select("path", "name", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no parser for "), T.extension(F.col("name"))).alias("error")))
+    texts.append(files.where("error is not null").select("path", "name", F.lit(None).cast("string").alias("text"), "error"))
+    out = texts[0]
+    for t in texts[1:]:
+        out = out.unionByName(t)
+    return out.select(F.md5("path").alias("doc_id"), F.col("name").alias("docnm_kwd"), "text", "error")
+
+
+def _plain_texts(files: DataFrame, office: str, from_page: int, to_page: int) -> DataFrame:
+    """``path``, ``name``, ``text`` and ``error`` of texts, office files and PDF files."""
+    text = files.where(F.col("kind").isin("text", "markdown", "html", "json", "sheet") & ~F.col("name").rlike(r"(?i)\.xlsx?$")).select("path", "name", "kind", P.decoded("content").alias("raw"))
+    plain = text.select("path", "name", F.when(F.col("kind") == "html", P.html_text(F.col("raw"))).otherwise(F.col("raw")).alias("text"), F.lit(None).cast("string").alias("error"))
+    parts = P.parse_office(files.where(F.col("name").rlike(office)).select("path", "name", "content"), "content", from_page, to_page)
+    parts = parts.select("path", "name", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), "error")
+    pdf = parse_pdf(files.where("kind = 'pdf'").select("path", "name", "content"), "content", from_page, to_page)
+    pdf = pdf.select("path", "name", F.array_join(F.transform("pages", lambda p: p["text"]), "\f").alias("text"), "error")
+    return plain.unionByName(parts).unionByName(pdf)
 
 
 def chunk_files(files: DataFrame, config: ChunkingConfig) -> DataFrame:
-    """Files to normalised chunks."""
-    texts = file_texts(files)
+    """Files to normalised chunks with their tokens and positions; files with an error give none (``file_texts`` lists them)."""
+    texts = file_texts(files, config.from_page, config.to_page).where("error is null")
     chunks = chunk_texts(texts, config).join(texts.select("doc_id", "docnm_kwd"), "doc_id")
-    return I.normalise(chunks.withColumnRenamed("content", "content_with_weight"))
+    return I.normalise(C.chunk_fields(chunks.withColumnRenamed("content", "content_with_weight")))

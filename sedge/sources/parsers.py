@@ -19,12 +19,60 @@ LARGEST = 100 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = tuple(T.FILE_KINDS), largest: int = LARGEST) -> DataFrame:
-    """Files of known kinds up to a size, below a folder: ``path``, ``name``, ``kind``, ``length``, ``content``.
+    """Files of known kinds below a folder: ``path``, ``name``, ``kind``, ``length``, ``content``, ``error``.
 
-    The size is tested before the content is read."""
+    The size is tested before the content is read: a file beyond ``largest`` has no content, but an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(F.col("length") <= largest).select("path", name.alias("name"), T.file_kind(name).alias("kind"), "length", "content")
+    cols = ["path", name.alias("name"), T.file_kind(name).alias("kind"), "length"]
+    small = files.where(F.col("length") <= largest).select(*cols, "content", F.lit(None).cast("string").alias("error"))
+    return small.unionByName(files.where(F.col("length") > largest).select(*cols, F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("error")))
+
+
+def row_numbers(files: DataFrame) -> DataFrame:
+    """``name`` and ``rows`` of each file: rows of all sheets, else lines of the text."""
+    office = parse_office(files.where(F.col("name").rlike(r"(?i)\.xlsx$")).select("name", "content"), "content")
+    sheets = office.select("name", (F.size("parts") + F.size(F.array_distinct(F.transform("parts", lambda p: p["style"])))).cast("long").alias("rows"))
+    text = files.where(F.col("kind").isin("text", "markdown", "html", "json", "sheet") & ~F.col("name").rlike(r"(?i)\.xlsx?$"))
+    return sheets.unionByName(text.select("name", F.size(F.split(decoded("content"), "\n")).cast("long").alias("rows")))
+
+
+def cell_class(text: str) -> str:
+    """The class of a table cell, as ``text.cell_type`` has it."""
+    text = text.strip()
+    for pattern, kind in T.CELL_TYPES:
+        if re.search(pattern, text):
+            return kind
+    n = sum(len(w) > 1 for w in re.split(r"[\W_]+", text.lower()))
+    return "Tx" if 3 < n < 12 else "Lx" if n >= 12 else "Ot"
+
+
+def table_lines(rows: list[list[str]]) -> list[str]:
+    """A table's rows as ``header: value;...``, one text each, or (up to three columns) all in one text.
+
+    The first row is a header; where most cells are numbers, so are rows that aren't. A row's headers are those of the last
+    block of header rows above it."""
+    from collections import Counter
+
+    if len(rows) < 2:
+        return []
+    kinds = [Counter(map(cell_class, r)) for r in rows]
+    most = sum(kinds[1:], Counter()).most_common(1)
+    numbers = bool(most) and most[0][0] == "Nu"
+    heads = {0} | ({i for i, k in enumerate(kinds) if i and k and k.most_common(1)[0][0] != "Nu"} if numbers else set())
+    lines, block = [], []
+    for i, row in enumerate(rows):
+        if i in heads:
+            block = [*block, i] if block and block[-1] == i - 1 else [i]
+            continue
+        cells = []
+        for j, cell in enumerate(row):
+            names = dict.fromkeys(rows[h][j].strip() for h in block if j < len(rows[h]))
+            head = ",".join(names)
+            if cell:
+                cells.append((head + ": " if head else "") + cell)
+        lines.append(";".join(cells))
+    return lines if len(rows[0]) > 3 else ["\n".join(lines)]
 
 
 @F.pandas_udf(StringType())
@@ -114,8 +162,10 @@ def parse_mail(df: DataFrame, content: str) -> DataFrame:
     return df.mapInPandas(run, (kept + ", " if kept else "") + "headers string, body string, attachments array<struct<name:string,content:binary>>, error string")
 
 
-def parse_office(df: DataFrame, content: str) -> DataFrame:
-    """Office files (docx, pptx, xlsx): ``parts`` (number, style or sheet, text), ``error``. A zip with XML needs no library."""
+def parse_office(df: DataFrame, content: str, from_page: int = 0, to_page: int = 100_000) -> DataFrame:
+    """Office files (docx, pptx, xlsx): ``parts`` (number, style or sheet, text), ``error``. A zip with XML needs no library.
+
+    Tables of a document come after its paragraphs, with their headers; pages and slides outside the range are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -125,18 +175,49 @@ def parse_office(df: DataFrame, content: str) -> DataFrame:
         local = lambda e: e.tag.rsplit("}", 1)[-1]
         words = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
 
+        def grid(table, row: str, cell: str) -> list[list[str]]:
+            return [["\n".join(filter(None, (words(p) for p in c.iter() if local(p) == "p"))) for c in r if local(c) == cell] for r in table.iter() if local(r) == row]
+
+        def place(shape) -> tuple[int, int]:
+            off = next((o for o in shape.iter() if local(o) == "off"), None)
+            return (int(off.get("y", 0)) // 10, int(off.get("x", 0))) if off is not None else (0, 0)
+
+        def shapes(tree) -> Iterator[str]:
+            """The texts of a slide's shapes, from the top and the left; groups have an order of their own."""
+            for s in sorted((s for s in tree if local(s) in ("sp", "graphicFrame", "grpSp")), key=place):
+                if local(s) == "grpSp":
+                    text = "\n".join(shapes(s))
+                elif any(local(t) == "tbl" for t in s.iter()):
+                    rows = grid(s, "tr", "tc")
+                    text = "\n".join("; ".join(f"{h}: {v}" for h, v in zip(rows[0], r, strict=False)) for r in rows[1:])
+                else:
+                    text = "\n".join(filter(None, (words(p) for p in s.iter() if local(p) == "p")))
+                if text:
+                    yield text
+
         def parts(raw: bytes) -> list[dict]:
             z = zipfile.ZipFile(io.BytesIO(raw))
             names = z.namelist()
             out: list[tuple[str, str]] = []
             if "word/document.xml" in names:
-                for p in X.fromstring(z.read("word/document.xml")).iter():
+                page, tables = 0, []
+                root = X.fromstring(z.read("word/document.xml"))
+                body = next((b for b in root.iter() if local(b) == "body"), root)
+                for p in body:
                     if local(p) == "p":
                         style = next((v for s in p.iter() if local(s) == "pStyle" for k, v in s.attrib.items()), "")
-                        out.append((style, words(p)))
+                        if from_page <= page < to_page:
+                            out.append((style, words(p)))
+                        page += sum(local(e) == "lastRenderedPageBreak" or local(e) == "br" and any(v == "page" for v in e.attrib.values()) for e in p.iter())
+                    elif local(p) == "tbl":
+                        tables.append(grid(p, "tr", "tc"))
+                out += [("table", t) for rows in tables for t in table_lines(rows)]
             elif any(n.startswith("ppt/slides/slide") for n in names):
-                for n in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group())):
-                    out.append(("slide", "\n".join(filter(None, (words(p) for p in X.fromstring(z.read(n)).iter() if local(p) == "p")))))
+                slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
+                for n in slides[from_page:to_page]:
+                    root = X.fromstring(z.read(n))
+                    tree = next((t for t in root.iter() if local(t) == "spTree"), None)
+                    out.append(("slide", "\n".join(shapes(tree) if tree is not None else filter(None, (words(p) for p in root.iter() if local(p) == "p")))))
             elif "xl/workbook.xml" in names:
                 shared = [words(s) for s in X.fromstring(z.read("xl/sharedStrings.xml")) if local(s) == "si"] if "xl/sharedStrings.xml" in names else []
                 for n in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):

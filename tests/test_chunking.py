@@ -44,6 +44,12 @@ def test_contents_are_dropped(spark):
     assert [r[0] for r in df.select(C.drop_contents(F.col("t"))).collect()] == ["第一章 甲\n正文\nOne thing\nend", "", "other\nlines", None, ""]
 
 
+def test_delimiters(spark):
+    df = spark.createDataFrame([("an n\nb&c!d##e\\n;f",), (None,)], "t string")
+    for delimiter, want in (("\n!", ["an n", "b&c", "d##e\\n;f"]), ("`##`;", ["an n\nb&c!d", "e\\n", "f"]), ("&&", ["an n\nb", "c!d##e\\n;f"]), ("]^-", ["an n\nb&c!d##e\\n;f"]), ("", ["an n\nb&c!d##e\\n;f"])):
+        assert [r[0] for r in df.select(C.delimiter_sections(F.col("t"), delimiter)).collect()][0] == want, delimiter
+
+
 def test_packing(spark):
     df = spark.sql("select array(struct(10L as n, 0L as sid), struct(30L as n, 1L as sid), struct(5L as n, 1L as sid), struct(900L as n, 2L as sid)) x")
     assert df.select(C.packed_sections(F.col("x")).alias("p")).first()["p"] == [0, 0, 0, 1]
