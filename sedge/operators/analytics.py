@@ -43,6 +43,11 @@ def suggestions(quality: DataFrame) -> DataFrame:
     return quality.withColumn("suggestions", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules])), "; "))
 
 
+def greatest_line(df: DataFrame, line: str, *group: str, least: str = "1970-01-01 00:00:00") -> DataFrame:
+    """The greatest of the lines (times as text, say) that aren't ``nan``, at least ``least``."""
+    return df.groupBy(*group).agg(F.greatest(F.coalesce(F.max(F.when(F.col(line) != "nan", F.col(line))), F.lit(least)), F.lit(least)).alias("greatest"))
+
+
 def norm_stats(df: DataFrame, vector: str) -> DataFrame:
     n = V.norm(F.col(vector))
     return df.agg(F.count("*").alias("n"), F.avg(n).alias("mean_norm"), F.stddev_pop(n).alias("std_norm"), F.min(n).alias("min_norm"), F.max(n).alias("max_norm"))

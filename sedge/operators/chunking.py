@@ -98,13 +98,15 @@ def section_chunks(islands: DataFrame, id_col: str) -> DataFrame:
 
 
 def packed_sections(tokens_sids: Column) -> Column:
-    """Chunk numbers of (tokens, section id) pairs: joined while a chunk is under 32 tokens, or under 1024 and in the same section."""
+    """Chunk numbers of (tokens, section id) pairs: joined while a chunk is under 32 tokens, or under 1024 and of the section that it
+    began with (-1 belongs to any)."""
     start = F.struct(F.array().cast("array<int>").alias("no"), F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("n"), F.lit(-2).cast("long").alias("sid"))
 
     def step(acc, x):
         join = (acc["chunk"] >= 0) & ((acc["n"] < 32) | ((acc["n"] < 1024) & ((acc["sid"] == x["sid"]) | (x["sid"] == -1))))
         chunk = F.when(join, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        return F.struct(F.concat(acc["no"], F.array(chunk)).alias("no"), chunk.alias("chunk"), F.when(join, acc["n"] + x["n"]).otherwise(x["n"]).cast("long").alias("n"), x["sid"].cast("long").alias("sid"))
+        sid = F.when(join | (x["sid"] < 0), acc["sid"]).otherwise(x["sid"].cast("long"))
+        return F.struct(F.concat(acc["no"], F.array(chunk)).alias("no"), chunk.alias("chunk"), F.when(join, acc["n"] + x["n"]).otherwise(x["n"]).cast("long").alias("n"), sid.alias("sid"))
 
     return F.aggregate(tokens_sids, start, step, lambda acc: acc["no"])
 

@@ -76,35 +76,44 @@ def coverage(terms: DataFrame, postings: DataFrame, qid: str, id_col: str) -> Da
 def knn(queries: DataFrame, rows: DataFrame, qid: str, id_col: str, vector: str, k: int = 10, least: float | None = None, block: int = 4096, group: str | None = None) -> DataFrame:
     """The nearest ``k`` rows by cosine of every query, exactly.
 
-    Queries go in blocks of ``block`` to all rows; a portion of rows keeps its best ``k`` for each query, and a second
-    ranking takes the best of those, so no pair of query and row ever leaves its portion. Null, zero and vectors of
+    Queries go in blocks of ``block`` to all rows; a task keeps its best ``k`` for each query, and a second
+    ranking takes the best of those, so no other pair of query and row ever leaves its task. Null, zero and vectors of
     another length are left out. ``group``: the nearest ``k`` within each value of it; ``least``: the least cosine."""
     kind = rows.schema[id_col].dataType.simpleString()
     some = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), (F.col(group).cast("string") if group else F.lit("")).alias("g"), F.col(vector).cast("array<double>").alias("v"))
 
     def against(qs: list[tuple]) -> DataFrame:
-        names = [q for q, _ in qs]
+        names = np.array([q for q, _ in qs], np.int64)
         x = np.array([v for _, v in qs], float).reshape(len(qs), -1)
         with np.errstate(divide="ignore", invalid="ignore"):
             x = np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
-        usable = np.abs(x).sum(axis=1) > 0
+        x, names = x[np.abs(x).sum(axis=1) > 0], names[np.abs(x).sum(axis=1) > 0]
+
+        def rows_of(best: dict) -> pd.DataFrame:
+            parts = [] if not len(names) else [pd.DataFrame({"q": np.repeat(names, s.shape[1]), "i": ids.ravel(), "g": g, "score": s.ravel()}) for g, (s, ids) in best.items()]
+            out = pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "g": [], "score": []})
+            return out[out["score"] >= (least if least is not None else -2.0)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # the best k of the task so far, by value of the group; a task gives k rows for a query (and group) at most
+            best: dict = {}
             for pdf in batches:
-                out = []
-                pdf = pdf[pdf["v"].map(lambda v: len(v) == x.shape[1])]
+                pdf = pdf[pdf["v"].map(lambda v: len(v) == x.shape[1])] if len(names) else pdf.iloc[:0]
                 for g, part in pdf.groupby("g", sort=False, dropna=False):
-                    part = part.sort_values("i", kind="stable")
                     y = np.stack(part["v"].to_numpy()).astype(float)
                     size = np.linalg.norm(y, axis=1)
                     y, ids = y[size > 0] / size[size > 0, None], part["i"].to_numpy()[size > 0]
-                    for a in range(0, len(x), 256):
-                        s = x[a : a + 256] @ y.T
-                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                        for j in range(len(s)):
-                            if usable[a + j]:
-                                out += [(names[a + j], ids[m], g, float(s[j, m])) for m in best[j] if least is None or s[j, m] >= least]
-                yield pd.DataFrame(out, columns=["q", "i", "g", "score"])
+                    for a in range(0, len(ids), 4096):
+                        s = x @ y[a : a + 4096].T
+                        own = np.broadcast_to(ids[a : a + 4096], s.shape)
+                        if g in best:
+                            s, own = np.concatenate([best[g][0], s], axis=1), np.concatenate([best[g][1], own], axis=1)
+                        order = np.lexsort((own, -s), axis=1)[:, :k]
+                        best[g] = (np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1))
+                if len(best) > 1000:
+                    yield rows_of(best)
+                    best = {}
+            yield rows_of(best)
 
         return some.mapInPandas(run, f"q long, i {kind}, g string, score double")
 
@@ -162,6 +171,35 @@ def token_bag(content: Column, title: Column, important: Column, question: Colum
     return F.array_union(F.array_union(F.coalesce(content, empty), F.coalesce(title, empty)), F.array_union(F.coalesce(important, empty), F.coalesce(question, empty)))
 
 
+def keyword_matches(terms: DataFrame, rows: DataFrame, qid: str, id_col: str, keywords: str, boost: float = 30.0) -> DataFrame:
+    """Boolean similarity of a keyword field: ``boost`` for each of the query's terms among the tokens of the row's keywords, however
+    often it is there and however rare it is."""
+    words = rows.select(id_col, F.explode(F.array_distinct(F.flatten(F.transform(keywords, lambda x: T.tokens(F.coalesce(x, F.lit(""))))))).alias("term"))
+    return words.join(terms, "term").groupBy(qid, id_col).agg((F.count("*") * boost).alias("score"))
+
+
+def above(scored: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Hits of at least a score: what a descending list has before the first one under it."""
+    return scored.where(F.col(score) >= least)
+
+
+def overlapping_terms(sets: DataFrame, queries: DataFrame, qid: str, id_col: str, terms: str, least: float = 0.3) -> DataFrame:
+    """``qid``, id and ``tok`` (the share of the query's distinct terms that a row has) of the pairs from ``least`` on.
+
+    Prefix filter: a pair that shares ``least`` of the query's terms shares one of its rarest ``n - ceil(least * n) + 1``, so only those
+    bring pairs together, and common words don't; the exact share is told from the pair's sets."""
+    q = queries.select(F.col(id_col).alias(qid), F.col(terms).alias("_q")).where(F.size("_q") > 0)
+    each = sets.select(id_col, F.explode(terms).alias("term"))
+    of = q.select(qid, F.size("_q").alias("n"), F.explode("_q").alias("term"))
+    count = each.join(of.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy(qid).orderBy("df", "term"))
+    prefix = of.join(count, "term").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(qid, "term")
+    pairs = each.join(prefix, "term").select(qid, id_col).distinct()
+    both = pairs.join(q, qid).join(sets.select(id_col, F.col(terms).alias("_s")), id_col)
+    tok = F.size(F.array_intersect("_q", "_s")) / F.size("_q")
+    return both.select(qid, id_col, tok.alias("tok")).where(F.col("tok") >= least)
+
+
 def rank_feature(tags: Column, pagerank: Column, query_tags: dict[str, float]) -> Column:
     """Ten times the cosine of tags, and the page rank."""
     page = F.coalesce(pagerank, F.lit(0.0))

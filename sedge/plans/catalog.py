@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..functions import text as T
 from ..functions import tokenizer as K
 from ..functions import vectors as V
@@ -49,12 +50,17 @@ def r6(c: Column) -> Column:
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return bm25_topk(spark, d)
+    """Hybrid retrieval for all requests."""
+    return _hybrid_search(spark, d, _questions(table(spark, d, "search_request")))
 
 
 # -- pieces of SQL
 
 _TOKENS = "regexp_extract_all(lower({0}), '[一-鿿]|[0-9a-zß-öø-ÿœа-яё]+')"
+def _half(c: str) -> str:
+    return f"translate({c}, '" + "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　', '" + "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''") + " ')"
+
+
 _LINES = "list_filter(string_split({0}, chr(10)), lambda x: trim(x, ' ') <> '')"
 _CHUNKS = "chunks AS (SELECT DISTINCT id, doc_id, docnm_kwd, kb_id, content_with_weight, pagerank_fea FROM chunk WHERE id IS NOT NULL)"
 _POSTINGS = f"{_CHUNKS}, tok AS (SELECT id, {_TOKENS.format('coalesce(content_with_weight, chr(32))')} AS t FROM chunks), p AS (SELECT id, term, count(*) AS tf, max(length) AS length FROM (SELECT id, unnest(t) AS term, len(t) AS length FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
@@ -71,6 +77,8 @@ qt AS (SELECT DISTINCT request_id, unnest({_TOKENS.format("CASE WHEN qx = '' THE
 qr AS (SELECT request_id, term, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 3.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 10.0 END AS f, CASE WHEN regexp_full_match(term, '[0-9. -]{{2,}}') THEN 5.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 3.0 END AS d, CASE WHEN regexp_full_match(term, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{{1,2}}') THEN 0.01 ELSE 1.0 END AS e FROM qt),
 qw AS (SELECT request_id, term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * e AS raw FROM qr),
 q AS (SELECT request_id, term, raw / sum(raw) OVER (PARTITION BY request_id) AS weight FROM qw)"""
+_RAW = "SELECT term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * e AS raw FROM (SELECT term, CASE WHEN regexp_full_match(term, '[0-9. -]{2,}') THEN 3.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 10.0 END AS f, CASE WHEN regexp_full_match(term, '[0-9. -]{2,}') THEN 5.0 WHEN regexp_full_match(term, '[a-z. -]+') THEN 300.0 ELSE 3.0 END AS d, CASE WHEN regexp_full_match(term, '[0-9,.]{2,}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{1,2}') THEN 0.01 ELSE 1.0 END AS e FROM df)"
+_SPACES = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TOP = "QUALIFY row_number() OVER (PARTITION BY {0} ORDER BY {2} DESC, {1}) <= 10"
 
 
@@ -79,8 +87,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").where("id is not null").select(*cols).distinct()
 
 
+def _questions(requests: DataFrame) -> DataFrame:
+    return requests.groupBy("request_id").agg(F.first("question").alias("question"), F.first("kb_id").alias("kb_id"))
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "search_request").where("request_id % 100 = 0").groupBy("request_id").agg(F.first("question").alias("question"), F.first("kb_id").alias("kb_id"))
+    return _questions(table(spark, d, "search_request").where("request_id % 100 = 0"))
 
 
 def _search(spark: SparkSession, d: str):
@@ -91,6 +103,41 @@ def _search(spark: SparkSession, d: str):
     return _chunks(spark, d), terms, p.where("term is not null"), I.document_frequency(p), I.postings_stats(p, "id")
 
 
+_indices: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with the frequency of their terms, in the order of the terms, so that a search reads the row groups of its terms;
+    frequencies, and figures of the collection. Written once for a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indices:
+        rows = table(spark, d, "chunk").where("id is not null").select("id", "content_with_weight").dropDuplicates(["id"])
+        p = staged(I.postings(rows, "id", "content_with_weight", keep_empty=True), "postings")
+        stats = spark.createDataFrame([tuple(I.postings_stats(p, "id").first())], "n long, avgdl double")
+        sorted_ = staged(p.where("term is not null").repartitionByRange("term").sortWithinPartitions("term"), "index")
+        _indices[key] = (sorted_, staged(I.document_frequency(p).repartitionByRange(1, "term"), "frequency"), stats)
+    return _indices[key]
+
+
+def _hybrid_search(spark: SparkSession, d: str, requests: DataFrame) -> DataFrame:
+    """First page of each request: the candidates of text and of vectors, a window of each, ranked by both and by the page rank.
+
+    The token bag of a chunk has its content, title, keywords and questions."""
+    window = R.window_size(1, 10)
+    chunk = table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "doc_id", "content_with_weight", "important_kwd", "question_kwd", "pagerank_fea").dropDuplicates(["id"])
+    words = lambda c: F.flatten(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: T.tokens(F.coalesce(x, F.lit("")))))
+    bag = R.token_bag(T.tokens(F.col("content_with_weight")), T.tokens(F.col("docnm_kwd")), words("important_kwd"), words("question_kwd"))
+    chunk = staged(E.embed_chunks(chunk.withColumn("_bag", F.array_distinct(bag)), E.HashingEmbedder(64)), "chunks")
+    terms = R.query_terms(requests, "request_id", "question")
+    postings = chunk.select("id", F.explode("_bag").alias("term"))
+    tok = R.top(R.coverage(terms, postings, "request_id", "id"), "request_id", "id", window).select("request_id", "id", F.col("score").alias("tok"))
+    asked = E.embed(requests.where("trim(question) <> ''"), F.col("question"), E.HashingEmbedder(64), "q_64_vec").select("request_id", "q_64_vec")
+    dense = R.knn(asked, chunk, "request_id", "id", "q_64_vec", k=window).select("request_id", "id", F.col("score").alias("cos"))
+    both = tok.join(dense, ["request_id", "id"], "full").join(chunk.select("id", "docnm_kwd", "pagerank_fea"), "id")
+    scored = R.hybrid(both.withColumn("tok", F.coalesce("tok", F.lit(0.0))), "request_id").withColumn("score", r6(F.col("score") + F.coalesce("pagerank_fea", F.lit(0.0))))
+    return R.page(R.above(R.top(scored, "request_id", "id", window), 0.1), 1, 10).select("request_id", "id", "docnm_kwd", "score", "rank")
+
+
 # -- texts
 
 
@@ -241,6 +288,30 @@ def chunk_table_rows(spark, d):
     return C.bucketed_rows(table(spark, d, "nation"), ["n_regionkey"], "n_nationkey", "n_name")
 
 
+@query(f"SELECT doc_id, [1] AS page_num_int, [[1, 0, 0, 0, 0]] AS position_int, array_to_string({_TOKENS.format(_half('content'))}, ' ') AS content_ltks FROM (SELECT doc_id, array_to_string({_LINES.format('text')}, chr(10)) AS content FROM documents WHERE text IS NOT NULL) WHERE trim(content, ' ') <> ''")
+def chunk_positions(spark, d):
+    """C13 C14"""
+    one = C.one_chunk(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text").select("doc_id", "chunk_index", F.col("content").alias("content_with_weight"))
+    return C.chunk_fields(one).select("doc_id", "page_num_int", "position_int", "content_ltks")
+
+
+@query("SELECT doc_id, (CASE " + " ".join(f"WHEN len(list_filter(l, lambda x: regexp_matches(x, '^(?:{q})') AND NOT regexp_matches(x, '{T.NO_BULLET}'))) > 0 THEN {i}" for i, q in enumerate(T.QUESTIONS)) + f" ELSE -1 END)::INT AS family FROM (SELECT doc_id, {_LINES.format('text')} AS l FROM documents WHERE text IS NOT NULL)")
+def question_families(spark, d):
+    """C5"""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", C.question_family(C.sections(F.col("text"))).alias("family"))
+
+
+@query(f"""WITH RECURSIVE {_LEVELS}, isl AS (SELECT doc_id, i, line, sum(CASE WHEN level <= most_level AND level <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM (SELECT lv.*, most_level, lag(level) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM lv JOIN ml USING (doc_id))),
+s AS (SELECT doc_id, list(sid ORDER BY i) AS sid, list(len(regexp_split_to_array(trim(line, ' '), '[\\s\\v]+')) ORDER BY i) AS n FROM isl GROUP BY ALL),
+f AS (SELECT doc_id, sid, n, 1 AS i, 0 AS chunk, n[1] AS run, sid[1] AS own FROM s UNION ALL SELECT doc_id, sid, n, i + 1, CASE WHEN run < 32 OR (run < 1024 AND sid[i + 1] = own) THEN chunk ELSE chunk + 1 END, CASE WHEN run < 32 OR (run < 1024 AND sid[i + 1] = own) THEN run + n[i + 1] ELSE n[i + 1] END, CASE WHEN run < 32 OR (run < 1024 AND sid[i + 1] = own) THEN own ELSE sid[i + 1] END FROM f WHERE i < len(n))
+SELECT doc_id, chunk::INT AS chunk_index, count(*) AS lines FROM f GROUP BY ALL""")
+def chunk_packed(spark, d):
+    """C10"""
+    lines = _levels(spark, d)
+    packed = C.packed_chunks(C.section_islands(lines, C.most_frequent_level(lines, "doc_id"), "doc_id"), "doc_id")
+    return packed.select("doc_id", "chunk_index", F.size(F.split("content", "\n")).cast("long").alias("lines"))
+
+
 @query(f"SELECT doc_id, array_to_string({_LINES.format('text')}, chr(10)) AS content FROM documents WHERE text IS NOT NULL")
 def chunk_one(spark, d):
     """C16"""
@@ -442,10 +513,8 @@ _DOCP = f"dt AS (SELECT doc_id AS vec_id, {_TOKENS.format('text')} AS t FROM doc
 
 def _hybrid(spark, d):
     docs, rows = table(spark, d, "documents").where("text is not null"), table(spark, d, "embeddings")
-    p = docs.select(F.col("doc_id").alias("vec_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    q = p.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q")
-    m = q.groupBy("q").agg(F.count("*").alias("m"))
-    tok = q.join(p, "term").groupBy("q", "vec_id").agg(F.count("*").alias("k")).join(m, "q").select("q", "vec_id", (F.col("k") / F.col("m")).alias("tok"))
+    sets = docs.select(F.col("doc_id").alias("vec_id"), F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    tok = R.overlapping_terms(sets, sets.where("vec_id % 100 = 0"), "q", "vec_id", "t", 0.3)
     return rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, tok
 
 
@@ -453,7 +522,7 @@ def _hybrid(spark, d):
 def hybrid_filter(spark, d):
     """The text is a filter, the vector ranks"""
     q, rows, tok = _hybrid(spark, d)
-    ok = tok.where("tok >= 0.3").join(q.select("q", F.col("embedding").alias("a")), "q").join(rows.select("vec_id", "embedding"), "vec_id")
+    ok = tok.join(q.select("q", F.col("embedding").alias("a")), "q").join(rows.select("vec_id", "embedding"), "vec_id")
     scored = ok.select("q", "vec_id", r6(V.cosine(F.col("a"), F.col("embedding"))).alias("score"))
     return R.top(scored, "q", "vec_id", 10).select("q", "vec_id", "score")
 
@@ -463,17 +532,17 @@ def hybrid_weighted_sum(spark, d):
     """R10"""
     q, rows, tok = _hybrid(spark, d)
     dense = R.knn(q, rows, "q", "vec_id", "embedding", k=50)
-    fused = R.weighted_sum(tok.where("tok >= 0.3").withColumnRenamed("tok", "score"), dense, "q", "vec_id")
+    fused = R.weighted_sum(tok.withColumnRenamed("tok", "score"), dense, "q", "vec_id")
     return fused.select("q", "vec_id", r6(F.col("score")).alias("score"))
 
 
-@query(f"WITH {_DOCP}, x AS (SELECT q, vec_id, cos, tok, sum(coalesce(cos, 0)) OVER (PARTITION BY q) AS s FROM cs JOIN tk USING (q, vec_id)), y AS (SELECT q, vec_id, round(CASE WHEN s = 0 THEN tok ELSE 0.7 * coalesce(cos, 0) + 0.3 * tok END, 6) AS score FROM x) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM y QUALIFY rank > 10 AND rank <= 20")
+@query(f"WITH {_DOCP}, x AS (SELECT q, vec_id, cos, tok, sum(coalesce(cos, 0)) OVER (PARTITION BY q) AS s FROM cs JOIN tk USING (q, vec_id) WHERE tok >= 0.3), y AS (SELECT q, vec_id, round(CASE WHEN s = 0 THEN tok ELSE 0.7 * coalesce(cos, 0) + 0.3 * tok END, 6) AS score FROM x) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM y QUALIFY rank > 10 AND rank <= 20")
 def rerank_second_page(spark, d):
     """R15 R17 R20 R21 W9 O4"""
     q, rows, tok = _hybrid(spark, d)
     both = tok.join(q.select("q", F.col("embedding").alias("a")), "q").join(rows.select("vec_id", "embedding"), "vec_id").withColumn("cos", V.cosine(F.col("a"), F.col("embedding")))
     scored = R.hybrid(both, "q").withColumn("score", r6(F.col("score")))
-    return R.page(R.top(scored, "q", "vec_id", 128), 2, 10).select("q", "vec_id", "score", "rank")
+    return R.page(R.top(scored, "q", "vec_id", R.window_size(2, 10)), 2, 10).select("q", "vec_id", "score", "rank")
 
 
 @query("WITH f AS (SELECT id, pagerank_fea, map_from_entries(list_transform(list_distinct(coalesce(important_kwd, [])), lambda x: struct_pack(k := x, v := length(x)::DOUBLE))) AS m FROM (SELECT DISTINCT id, pagerank_fea, important_kwd FROM chunk WHERE id IS NOT NULL)), g AS (SELECT id, pagerank_fea, list_sum(list_transform(map_values(m), lambda v: v * v)) AS ss, coalesce(m['parser'], m['养鸡场'], 0) AS a FROM f) SELECT id, round(10 * coalesce((coalesce((SELECT 1), 1) * (coalesce(m['parser'], 0) * 3 + coalesce(m['养鸡场'], 0) * 4)) / nullif(sqrt(coalesce(list_sum(list_transform(map_values(m), lambda v: v * v)), 0)) * 5, 0), 0) + coalesce(pagerank_fea, 0), 6) AS score FROM f")
@@ -499,6 +568,34 @@ def terms_and_cardinality(spark, d):
     return table(spark, d, "chunk").groupBy("kb_id").agg(F.count("*").alias("n"), F.countDistinct("docnm_kwd").alias("files"))
 
 
+@query()
+def hybrid_search(spark, d):
+    """The flagship, for the requests whose id is divisible by 100"""
+    return _hybrid_search(spark, d, _requests(spark, d))
+
+
+@query(f"WITH {_CHUNKS}, {_QUERY}, k AS (SELECT DISTINCT id, unnest({_TOKENS.format('w')}) AS term FROM (SELECT id, unnest(important_kwd) AS w FROM chunk WHERE id IS NOT NULL)) SELECT request_id, id, (count(*) * 30)::DOUBLE AS score FROM q JOIN k USING (term) GROUP BY ALL")
+def keyword_matches(spark, d):
+    """R5"""
+    rows = table(spark, d, "chunk").where("id is not null").select("id", "important_kwd").dropDuplicates(["id"])
+    return R.keyword_matches(R.query_terms(_requests(spark, d), "request_id", "question"), rows, "request_id", "id", "important_kwd")
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, round((sum(weight) + 1e-9) / (1 + 1e-9), 6) AS score FROM q JOIN p USING (term) GROUP BY request_id, id HAVING round((sum(weight) + 1e-9) / (1 + 1e-9), 6) >= 0.5")
+def hits_above_threshold(spark, d):
+    """P7"""
+    _, terms, p, _, _ = _search(spark, d)
+    return R.above(R.coverage(terms, p, "request_id", "id").withColumn("score", r6(F.col("score"))), 0.5)
+
+
+@query(f"WITH {_POSTINGS}, {_QUERY} SELECT request_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) AS score, row_number() OVER (PARTITION BY request_id ORDER BY round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) DESC, id) AS rank FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY request_id, id QUALIFY rank <= 10")
+def bm25_on_index(spark, d):
+    """The search of ``bm25_topk`` over an index that is written once for a session"""
+    index = _index(spark, d)
+    scored = R.bm25(R.query_terms(_requests(spark, d), "request_id", "question"), *index, "request_id", "id").withColumn("score", r6(F.col("score")))
+    return R.top(scored, "request_id", "id", 10).select("request_id", "id", "score", "rank")
+
+
 @query()
 def highlighted_hits(spark, d):
     """R22 R23"""
@@ -527,14 +624,21 @@ def filtered_requests(spark, d):
     return both.select("request_id", "id").distinct()
 
 
-@query()
+_LATEST = "SELECT {0} FROM chunk WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY create_timestamp_flt DESC NULLS LAST, docnm_kwd DESC NULLS LAST) = 1"
+
+
+@query(f"""WITH c AS (SELECT id, docnm_kwd, content_with_weight FROM ({_LATEST.format('*')}) WHERE available_int = 1),
+tok AS (SELECT id, {_TOKENS.format('content_with_weight')} AS t FROM c), p AS (SELECT id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT id, unnest(t) AS term, len(t) AS n FROM tok) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(l) AS avgdl FROM (SELECT id, any_value(length) AS l FROM p GROUP BY id)), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL), q AS (SELECT unnest(['parser', 'precedes', 'message', 'queue']) AS term)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) AS score, docnm_kwd FROM q JOIN df USING (term) JOIN p USING (term) JOIN c USING (id), st GROUP BY id, docnm_kwd HAVING count(*) >= floor(4 * 0.3) ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) DESC, id LIMIT 10""")
 def planned_search(spark, d):
-    """One request through the planner"""
+    """One request through the planner"""
     chunk = I.latest(table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "content_with_weight", "available_int", "create_timestamp_flt"), "id", "create_timestamp_flt")
-    return plan(chunk, Request(text=MatchText("which parser precedes the message queue?", min_match=0.3), fields=("docnm_kwd", "content_with_weight"), highlight=True))
+    hits = plan(chunk, Request(text=MatchText("which parser precedes the message queue?", min_match=0.3), fields=("docnm_kwd", "content_with_weight"), highlight=True))
+    return hits.select("id", r6(F.col("score")).alias("score"), "docnm_kwd")
 
 
-@query()
+@query(f"SELECT id, docnm_kwd, page_num_int, available_int, create_timestamp_flt FROM ({_LATEST.format('*')}) WHERE available_int = 1 ORDER BY CASE WHEN len(list_filter(page_num_int, lambda x: x IS NULL)) > 0 THEN NULL ELSE list_avg(page_num_int) END NULLS LAST, create_timestamp_flt DESC NULLS LAST, id LIMIT 20")
 def planned_list(spark, d):
     """S24 O1"""
     chunk = I.latest(table(spark, d, "chunk").where("id is not null").select("id", "docnm_kwd", "page_num_int", "available_int", "create_timestamp_flt"), "id", "create_timestamp_flt")
@@ -560,6 +664,19 @@ def chunk_quality(spark, d):
     return q.select("kb_id", "n", "short", "long", "empty", F.round("var_length", 4).alias("var_length"), r6(F.col("score")).alias("score"))
 
 
+@query("SELECT kb_id, array_to_string(list_filter([CASE WHEN score < 60 THEN 'quality is low' END, CASE WHEN short / n > 0.2 THEN 'many short chunks' END, CASE WHEN long / n > 0.1 THEN 'many long chunks' END, CASE WHEN v > 0.5 * m * m THEN 'lengths vary' END, CASE WHEN empty > 0 THEN 'empty chunks' END], lambda x: x IS NOT NULL), '; ') AS suggestions FROM (SELECT *, greatest(0, 100 - 30 * short / n - 20 * long / n - coalesce(50 * v / nullif(m * m, 0), 0)) AS score FROM (SELECT kb_id, count(*) AS n, avg(l) AS m, var_pop(l) AS v, count(*) FILTER (l < 50) AS short, count(*) FILTER (l > 2000) AS long, count(*) FILTER (content_with_weight IS NULL OR content_with_weight = '') AS empty FROM (SELECT kb_id, content_with_weight, CASE WHEN content_with_weight <> '' THEN length(content_with_weight) END AS l FROM chunk) GROUP BY ALL))")
+def quality_suggestions(spark, d):
+    """A7"""
+    return A.suggestions(A.chunk_quality(table(spark, d, "chunk"), "content_with_weight", "kb_id")).select("kb_id", "suggestions")
+
+
+@query("SELECT event_type, greatest(max(strftime(ts, '%Y-%m-%d %H:%M:%S')), '1970-01-01 00:00:00') AS greatest FROM events GROUP BY ALL")
+def greatest_times(spark, d):
+    """T32"""
+    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("line"))
+    return A.greatest_line(e, "line", "event_type")
+
+
 @query(f"SELECT doc_id, greatest(128, least(512, floor(sum(n) / count(*))))::BIGINT AS size FROM (SELECT doc_id, coalesce({_N}, 0) AS n FROM chunk) GROUP BY ALL")
 def optimal_sizes(spark, d):
     """A6"""
@@ -618,7 +735,19 @@ def dictionary_tokens(spark, d):
     return docs.select("doc_id", K.tokenize(F.col("text"), K.Dictionary.from_table(words, 50_000)).alias("tokens"))
 
 
-@query()
+_IS_SHORT = "(length({0}) = 1 OR regexp_full_match({0}, '[0-9a-z]{{1,2}}'))"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT request_id, t FROM (SELECT request_id, {_TOKENS.format("question")} AS t FROM search_request WHERE question IS NOT NULL)),
+x AS (SELECT request_id, t, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM q),
+g AS (SELECT *, sum(nb) OVER (PARTITION BY request_id, t ORDER BY i) AS no FROM (SELECT *, CASE WHEN regexp_matches(lag(tok) OVER (PARTITION BY request_id, t ORDER BY i), '[a-zA-Z]$') AND regexp_full_match(tok, '[a-zA-Z]+') THEN 0 ELSE 1 END AS nb FROM x)),
+glue AS (SELECT request_id, t, list(s ORDER BY no) AS glued FROM (SELECT request_id, t, no, string_agg(tok, ' ' ORDER BY i) AS s FROM g GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT request_id, t, tok, i, CASE WHEN len(t) > 1 AND {_IS_SHORT.format("t[1]")} AND length(t[2]) > 1 AND NOT regexp_matches(t[2], '^[0-9a-zA-Z]') AND i <= 2 THEN 'h' WHEN {_IS_SHORT.format("tok")} AND tok NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}) THEN 's' ELSE 'o' END AS kind FROM x),
+z AS (SELECT *, CASE kind WHEN 's' THEN i - row_number() OVER (PARTITION BY request_id, t, kind ORDER BY i) WHEN 'o' THEN i ELSE 0 END AS isl FROM y),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id, t, kind, isl ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY request_id, t, kind, isl) AS n FROM z),
+m AS (SELECT request_id, t, string_agg(tok, ' ' ORDER BY i) AS s, min(i) AS pos FROM k GROUP BY request_id, t, kind, isl, CASE WHEN n >= 5 AND kind = 's' THEN least(k // 2, (n - 3) // 2) ELSE 0 END),
+mg AS (SELECT request_id, t, list(s ORDER BY pos) AS merged FROM m GROUP BY ALL)
+SELECT request_id, coalesce(glued, []) AS glued, coalesce(merged, []) AS merged FROM q LEFT JOIN glue USING (request_id, t) LEFT JOIN mg USING (request_id, t)""")
 def merged_terms(spark, d):
     """T10 T11"""
     q = table(spark, d, "search_request").where("question is not null").select("request_id", T.tokens(F.col("question")).alias("t")).distinct()
@@ -639,17 +768,20 @@ def tag_scores(spark, d):
     return M.tag_scores(docs, M.tag_portions(docs, "tag"), "source", "tag")
 
 
-@query()
+@query(f"""WITH {_POSTINGS}, {_QUERY}, h AS (SELECT request_id, id, round((sum(weight) + 1e-9) / (1 + 1e-9), 6) AS score FROM q JOIN p USING (term) GROUP BY request_id, id {_TOP.format('request_id', 'id', 'score').replace('10', '20')}),
+b AS (SELECT request_id, id, score, coalesce(pagerank_fea, 0) AS fea, list_distinct(list_filter(regexp_split_to_array(lower(question), '{_SPACES}'), lambda w: w <> '')) AS qw, list_filter(regexp_split_to_array(lower(coalesce(content_with_weight, '')), '{_SPACES}'), lambda w: w <> '') AS tw FROM h JOIN chunks USING (id) JOIN rq USING (request_id)),
+m AS (SELECT *, len(list_intersect(qw, tw)) / greatest(1, len(qw)) AS m FROM b), n AS (SELECT *, min(m) OVER (PARTITION BY request_id) AS lo, max(m) OVER (PARTITION BY request_id) AS hi FROM m)
+SELECT request_id, id, round(0.3 * (score + fea) + 0.7 * CASE WHEN hi > lo THEN (m - lo) / (hi - lo) ELSE 0 END, 6) AS score FROM n""")
 def reranked_by_model(spark, d):
     """R19 U6"""
     chunks, terms, p, _, _ = _search(spark, d)
-    hits = R.top(R.coverage(terms, p, "request_id", "id"), "request_id", "id", 20).withColumnRenamed("score", "tok")
+    hits = R.top(R.coverage(terms, p, "request_id", "id").withColumn("score", r6(F.col("score"))), "request_id", "id", 20).withColumnRenamed("score", "tok")
     both = hits.join(chunks.select("id", "content_with_weight", F.col("pagerank_fea").alias("rank_fea")), "id").join(_requests(spark, d).select("request_id", "question"), "request_id")
     ranked = M.rerank_by_model(both, "request_id", "question", "content_with_weight", M.OverlapScorer())
     return ranked.select("request_id", "id", r6(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"WITH {_POSTINGS}, w AS ({_RAW}), k AS (SELECT id, term FROM p JOIN w USING (term) QUALIFY row_number() OVER (PARTITION BY id ORDER BY raw DESC, term) <= 30) SELECT id, list_sort(list(term)) AS terms, least(3, count(*) // 10)::INT AS must FROM k GROUP BY ALL")
 def paragraph_terms(spark, d):
     """R6"""
     _, _, p, df, _ = _search(spark, d)
@@ -706,7 +838,10 @@ def boxes_in_rows(spark, d):
     return L.text_rows(boxes, ["page"]).groupBy("page", "row_no").agg(F.count("*").alias("boxes"))
 
 
-@query()
+_BOTH = "greatest(0, least(y.x1, x[1].x1) - greatest(y.x0, x[1].x0)) * greatest(0, least(y.bottom, x[1].bottom) - greatest(y.top, x[1].top))"
+
+
+@query(f"WITH {_BOXES}, l AS (SELECT page, list([{{'x0': x0::DOUBLE, 'x1': x1::DOUBLE, 'top': top::DOUBLE, 'bottom': bottom::DOUBLE}}] ORDER BY x1 - x0 DESC, box) AS b FROM box GROUP BY page) SELECT page, len(list_reduce(b, lambda a, x: CASE WHEN len(list_filter(a, lambda y: {_BOTH} > 0.2 * ((y.x1 - y.x0) * (y.bottom - y.top) + (x[1].x1 - x[1].x0) * (x[1].bottom - x[1].top) - {_BOTH}))) > 0 THEN a ELSE list_concat(a, x) END)) AS kept FROM l")
 def boxes_suppressed(spark, d):
     """V6 V9"""
     boxes, _ = _boxes(spark, d)
@@ -781,6 +916,41 @@ def dictionary_join(spark, d):
     return df.join(words.groupBy("term").agg(F.count("*").alias("pos")), "term", "left")
 
 
+@query("WITH t AS (SELECT DISTINCT lower(subject) AS term, lower(lang) AS synonym FROM subject_sample WHERE subject IS NOT NULL), w AS (SELECT DISTINCT lower(subject) AS term FROM subject_area UNION SELECT DISTINCT lower(lang) FROM subject_sample) SELECT term, coalesce(list_filter(s, lambda x: x <> term)[1:8], []) AS synonyms FROM w LEFT JOIN (SELECT term, list_sort(list_distinct(list(synonym)))[1:9] AS s FROM t GROUP BY ALL) USING (term)")
+def synonyms_of_terms(spark, d):
+    """J2 T13"""
+    sample = table(spark, d, "subject_sample")
+    terms = table(spark, d, "subject_area").select(F.lower("subject").alias("term")).union(sample.select(F.lower("lang"))).distinct()
+    return K.synonyms(terms, sample.where("subject is not null").select(F.lower("subject").alias("term"), F.lower("lang").alias("synonym")))
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click') SELECT event_id, arg_max(value, struct_pack(a := c.ts, b := value)) AS value FROM e LEFT JOIN c ON c.user_id = e.user_id AND c.ts <= e.ts GROUP BY event_id")
+def as_of_click(spark, d):
+    """The last click of the user at or before each purchase"""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    found = J.as_of_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts", "value"), "user_id", "ts", "value", "ts")
+    return found.select("event_id", "value")
+
+
+@query(f"SELECT doc_id, len({_TOKENS.format('text')})::INT AS tokens, length({_half('text')})::INT AS n FROM documents WHERE text IS NOT NULL")
+def sql_functions(spark, d):
+    """Functions of the engine in SQL"""
+    registry.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    return spark.sql("SELECT doc_id, size(rag_tokenize(text)) AS tokens, length(half_width(text)) AS n FROM documents WHERE text IS NOT NULL")
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_split_to_array(trim(x, ' '), '[\s\v]+'))) AS n FROM s WHERE len(l) > 0),
+f AS (SELECT doc_id, n, 1 AS i, 0 AS chunk, n[1] AS run FROM c UNION ALL SELECT doc_id, n, i + 1, CASE WHEN run > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN run > 200 THEN n[i + 1] ELSE run + n[i + 1] END FROM f WHERE i < len(n))
+SELECT doc_id, max(chunk)::INT + 1 AS chunks FROM f GROUP BY ALL""")
+def sql_table_functions(spark, d):
+    """Table functions of the engine in SQL"""
+    registry.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    return spark.sql("SELECT doc_id, CAST(count(*) AS INT) AS chunks FROM documents, LATERAL chunk_text(text, 200) GROUP BY doc_id")
+
+
 # -- relational and streaming supersets
 
 

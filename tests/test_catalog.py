@@ -23,25 +23,33 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, small, name):
+def compared(spark, d, name):
+    """The rows of a query and of its SQL (nothing without any)."""
     duckdb = pytest.importorskip("duckdb")
-    got = entry.queries()[name](spark, small)
+    got = entry.queries()[name](spark, d)
     cols = sorted(got.columns)
     rows = Counter(tuple(plain(r[c]) for c in cols) for r in got.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return
+        return rows, None
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
     for t in TABLES.split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     cursor = con.execute(sql)
-    names = [d[0] for d in cursor.description]
-    want = Counter(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in cols) for r in cursor.fetchall())
+    names = [x[0] for x in cursor.description]
     assert sorted(names) == cols
-    assert rows == want
+    return rows, Counter(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in cols) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, small, name):
+    rows, want = compared(spark, small, name)
+    if not rows:  # the smallest tables have no request with an id divisible by 100, for one
+        rows, want = compared(spark, small.replace("0.001", "0.01"), name)
+    assert rows and want in (None, rows)
 
 
 def test_entry(spark, small):
-    assert entry.entry(spark).columns == ["request_id", "id", "score", "rank"]
+    got = entry.entry(spark)
+    assert got.columns == ["request_id", "id", "docnm_kwd", "score", "rank"] and got.count() > 0
