@@ -34,9 +34,11 @@ class Dictionary:
 
     @classmethod
     def from_table(cls, table: DataFrame, most: int = 1_000_000) -> Dictionary:
-        """Columns ``word``, ``freq``, ``pos``; at most ``most`` rows, the most frequent."""
-        rows = table.where("word is not null").groupBy("word").agg(F.max("freq").alias("freq"), F.max_by("pos", "freq").alias("pos")).orderBy(F.desc("freq"), "word").limit(most)
-        return cls.of([(r["word"], r["freq"] or 1.0, r["pos"] or "") for r in rows.collect()])
+        """Columns ``word``, ``freq``, ``pos``. A dictionary goes to all workers, so one of more than ``most`` words is refused."""
+        rows = table.where("word is not null").groupBy("word").agg(F.max("freq").alias("freq"), F.max_by("pos", "freq").alias("pos")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"a dictionary has {most} words at most")
+        return cls.of([(r["word"], r["freq"] or 1.0, r["pos"] or "") for r in rows])
 
     def frequency(self, word: str) -> int:
         return int(math.exp(self.words[word][0]) * 1e6 + 0.5) if word in self.words else 0

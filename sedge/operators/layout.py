@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .groups import per_group
 
 _BOX = ("x0", "x1", "top", "bottom")
 
@@ -85,6 +86,49 @@ def reading_order(rows: DataFrame, page: list[str], text: str = "text") -> DataF
     return both.select(*page, "row_no", "top", F.array_join(F.transform("r", lambda x: x[text]), " ").alias("line"))
 
 
+#: What a line that goes on ends with, and what a line that goes on with another begins with; what a finished line ends with
+#: (fixed values).
+GOES_ON, GOES_ON_BEFORE, CONTINUES, ENDS, ENDS_ENGLISH = ",;:'\"，、‘“；：-", ",;:'\"，‘“、；：", "。；？！?”）),，、：", "。？！?", ".!?"
+
+
+def merge_downward(boxes: DataFrame, doc: str, english: bool = False) -> DataFrame:
+    """Boxes of a document joined downwards, from page to page: ``doc``, ``block`` from 0, ``page``, ``x0``, ``x1``, ``top``, ``bottom``, ``text``.
+
+    ``boxes`` has ``page``, ``layout`` and a box with its ``text``. Two in a row are joined unless one lies beside the other, or the
+    first ends a sentence, they are of different layouts or far apart, and neither shows that the text goes on. Blank boxes, and
+    page numbers at the end of a page, are dropped."""
+    w = Window.partitionBy(doc, "page")
+    sized = boxes.withColumn("_h", F.avg(F.col("bottom") - F.col("top")).over(w)).withColumn("_w", F.avg((F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))).over(w))
+
+    def apart(a, b) -> bool:
+        if a["x1"] < b["x0"] or a["x0"] > b["x1"]:
+            return True
+        text, following = a["text"].strip(), b["text"].strip()
+        if text[-1] in GOES_ON or len(text) > 1 and text[-2] in GOES_ON_BEFORE or following and following[0] in CONTINUES:
+            return False
+        same = a["page"] == b["page"]
+        far = b["top"] - a["bottom"] > 1.5 * a["_h"] if same else abs(a["x0"] - b["x0"]) > 4 * a["_w"]
+        return a["layout"] != b["layout"] or text[-1] in ENDS or english and text[-1] in ENDS_ENGLISH or far
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_row=(pdf["top"] / (pdf["_h"].median() / 3 or 1)).round()).sort_values(["page", "_row", "x0"], kind="stable")
+        rows, out = pdf.to_dict("records"), []
+        for i, b in enumerate(rows):
+            text, more = b["text"] or "", i + 1 < len(rows)
+            if not text.strip() or more and b["page"] < rows[i + 1]["page"] and all(c in "0123456789 •一—-" for c in text):
+                continue
+            b["text"] = text
+            if out and not apart(out[-1], b):
+                last = out[-1]
+                last |= {"bottom": b["bottom"], "text": last["text"] + text, "x0": min(last["x0"], b["x0"]), "x1": max(last["x1"], b["x1"])}
+            else:
+                out.append(dict(b))
+        return pd.DataFrame([(pdf[doc].iloc[0], k, b["page"], b["x0"], b["x1"], b["top"], b["bottom"], b["text"]) for k, b in enumerate(out)], columns=[doc, "block", "page", "x0", "x1", "top", "bottom", "text"])
+
+    kind = boxes.schema[doc].dataType.simpleString()
+    return per_group(sized.select(doc, "page", "layout", *[F.col(c).cast("double").alias(c) for c in _BOX], "text", "_h", "_w"), [doc], run, f"`{doc}` {kind}, block int, page int, x0 double, x1 double, top double, bottom double, text string")
+
+
 def page_offsets(pages: DataFrame, doc: str, page: str, height: str) -> DataFrame:
     """The height of all pages before each page."""
     w = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)

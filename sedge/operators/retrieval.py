@@ -91,7 +91,7 @@ def knn(queries: DataFrame, rows: DataFrame, qid: str, id_col: str, vector: str,
 
         def rows_of(best: dict) -> pd.DataFrame:
             parts = [] if not len(names) else [pd.DataFrame({"q": np.repeat(names, s.shape[1]), "i": ids.ravel(), "g": g, "score": s.ravel()}) for g, (s, ids) in best.items()]
-            out = pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "g": [], "score": []})
+            out = pd.concat(parts) if parts else pd.DataFrame({"q": np.zeros(0, np.int64), "i": pd.Series([], dtype=object), "g": pd.Series([], dtype=object), "score": np.zeros(0)})
             return out[out["score"] >= (least if least is not None else -2.0)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..session import staged
 
 
 @dataclass(frozen=True)
@@ -147,8 +148,11 @@ def search(table: DataFrame, request: Request, id_col: str = "id") -> DataFrame:
     from dataclasses import replace
 
     hits = plan(table, request, id_col)
-    if (request.text is None and request.dense is None) or not hits.isEmpty():
+    if request.text is None and request.dense is None:
         return hits
+    hits = staged(hits, "hits")  # a page of hits; else the plan would run once more
+    if not hits.isEmpty():
+        return hits.orderBy(F.desc("score"), id_col)
     wider = replace(
         request,
         text=request.text and replace(request.text, min_match=0.1),

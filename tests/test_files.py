@@ -148,3 +148,40 @@ def test_question_numbers(spark):
     assert [r[0] for r in df.select(C.question_family(F.col("l"))).collect()] == [8, 0, -1, -1, None]
     words = ["7", "SEVEN", "IV", "十二", "二十", "三百二十一", "九", "零", "abc", None]
     assert [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(T.number_of(F.col("w"))).collect()] == [7, 7, 4, 12, 20, 321, 9, 0, -1, None]
+
+
+def test_boxes_are_joined_downward(spark):
+    rows = [
+        (1, 1, "t", 0, 100, 0, 10, "This goes on,"), (1, 1, "t", 0, 100, 12, 22, "and ends here。"), (1, 1, "t", 0, 100, 24, 34, "A new one without end"), (1, 1, "t", 0, 100, 80, 90, "far below"),
+        (1, 1, "t", 0, 100, 95, 105, " "), (1, 1, "t", 40, 60, 110, 120, "- 3 -"), (1, 2, "t", 0, 100, 0, 10, "。next page"), (1, 2, "other", 0, 100, 12, 22, "other layout"), (1, 2, "other", 200, 300, 12, 22, "beside"), (2, 1, "t", 0, 1, 0, 1, None),
+    ]
+    df = spark.createDataFrame(rows, "doc int, page int, layout string, x0 double, x1 double, top double, bottom double, text string")
+    from sedge.operators import layout as L
+
+    got = [r["text"] for r in L.merge_downward(df, "doc").orderBy("doc", "block").collect()]
+    assert got == ["This goes on,and ends here。", "A new one without end", "far below。next page", "other layout", "beside"]
+    assert L.merge_downward(df.limit(0), "doc").count() == 0
+
+
+def test_functions_in_sql(spark):
+    from sedge.functions import registry
+
+    assert "rag_tokenize" in registry.register(spark)
+    r = spark.sql("select half_width('ＡＢ！') h, rag_tokenize('Ab 中文') t, count_tokens(' a  b ') n, vector_cosine(array(1D, 0D), array(1D, 1D)) c, vector_cosine(array(0D), array(1D)) z").first()
+    assert (r["h"], list(r["t"]), r["n"], round(r["c"], 4), r["z"]) == ("AB!", ["ab", "中", "文"], 2, 0.7071, None)
+    assert [tuple(x) for x in spark.sql("select * from chunk_text('a b\n\nc', 1)").collect()] == [(0, "a b"), (1, "c")]
+    assert spark.sql("""select * from split_json('{"a": 1}', 100)""").first()["content"] == '{"a": 1}' and spark.sql("select * from split_json('no', 100)").count() == 0
+
+
+def test_shared_terms_are_those_of_all_pairs(spark):
+    import random
+
+    from sedge.operators import retrieval as R
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, sorted(set(r.choices(words, weights=[30 - k for k in range(30)], k=r.randrange(1, 12))))) for i in range(80)]
+    df = spark.createDataFrame([*rows, (200, [])], "i long, t array<string>")
+    got = {(x["q"], x["i"]): round(x["tok"], 6) for x in R.overlapping_terms(df, df.where("i % 10 = 0"), "q", "i", "t", 0.3).collect()}
+    want = {(q, i): round(len(set(a) & set(b)) / len(a), 6) for q, a in rows if q % 10 == 0 for i, b in rows if len(set(a) & set(b)) >= 0.3 * len(a)}
+    assert got == want
