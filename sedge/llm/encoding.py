@@ -40,6 +40,8 @@ _CYRILLIC_PAIRS = (
     ("latin-1", "koi8-r"), ("cp1252", "koi8-r"), ("latin-1", "cp866"), ("cp1252", "cp866"), ("mac_roman", "cp1251"), ("cp437", "cp1251"),
     ("cp850", "cp1251"), ("iso8859-5", "cp1251"), ("cp1251", "iso8859-5"), ("cp437", "cp866"), ("cp866", "koi8-r"), ("koi8-r", "cp866"),
 )
+#: Rows of the table of known words that go to the workers, at most.
+MOST_KNOWN = 500_000
 #: What a run may be garbled by: read as, written in, and what it must become.
 _PAIRS = [
     ("gb18030", "utf-8", "sound"), *((r, "gb18030", "east") for r in ("big5", "big5hkscs", "shift_jis", "euc_kr")), ("gb18030", "big5", "east"),
@@ -511,8 +513,8 @@ def _bare(word: str) -> str:
     return word.lower().strip("’'")
 
 
-def known_words(texts: DataFrame, names: DataFrame | None = None) -> dict[str, int]:
-    """Counts in ``texts`` (one column) of the words with letters beyond ASCII that decide on a doubtful word of ``texts`` or
+def known_words(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``w`` and ``n``, counts in ``texts`` (one column) of the words with letters beyond ASCII that decide on a doubtful word of ``texts`` or
     ``names``: of the word, if it recurs though it can't be one or if what it may be garbled from occurs, and of the latter."""
     texts = texts.toDF("text")
     # words with a Latin letter beyond ASCII; runs needn't be given back
@@ -531,14 +533,20 @@ def known_words(texts: DataFrame, names: DataFrame | None = None) -> dict[str, i
     pairs = every.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(doubtful, "w string, new string, never boolean").distinct()
     pairs = pairs.join(counts, "w", "left").join(counts.select(F.col("w").alias("new"), F.col("n").alias("m")), "new", "left")
     pairs = pairs.where("m is not null or (never and n >= 3)").select(F.explode(F.array(F.struct("w", "n"), F.struct(F.col("new").alias("w"), F.col("m").alias("n")))).alias("k"))
-    return {r["w"]: r["n"] for r in pairs.select("k.*").where("n is not null").distinct().collect()}
+    return staged(pairs.select("k.*").where("n is not null").distinct(), "decisive")
 
 
-def repair_fields(rows: DataFrame, fields: list[str], known: dict[str, int] | None = None, id_col: str = "id") -> DataFrame:
-    """``id``, ``field``, ``damaged``, ``complete`` and ``restored`` of every damaged value of the fields."""
-    table = tuple(sorted((known or {}).items()))
-    some = rows.where(F.col(id_col).isNotNull())
-    keep = F.concat_ws("", *fields).rlike(r"[^\x00-\x7f]")
+def repair_fields(rows: DataFrame, fields: list[str], known: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """``id``, ``field``, ``damaged``, ``complete`` and ``restored`` of every damaged value of the fields.
+
+    ``known`` (of ``known_words``) goes to the workers if it has ``MOST_KNOWN`` rows at most; beyond that each value is joined with
+    those of them that its own words need."""
+    some = [] if known is None else known.limit(MOST_KNOWN + 1).collect()
+    values = rows.where(F.col(id_col).isNotNull() & F.concat_ws("", *fields).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).cast("string").alias("_id"), *fields)
+    kind = "id string, field string, complete boolean, restored string"
+    if len(some) > MOST_KNOWN:
+        return _repaired_by_join(values, fields, known, kind)
+    table = tuple(sorted((r["w"], r["n"]) for r in some))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = _repairer(table)
@@ -561,4 +569,31 @@ def repair_fields(rows: DataFrame, fields: list[str], known: dict[str, int] | No
                         out.append((i, name, got[2], got[0]))
             yield pd.DataFrame(out, columns=["id", "field", "complete", "restored"])
 
-    return some.where(keep).select(F.col(id_col).cast("string").alias("_id"), *fields).mapInPandas(run, "id string, field string, complete boolean, restored string")
+    return values.mapInPandas(run, kind)
+
+
+def _repaired_by_join(values: DataFrame, fields: list[str], known: DataFrame, kind: str) -> DataFrame:
+    each = values.select("_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("v")).select("_id", "v.field", "v.text")
+    each = each.where(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("key", F.xxhash64("text"))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = _repairer(())
+        for pdf in batches:
+            out = set()
+            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+                out |= {(key, _bare(x)) for w in r.forms(text) for x in (w, *r.candidates(w))}
+            yield pd.DataFrame(list(out), columns=["key", "w"])
+
+    needed = each.select("key", "text").mapInPandas(asked, "key long, w string").distinct().join(known, "w")
+    maps = needed.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("known"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, field, text, own in zip(pdf["_id"], pdf["field"], pdf["text"], pdf["known"], strict=True):
+                restored, damaged, complete = Repairer(dict(own) if own is not None else {}).repair(text)
+                if damaged:
+                    out.append((i, field, complete, restored))
+            yield pd.DataFrame(out, columns=["id", "field", "complete", "restored"])
+
+    return each.join(maps, "key", "left").select("_id", "field", "text", "known").mapInPandas(run, kind)

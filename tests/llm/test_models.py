@@ -78,7 +78,17 @@ def test_damaged_words_that_recur_are_still_damaged(spark):
     assert r.repair("orþamento anual")[0] == "orçamento anual"
     texts = ["orþamento anual"] * 4 + ["orçamento anual"] * 60 + [f"{a}é{b}lo" for a in "bcdfgklmnp" for b in "bcdfgklmnp"] * 70
     known = encoding.known_words(spark.createDataFrame([(t,) for t in texts], "t string"))
-    assert known == {"orþamento": 4, "orçamento": 60}
+    assert {r["w"]: r["n"] for r in known.collect()} == {"orþamento": 4, "orçamento": 60}
+
+
+def test_known_words_beyond_a_set_are_joined(spark, monkeypatch):
+    rows = [("a", "orþamento anual", "fÃ¼r"), ("b", "orçamento", None), ("c", "orþamento", "orþamento"), ("d", None, "x"), (None, "fÃ¼r", None)]
+    df = spark.createDataFrame(rows, "id string, t string, u string")
+    known = spark.createDataFrame([("orþamento", 4), ("orçamento", 60)], "w string, n long")
+    want = {tuple(r) for r in encoding.repair_fields(df, ["t", "u"], known).collect()}
+    assert {(i, f) for i, f, *_ in want} == {("a", "t"), ("a", "u"), ("c", "t"), ("c", "u")} and ("c", "t", True, "orçamento") in want
+    monkeypatch.setattr(encoding, "MOST_KNOWN", 1)
+    assert {tuple(r) for r in encoding.repair_fields(df, ["t", "u"], known).collect()} == want
 
 
 # -- languages
