@@ -129,6 +129,28 @@ def merge_downward(boxes: DataFrame, doc: str, english: bool = False) -> DataFra
     return per_group(sized.select(doc, "page", "layout", *[F.col(c).cast("double").alias(c) for c in _BOX], "text", "_h", "_w"), [doc], run, f"`{doc}` {kind}, block int, page int, x0 double, x1 double, top double, bottom double, text string")
 
 
+def merge_same_bullet(boxes: DataFrame, doc: str) -> DataFrame:
+    """Boxes of a document (in the order ``i``) with those joined that begin with the same sign, no Latin letter or Chinese character:
+    ``doc``, ``block`` from 0, ``x0``, ``x1``, ``top``, ``bottom``, ``text``. Blank boxes are dropped; a box above the one before it isn't joined."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for b in pdf.sort_values("i").to_dict("records"):
+            text = (b["text"] or "").strip()
+            if not text:
+                continue
+            last = out[-1] if out else None
+            sign = text[0]
+            if last and last["text"].strip()[0] == sign and not sign.lower() in "abcdefghijklmnopqrstuvwxyz" and not "一" <= sign <= "鿿" and last["top"] <= b["bottom"]:
+                last |= {"text": last["text"] + "\n" + b["text"], "x0": min(last["x0"], b["x0"]), "x1": max(last["x1"], b["x1"]), "bottom": b["bottom"]}
+            else:
+                out.append(dict(b))
+        return pd.DataFrame([(pdf[doc].iloc[0], k, b["x0"], b["x1"], b["top"], b["bottom"], b["text"]) for k, b in enumerate(out)], columns=[doc, "block", "x0", "x1", "top", "bottom", "text"])
+
+    kind = boxes.schema[doc].dataType.simpleString()
+    return per_group(boxes.select(doc, "i", *[F.col(c).cast("double").alias(c) for c in _BOX], "text"), [doc], run, f"`{doc}` {kind}, block int, x0 double, x1 double, top double, bottom double, text string")
+
+
 def page_offsets(pages: DataFrame, doc: str, page: str, height: str) -> DataFrame:
     """The height of all pages before each page."""
     w = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)

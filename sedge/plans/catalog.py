@@ -249,6 +249,24 @@ _LEVELS = (
 )
 
 
+_LOOSE = "CASE " + " ".join(f"WHEN family = {k} THEN CASE " + " ".join(f"WHEN regexp_matches(trim(line, ' '), '^(?:{q})') THEN {j}" for j, q in enumerate(p)) + f" ELSE {len(p) + 1} END" for k, p in enumerate(T.BULLETS)) + " END"
+_COUNT = r"CASE WHEN trim({0}, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim({0}, ' '), '[\s\v]+')) END"
+_FREE = "SELECT * FROM hp WHERE rank = {0} AND NOT EXISTS (SELECT 1 FROM ({1}) u WHERE u.doc_id = hp.doc_id AND u.i = hp.i)"
+_TAKEN = "SELECT DISTINCT doc_id, unnest(path) AS i FROM {0}"
+_HIERARCHY = f"""{_LEVELS},
+hl AS (SELECT doc_id, [5, 6, 5, 4][family + 1] AS size, i, line, {_LOOSE} AS level FROM ln WHERE family >= 0 AND length(trim(line, ' ')) > 1 AND NOT regexp_full_match(trim(line, ' '), '[0-9]+')),
+hh AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN i END) OVER w AS h{k}" for k in range(6))} FROM hl WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hp AS (SELECT *, size + 1 - level AS rank, CASE WHEN level = 1 THEN [i] ELSE list_reduce(list_prepend([i], list_transform(list_filter([{", ".join(f"{{'k': {k}, 'h': h{k}}}" for k in reversed(range(6)))}], lambda x: x.k < level AND x.h IS NOT NULL), lambda x: [x.h])), lambda a, x: CASE WHEN x[1] > a[len(a)] THEN list_concat(a[1:len(a) - 1], x) ELSE list_concat(a, x) END) END AS path FROM hh),
+c0 AS (SELECT * FROM hp WHERE rank = 0), c2 AS ({_FREE.format(2, _TAKEN.format("c0"))}), c3 AS ({_FREE.format(3, _TAKEN.format("c0") + " UNION " + _TAKEN.format("c2"))}),
+c4 AS ({_FREE.format(4, _TAKEN.format("c0") + " UNION " + _TAKEN.format("c2") + " UNION " + _TAKEN.format("c3"))}),
+items AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS k FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)),
+il AS (SELECT doc_id, list(len(path) = 1 ORDER BY k) AS one, list({_COUNT.format("line")} ORDER BY k) AS n FROM items GROUP BY doc_id),
+fo AS (SELECT doc_id, one, n, 1 AS k, CASE WHEN one[1] AND n[1] < 218 THEN 0 ELSE 1 END AS chunk, CASE WHEN one[1] THEN 218 - n[1] ELSE 0 END AS room FROM il UNION ALL
+  SELECT doc_id, one, n, k + 1, CASE WHEN one[k + 1] AND n[k + 1] < room THEN chunk ELSE chunk + 1 END, CASE WHEN one[k + 1] AND n[k + 1] < room THEN room - n[k + 1] WHEN one[k + 1] THEN 218 - n[k + 1] ELSE 0 END FROM fo WHERE k < len(one)),
+each_line AS (SELECT items.doc_id, fo.chunk, items.k, unnest(items.path) AS li, unnest(range(len(items.path))) AS o FROM items JOIN fo USING (doc_id, k))
+SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY chunk) - 1)::INT AS chunk_index, content FROM (SELECT e.doc_id, chunk, string_agg(line, chr(10) ORDER BY k, o DESC) AS content FROM each_line e JOIN hl ON hl.doc_id = e.doc_id AND hl.i = e.li GROUP BY e.doc_id, chunk)"""
+
+
 def _levels(spark, d):
     return C.lines_with_levels(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
@@ -328,21 +346,21 @@ def qa_pairs(spark, d):
     return docs.select("doc_id", F.posexplode(C.question_answers(F.col("text"))).alias("pair", "p")).select("doc_id", "pair", "p.q", "p.a")
 
 
-@query()
+@query(f"WITH RECURSIVE {_HIERARCHY}")
 def chunk_hierarchical(spark, d):
     """C3 C17 C18"""
     lines = C.lines_with_levels(table(spark, d, "documents").where("text is not null"), "doc_id", "text", strict=False)
     return C.hierarchical_merge(lines, "doc_id")
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string(list_transform(l, lambda x: trim(x, ' ')), chr(10)) AS body, (len(l) + len(list_filter(l, lambda x: regexp_matches(trim(x, ' '), '[:：]$') AND length(trim(regexp_extract(trim(x, ' '), '([^。？！!?;；]*[:：])$', 1), ' ')) >= 32 AND length(trim(regexp_extract(trim(x, ' '), '([^。？！!?;；]*[:：])$', 1), ' ')) < length(trim(x, ' ')))))::INT AS lines FROM (SELECT doc_id, {_LINES.format('text')} AS l FROM documents WHERE text IS NOT NULL)")
 def chunk_without_contents(spark, d):
     """P17 C8"""
     t = F.col("text")
     return table(spark, d, "documents").where("text is not null").select("doc_id", C.drop_contents(t).alias("body"), F.size(C.colon_titles(t)).alias("lines"))
 
 
-@query()
+@query("SELECT event_id, 0 AS chunk_index, props AS content FROM events")
 def json_chunks(spark, d):
     """S8"""
     return C.split_json(table(spark, d, "events"), "event_id", "props", 64, 16)

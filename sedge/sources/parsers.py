@@ -124,12 +124,48 @@ def markdown_remainder(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, MARKDOWN_TABLE, ""), r"(?is)<table[^>]*>.*?</table>", "")
 
 
+def _packed(pieces: Column, budget: int, joiner: str, first: int = 0) -> Column:
+    """Pieces joined while a portion has ``budget`` tokens at most, of which ``first`` are taken from the start; portions as arrays."""
+    empty = F.array().cast("array<array<string>>")
+    start = F.struct(empty.alias("out"), F.array().cast("array<string>").alias("own"), F.lit(first).cast("long").alias("n"))
+
+    def step(a, x):
+        n = T.token_count(x)
+        full = (a["n"] + n > budget) & (F.size(a["own"]) > 0)
+        return F.struct(
+            F.when(full, F.concat(a["out"], F.array(a["own"]))).otherwise(a["out"]).alias("out"), F.when(full, F.array(x)).otherwise(F.concat(a["own"], F.array(x))).alias("own"), F.when(full, n + first).otherwise(a["n"] + n).alias("n")
+        )
+
+    parts = F.aggregate(pieces, start, step, lambda a: F.when(F.size(a["own"]) > 0, F.concat(a["out"], F.array(a["own"]))).otherwise(a["out"]))
+    return F.transform(parts, lambda x: F.array_join(x, joiner))
+
+
 def markdown_sections(c: Column, budget: int = 128) -> Column:
-    """Paragraphs; long ones by sentences, long sentences by clauses."""
+    """Paragraphs; those beyond seven times the budget by sentences, sentences beyond four times by clauses, packed up to the budget.
+    A heading goes together with the paragraph after it if both are within the budget."""
     size = T.token_count
     sentence = lambda s: F.when(size(s) > 4 * budget, F.split(s, r"(?<=[,;:])\s+")).otherwise(F.array(s))
-    paragraph = lambda p: F.when(size(p) > 7 * budget, F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), sentence))).otherwise(F.array(p))
-    return F.filter(F.flatten(F.transform(F.split(c, r"\n\s*\n"), paragraph)), lambda x: F.trim(x) != "")
+    cut = lambda p: _packed(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), sentence)), budget, " ")
+    paragraphs = F.filter(F.split(c, r"\n\s*\n"), lambda x: F.trim(x) != "")
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.when(size(p) > 7 * budget, F.transform(cut(p), lambda x: F.struct(x.alias("t"), F.lit(True).alias("cut")))).otherwise(F.array(F.struct(p.alias("t"), F.lit(False).alias("cut"))))))
+
+    def glue(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        heading = lambda t: F.ltrim(t).startswith("#")
+        both = F.concat(last, F.lit("\n"), x["t"])
+        fits = (F.size(a) > 0) & heading(last) & ~heading(x["t"]) & ~x["cut"] & (size(both) <= budget)
+        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(x["t"])))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), glue)
+
+
+def split_html_table(c: Column, budget: int = 128) -> Column:
+    """A table of HTML in parts of up to seven times the budget, each with the table's header; smaller ones as they are."""
+    most = 7 * budget
+    head = F.regexp_extract(c, r"(?is)(<thead>.*?</thead>|<tr>(?:(?!</tr>).)*</th>.*?</tr>)", 1)
+    rows = F.regexp_extract_all(F.when(head == "", c).otherwise(F.replace(c, head, F.lit(""))), F.lit(r"(?is)<tr>.*?</tr>"), F.lit(0))
+    parts = F.transform(_packed(rows, most, ""), lambda r: F.concat(F.lit("<table>"), head, r, F.lit("</table>")))
+    return F.when(T.token_count(c) > most, parts).otherwise(F.array(c))
 
 
 def parse_mail(df: DataFrame, content: str) -> DataFrame:

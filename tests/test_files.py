@@ -155,7 +155,7 @@ def test_boxes_are_joined_downward(spark):
         (1, 1, "t", 0, 100, 0, 10, "This goes on,"), (1, 1, "t", 0, 100, 12, 22, "and ends here。"), (1, 1, "t", 0, 100, 24, 34, "A new one without end"), (1, 1, "t", 0, 100, 80, 90, "far below"),
         (1, 1, "t", 0, 100, 95, 105, " "), (1, 1, "t", 40, 60, 110, 120, "- 3 -"), (1, 2, "t", 0, 100, 0, 10, "。next page"), (1, 2, "other", 0, 100, 12, 22, "other layout"), (1, 2, "other", 200, 300, 12, 22, "beside"), (2, 1, "t", 0, 1, 0, 1, None),
     ]
-    df = spark.createDataFrame(rows, "doc int, page int, layout string, x0 double, x1 double, top double, bottom double, text string")
+    df = spark.createDataFrame(rows, "doc int, page int, layout string, x0 int, x1 int, top int, bottom int, text string")
     from sedge.operators import layout as L
 
     got = [r["text"] for r in L.merge_downward(df, "doc").orderBy("doc", "block").collect()]
@@ -185,3 +185,23 @@ def test_shared_terms_are_those_of_all_pairs(spark):
     got = {(x["q"], x["i"]): round(x["tok"], 6) for x in R.overlapping_terms(df, df.where("i % 10 = 0"), "q", "i", "t", 0.3).collect()}
     want = {(q, i): round(len(set(a) & set(b)) / len(a), 6) for q, a in rows if q % 10 == 0 for i, b in rows if len(set(a) & set(b)) >= 0.3 * len(a)}
     assert got == want
+
+
+def test_markdown_sections_and_tables(spark):
+    md = "# Head\n\nshort text\n\n# Other\n\n" + "word " * 12 + "\n\n" + " ".join("One two three four." for _ in range(20)) + "\n\ntail"
+    df = spark.createDataFrame([(md,), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(P.markdown_sections(F.col("t"), 10)).collect()]
+    assert got[0][:3] == ["# Head\nshort text", "# Other", "word " * 12] or got[0][:2] == ["# Head\nshort text", "# Other"]
+    assert got[0][-1] == "tail" and all(len(x.split()) <= 10 for x in got[0][3:]) and sum(x.count("One") for x in got[0]) == 20 and got[1:] == [[], None]
+    table = "<table><thead><tr><th>a b</th></tr></thead>" + "".join(f"<tr><td>{i} x y z</td></tr>" for i in range(20)) + "</table>"
+    parts, small = (r[0] for r in spark.createDataFrame([(table,), ("<table><tr><td>1</td></tr></table>",)], "t string").select(P.split_html_table(F.col("t"), 3)).collect())
+    assert len(parts) > 1 and all("<thead>" in p for p in parts) and "".join(parts).count("<td>") == 20 and len(small) == 1
+
+
+def test_boxes_of_one_bullet_are_joined(spark):
+    from sedge.operators import layout as L
+
+    rows = [(1, 0, 0, 9, 0, 1, "• a"), (1, 1, 1, 10, 2, 3, " • b"), (1, 2, 0, 9, 4, 5, ""), (1, 3, 0, 9, 6, 7, "• c"), (1, 4, 0, 9, 8, 9, "text"), (1, 5, 0, 9, 10, 11, "text"), (1, 6, 0, 9, 0, 1, None)]
+    df = spark.createDataFrame(rows, "doc int, i int, x0 int, x1 int, top int, bottom int, text string")
+    got = L.merge_same_bullet(df, "doc").orderBy("block").collect()
+    assert [r["text"] for r in got] == ["• a\n • b\n• c", "text", "text"] and (got[0]["x0"], got[0]["x1"], got[0]["bottom"]) == (0, 10, 7)
