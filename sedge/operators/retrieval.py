@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import weights as Wt
+from ..session import staged
 
 
 def query_terms(queries: DataFrame, qid: str, question: str) -> DataFrame:
@@ -186,15 +187,17 @@ def above(scored: DataFrame, least: float, score: str = "score") -> DataFrame:
 def overlapping_terms(sets: DataFrame, queries: DataFrame, qid: str, id_col: str, terms: str, least: float = 0.3) -> DataFrame:
     """``qid``, id and ``tok`` (the share of the query's distinct terms that a row has) of the pairs from ``least`` on.
 
-    Prefix filter: a pair that shares ``least`` of the query's terms shares one of its rarest ``n - ceil(least * n) + 1``, so only those
-    bring pairs together, and common words don't; the exact share is told from the pair's sets."""
+    The most frequent terms of each query, two thirds of those that it can do without, bring no rows together: a pair from
+    ``least`` on shares enough of the others. The exact share is told from the sets of the pairs that do."""
     q = queries.select(F.col(id_col).alias(qid), F.col(terms).alias("_q")).where(F.size("_q") > 0)
+    need = F.ceil(F.lit(least) * F.col("n"))
     each = sets.select(id_col, F.explode(terms).alias("term"))
-    of = q.select(qid, F.size("_q").alias("n"), F.explode("_q").alias("term"))
-    count = each.join(of.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    of = q.select(qid, F.size("_q").alias("n"), F.explode("_q").alias("term")).withColumn("spare", F.floor((need - 1) * 2 / 3))
+    asked = staged(of.select("term").distinct(), "asked")  # of known size, so that Spark can tell whether it fits a broadcast
+    count = each.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy(qid).orderBy("df", "term"))
-    prefix = of.join(count, "term").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(qid, "term")
-    pairs = each.join(prefix, "term").select(qid, id_col).distinct()
+    rare = of.join(count, "term").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.col("spare")).select(qid, "term", (need - F.col("spare")).alias("enough"))
+    pairs = each.join(staged(rare, "rare"), "term").groupBy(qid, id_col).agg(F.count("*").alias("k"), F.first("enough").alias("enough")).where("k >= enough").select(qid, id_col)
     both = pairs.join(q, qid).join(sets.select(id_col, F.col(terms).alias("_s")), id_col)
     tok = F.size(F.array_intersect("_q", "_s")) / F.size("_q")
     return both.select(qid, id_col, tok.alias("tok")).where(F.col("tok") >= least)

@@ -531,7 +531,7 @@ _DOCP = f"dt AS (SELECT doc_id AS vec_id, {_TOKENS.format('text')} AS t FROM doc
 
 def _hybrid(spark, d):
     docs, rows = table(spark, d, "documents").where("text is not null"), table(spark, d, "embeddings")
-    sets = docs.select(F.col("doc_id").alias("vec_id"), F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    sets = staged(docs.select(F.col("doc_id").alias("vec_id"), F.array_distinct(T.tokens(F.col("text"))).alias("t")), "sets")
     tok = R.overlapping_terms(sets, sets.where("vec_id % 100 = 0"), "q", "vec_id", "t", 0.3)
     return rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), rows, tok
 
