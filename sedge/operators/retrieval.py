@@ -4,6 +4,7 @@ A query set is a table; its terms meet the postings in a join on the term, its v
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,22 @@ def bm25(terms: DataFrame, postings: DataFrame, frequency: DataFrame, stats: Dat
     return hit.groupBy(qid, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
+def bm25_on_index(terms: DataFrame, postings: DataFrame, frequency: DataFrame, n: int, avgdl: float, qid: str, id_col: str, k1: float = 1.2, b: float = 0.75, most: int = 10_000) -> DataFrame:
+    """``bm25`` over written postings in the order of the terms: the terms of up to ``most`` rows of a query set become a filter that
+    the scan uses to pass over other row groups; larger sets are joined."""
+    rows = terms.select(qid, "term").limit(most + 1).collect()
+    if len(rows) > most:
+        return bm25(terms, postings, frequency, terms.sparkSession.createDataFrame([(n, avgdl)], "n long, avgdl double"), qid, id_col, k1, b)
+    words = sorted({r["term"] for r in rows})
+    often = {r["term"]: r["df"] for r in frequency.where(F.col("term").isin(words)).collect()}
+    kind = terms.schema[qid].dataType.simpleString()
+    known = [(r[qid], r["term"], math.log(1 + (n - often[r["term"]] + 0.5) / (often[r["term"]] + 0.5))) for r in rows if r["term"] in often]
+    q = terms.sparkSession.createDataFrame(known, f"`{qid}` {kind}, term string, idf double")
+    hit = postings.where(F.col("term").isin(words)).join(F.broadcast(q), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
+    return hit.groupBy(qid, id_col).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+
+
 def saturated_idf(terms: DataFrame, postings: DataFrame, frequency: DataFrame, stats: DataFrame, qid: str, id_col: str, boost: float = 1.0) -> DataFrame:
     """The scripted similarity of token fields: idf against that of the rarest term, with a term frequency of one at most."""
     n, _ = _one_row(stats)

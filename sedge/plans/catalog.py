@@ -103,19 +103,19 @@ def _search(spark: SparkSession, d: str):
     return _chunks(spark, d), terms, p.where("term is not null"), I.document_frequency(p), I.postings_stats(p, "id")
 
 
-_indices: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
+_indices: dict[tuple, tuple[DataFrame, DataFrame, int, float]] = {}
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings with the frequency of their terms, in the order of the terms, so that a search reads the row groups of its terms;
-    frequencies, and figures of the collection. Written once for a session."""
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, float]:
+    """Postings in the order of the terms, so that a search reads the row groups of its terms; frequencies of terms, number of
+    texts and their average length. Written once for a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indices:
         rows = table(spark, d, "chunk").where("id is not null").select("id", "content_with_weight").dropDuplicates(["id"])
         p = staged(I.postings(rows, "id", "content_with_weight", keep_empty=True), "postings")
-        stats = spark.createDataFrame([tuple(I.postings_stats(p, "id").first())], "n long, avgdl double")
+        stats = I.postings_stats(p, "id").first()
         sorted_ = staged(p.where("term is not null").repartitionByRange("term").sortWithinPartitions("term"), "index")
-        _indices[key] = (sorted_, staged(I.document_frequency(p).repartitionByRange(1, "term"), "frequency"), stats)
+        _indices[key] = (sorted_, staged(I.document_frequency(p).repartitionByRange("term").sortWithinPartitions("term"), "frequency"), int(stats["n"] or 0), float(stats["avgdl"] or 1.0))
     return _indices[key]
 
 
@@ -610,7 +610,7 @@ def hits_above_threshold(spark, d):
 def bm25_on_index(spark, d):
     """The search of ``bm25_topk`` over an index that is written once for a session"""
     index = _index(spark, d)
-    scored = R.bm25(R.query_terms(_requests(spark, d), "request_id", "question"), *index, "request_id", "id").withColumn("score", r6(F.col("score")))
+    scored = R.bm25_on_index(R.query_terms(_requests(spark, d), "request_id", "question"), *index, "request_id", "id").withColumn("score", r6(F.col("score")))
     return R.top(scored, "request_id", "id", 10).select("request_id", "id", "score", "rank")
 
 

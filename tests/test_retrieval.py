@@ -87,3 +87,16 @@ def test_postings(spark):
     kept = I.postings(df, "id", "t", keep_empty=True)
     assert tuple(I.postings_stats(kept, "id").first()) == (3, 5 / 3) and I.document_frequency(kept).count() == 4
     assert got == {("x", 2, 5), ("y", 1, 5), ("中", 1, 5), ("文", 1, 5)}
+
+
+def test_search_over_an_index_is_the_plain_search(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 2 + i % 5))) for i in range(30)], "id long, t string")
+    p = I.postings(docs, "id", "t")
+    terms = spark.createDataFrame([(1, "w1"), (1, "w3"), (2, "w0"), (2, "none")], "q int, term string")
+    stats, df = I.postings_stats(p, "id"), I.document_frequency(p)
+    one = stats.first()
+    want = sorted((r["q"], r["id"], round(r["score"], 9), r["matched"]) for r in R.bm25(terms, p, df, stats, "q", "id").collect())
+    for most in (1, 100):
+        got = sorted((r["q"], r["id"], round(r["score"], 9), r["matched"]) for r in R.bm25_on_index(terms, p, df, one["n"], one["avgdl"], "q", "id", most=most).collect())
+        assert got == want and got
+    assert R.bm25_on_index(terms.limit(0), p, df, 30, 2.0, "q", "id").count() == 0
