@@ -11,6 +11,7 @@ from sedge.operators import scoring as S
 #: Queries that make no row for each pair of a query and a text, nor for each term of a text.
 WITHOUT_POSTINGS = [
     "best_fields_topk",
+    "reranked_by_model",
     "hits_above_threshold",
     "coverage_topk",
     "bm25_topk",
