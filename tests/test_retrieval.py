@@ -100,3 +100,11 @@ def test_search_over_an_index_is_the_plain_search(spark):
         got = sorted((r["q"], r["id"], round(r["score"], 9), r["matched"]) for r in R.bm25_on_index(terms, p, df, one["n"], one["avgdl"], "q", "id", most=most).collect())
         assert got == want and got
     assert R.bm25_on_index(terms.limit(0), p, df, 30, 2.0, "q", "id").count() == 0
+
+
+def test_dense_candidates_without_text_are_added_to_the_weighted_sum(spark):
+    text = spark.createDataFrame([(1, "a", 0.5), (1, "b", 1.0), (2, "a", 0.25)], "q int, i string, score double")
+    dense = spark.createDataFrame([(1, "b", 0.5), (1, "c", 0.75)], "q int, i string, score double")
+    want = {(r["q"], r["i"]): r["score"] for r in R.weighted_sum(text, dense, "q", "i").collect()}
+    got = {(r["q"], r["i"]): r["score"] for r in R.weighted_sum(text, dense, "q", "i", alone=dense.where("i = 'c'")).collect()}
+    assert got == want and len(got) == 4
