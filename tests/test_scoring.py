@@ -79,3 +79,18 @@ def test_of_two_texts_of_an_id_the_best_counts(spark):
     coded = S.coded(df.coalesce(1), "id", F.split("t", " "), ["x", "y"])
     assert [(r["id"], r["score"]) for r in R.top(S.best(coded, S.blocks(asked, "q", ["x", "y"], "w"), 2, "q", "id", 2), "q", "id", 2).orderBy("rank").collect()] == [("a", 3.0), ("b", 2.0)]
     assert S.best(coded, S.blocks(asked.limit(0), "q", [], "w"), 0, "q", "id", 2).count() == 0
+
+
+#: Queries that rank documents by vectors, of which only those with one can be hits.
+BY_VECTOR = [
+    "hybrid_filter",
+]
+
+
+@pytest.mark.parametrize("name", BY_VECTOR)
+def test_only_documents_with_a_vector_are_compared(spark, small, monkeypatch, name):
+    given, plain = [], R.overlapping_terms
+    monkeypatch.setattr(R, "overlapping_terms", lambda sets, *a: given.append(sets.count()) or plain(sets, *a))
+    d = small.replace("0.001", "0.01")
+    assert entry.queries()[name](spark, d).count() > 0
+    assert given == [spark.read.parquet(f"{d}/embeddings.parquet").join(spark.read.parquet(f"{d}/documents.parquet").where("text is not null"), F.col("doc_id") == F.col("vec_id")).count()]
