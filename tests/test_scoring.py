@@ -84,6 +84,7 @@ def test_of_two_texts_of_an_id_the_best_counts(spark):
 #: Queries that rank documents by vectors, of which only those with one can be hits.
 BY_VECTOR = [
     "hybrid_filter",
+    "rerank_second_page",
 ]
 
 
