@@ -95,3 +95,11 @@ def test_only_documents_with_a_vector_are_compared(spark, small, monkeypatch, na
     d = small.replace("0.001", "0.01")
     assert entry.queries()[name](spark, d).count() > 0
     assert given == [spark.read.parquet(f"{d}/embeddings.parquet").join(spark.read.parquet(f"{d}/documents.parquet").where("text is not null"), F.col("doc_id") == F.col("vec_id")).count()]
+
+
+def test_hybrid_search_joins_no_terms(spark, small, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(R, "coverage", refuse)
+    assert entry.queries()["hybrid_search"](spark, small.replace("0.001", "0.01")).count() == 60
