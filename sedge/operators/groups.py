@@ -13,7 +13,8 @@ def per_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame],
     """``function`` over each group of equal keys, in order of the keys.
 
     Rows are partitioned and sorted by Spark, which spills; a worker goes through them as they come and holds no more than
-    a batch and the group that runs on into the next."""
+    a batch and the group that runs on into the next. Frames without rows aren't sent: an empty column of text has no type of
+    its own, which Arrow refuses."""
 
     def groups(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         new = np.zeros(len(pdf), bool)
@@ -30,10 +31,10 @@ def per_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame],
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             own = list(groups(pdf))
             rest = own.pop().reset_index(drop=True)
-            out = [function(g) for g in own]
+            out = [x for x in map(function, own) if len(x)]
             if out:
                 yield pd.concat(out, ignore_index=True)
-        if rest is not None and len(rest):
-            yield function(rest)
+        if rest is not None and len(rest) and len(out := function(rest)):
+            yield out
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

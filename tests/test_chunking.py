@@ -68,6 +68,13 @@ def test_hierarchy(spark):
     assert sorted(x for c in got for x in c.split("\n")) == sorted(["Article 1", "one", "Article 1", "two", "Article 2", "three"])
 
 
+def test_documents_without_a_chunk_of_a_hierarchy(spark):
+    # bullets of the highest levels alone begin no chunk; the last document of a task, or all of a batch, may be such
+    lines = C.lines_with_levels(spark.createDataFrame([(1, "1. a\n2. b"), (2, "Article 1\none"), (3, "1. c\n2. d")], "doc int, t string").coalesce(1), "doc", "t", strict=False)
+    assert C.hierarchical_merge(lines.where("doc <> 2"), "doc").count() == 0
+    assert [(r["doc"], r["content"]) for r in C.hierarchical_merge(lines, "doc").collect()] == [(2, "Article 1\none")]
+
+
 def hierarchy_by_hand(rows, size, depth, budget):
     """Chunks of (level, text) lines of a family of ``size`` levels, found line by line."""
     chunks, used = [], set()
