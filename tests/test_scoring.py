@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from sedge.operators import index as I
 from sedge.operators import retrieval as R
 from sedge.operators import scoring as S
+from sedge.plans import catalog
 
 #: Queries that make no row for each pair of a query and a text, nor for each term of a text.
 WITHOUT_POSTINGS = [
@@ -103,3 +104,28 @@ def test_hybrid_search_joins_no_terms(spark, small, monkeypatch):
 
     monkeypatch.setattr(R, "coverage", refuse)
     assert entry.queries()["hybrid_search"](spark, small.replace("0.001", "0.01")).count() == 60
+
+
+@pytest.mark.parametrize(("texts", "most"), [(64, 1), (1 << 14, 10_000)])
+def test_a_search_over_segments_is_that_over_texts(spark, monkeypatch, texts, most):
+    docs, df, _, asked = corpus(spark)
+    words = S.vocabulary(asked)
+    coded = S.coded(df, "id", F.split("t", " "), words)
+    _, n, avgdl = S.statistics(coded, words)
+    plain = R.top(S.best(coded, S.blocks(asked, "q", words, "w"), len(words), "q", "id", 7, saturation=(1.2, 0.75, avgdl)), "q", "id", 7)
+    monkeypatch.setattr(S, "TEXTS", texts)
+    index = S.segments(df, "id", F.split("t", " ")).persist()
+    assert S.segment_statistics(index) == pytest.approx((n, sum(len(t.split()) for _, t in docs if t) / n))
+    assert {(r["term"], r["df"]) for r in S.segment_frequency(index).collect()} == {(w, sum(w in (t or "").split() for _, t in docs)) for w in {w for _, t in docs if t for w in t.split()}}
+    got = R.top(S.best(S.looked_up(index, words, most), S.blocks(asked, "q", words, "w"), len(words), "q", "id", 7, saturation=(1.2, 0.75, avgdl), words=words), "q", "id", 7)
+    assert sorted(map(tuple, got.drop("raw").collect())) == sorted(map(tuple, plain.drop("raw").collect())) and got.count() > 0
+
+
+def test_an_index_is_searched_without_a_row_for_each_pair(spark, small, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(catalog, "_indices", {})
+    monkeypatch.setattr(I, "postings", refuse)
+    monkeypatch.setattr(R, "bm25_on_index", refuse)
+    assert entry.queries()["bm25_on_index"](spark, small.replace("0.001", "0.01")).count() == 60
