@@ -129,3 +129,12 @@ def test_an_index_is_searched_without_a_row_for_each_pair(spark, small, monkeypa
     monkeypatch.setattr(I, "postings", refuse)
     monkeypatch.setattr(R, "bm25_on_index", refuse)
     assert entry.queries()["bm25_on_index"](spark, small.replace("0.001", "0.01")).count() == 60
+
+
+@pytest.mark.parametrize("name", BY_VECTOR)
+def test_only_texts_of_documents_with_a_vector_become_tokens(spark, small, monkeypatch, name):
+    plans, plain = {}, catalog.staged
+    monkeypatch.setattr(catalog, "staged", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and plain(df, label))
+    assert entry.queries()[name](spark, small.replace("0.001", "0.01")).count() > 0
+    above, _, below = plans["sets"].partition("BroadcastHashJoin")
+    assert "regexp_extract_all" in above and below and "regexp_extract_all" not in below
